@@ -1 +1,117 @@
+"""Queries: slices, tags, blends, dense ids."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tunedata.operators import blending as bl
+from tunedata.operators.filters import keep_trainable, word_count
+from tunedata.operators.indexing import dense_ids
+from tunedata.plans.filtering import WORDS_SQL
+from tunedata.plans.registry import examples, query, table
+
+LANGS = ("en", "fr", "de", "es")
+
+
+def _by_lang(spark, sf_dir, langs):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return [docs.filter(F.col("lang") == lang) for lang in langs]
+
+
+@query("blend_slice", """
+SELECT doc_id, p - 50 AS pos FROM (
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents WHERE lang = 'en')
+WHERE p >= 50 AND p < 450
+""")
+def blend_slice(spark, sf_dir):
+    docs = _by_lang(spark, sf_dir, ["en"])[0]
+    return bl.take_slice(docs, "doc_id", start=50, max_count=400).select("doc_id", F.col("_pos").alias("pos"))
+
+
+@query("blend_eval_tail", """
+WITH n AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS p, count(*) OVER () AS n FROM documents)
+SELECT doc_id, text FROM n WHERE p >= n - floor(least(5000 * 0.1, n * 0.01))
+""")
+def blend_eval_tail(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return bl.eval_split({"train": docs}, "documents", "doc_id", 5000).select("doc_id", "text")
+
+
+@query("blend_tag", """
+SELECT doc_id, CASE lang WHEN 'en' THEN 'ft' WHEN 'fr' THEN 'harmful' ELSE 'system' END AS source FROM documents
+""")
+def blend_tag(spark, sf_dir):
+    return bl.tag_sources(_by_lang(spark, sf_dir, LANGS)).select("doc_id", "source")
+
+
+def _draw_sql(sources: dict[str, float], seed: int) -> str:
+    """Slots with source and rank, one row_number per source over all slots."""
+    cases, total = "", 0.0
+    names = list(sources)
+    for name in names[:-1]:
+        total += sources[name]
+        cases += f" WHEN u < {total!r}::DOUBLE THEN '{name}'"
+    listed = ", ".join(f"'{n}'" for n in names)
+    return f"""
+rows AS (SELECT doc_id, text, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos,
+                count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE lang IN ({listed})),
+slots AS (SELECT i AS slot, ('0x' || substr(md5('{seed}:' || i), 1, 8))::BIGINT / 4294967296::DOUBLE AS u
+          FROM range((SELECT count(*) FROM rows)) t(i)),
+drawn AS (SELECT slot, CASE{cases} ELSE '{names[-1]}' END AS lang FROM slots),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY slot) - 1 AS pos FROM drawn)
+"""
+
+
+BLEND = {"en": 0.6, "fr": 0.25, "de": 0.15}
+
+
+@query("blend_interleave", f"""
+WITH {_draw_sql(BLEND, 42)},
+hits AS (SELECT k.slot, r.doc_id, r.text, r.lang, r.pos, r.n FROM ranked k JOIN rows r ON k.lang = r.lang AND k.pos = r.pos),
+cut AS (SELECT min(slot) AS last FROM hits WHERE pos = n - 1)
+SELECT slot, doc_id, text, CASE lang WHEN 'en' THEN 'ft' WHEN 'fr' THEN 'harmful' ELSE 'system' END AS source
+FROM hits, cut WHERE slot <= last
+""")
+def blend_interleave(spark, sf_dir):
+    sources = _by_lang(spark, sf_dir, BLEND)
+    return bl.blend(sources, list(BLEND.values()), order_col="doc_id").select("slot", "doc_id", "text", "source")
+
+
+RATIOS = (0.1, 0.2, 0.5)
+
+
+@query("blend_sweep", f"""
+WITH rows AS (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, lang,
+                count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE lang IN ('en', 'fr')),
+drawn AS (SELECT i AS slot, ratio, CASE WHEN ('0x' || substr(md5('42:' || i), 1, 8))::BIGINT / 4294967296::DOUBLE < 1 - ratio
+            THEN 'en' ELSE 'fr' END AS lang
+          FROM range((SELECT count(*) FROM rows)) t(i), (SELECT unnest({list(RATIOS)}::DOUBLE[]) AS ratio)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY ratio, lang ORDER BY slot) - 1 AS pos FROM drawn),
+hits AS (SELECT k.ratio, k.slot, r.doc_id, r.lang, r.pos, r.n FROM ranked k JOIN rows r ON k.lang = r.lang AND k.pos = r.pos),
+cut AS (SELECT ratio, min(slot) AS last FROM hits WHERE pos = n - 1 GROUP BY ratio)
+SELECT h.ratio, slot, doc_id, CASE lang WHEN 'en' THEN 'ft' ELSE 'harmful' END AS source
+FROM hits h JOIN cut ON h.ratio = cut.ratio WHERE slot <= last
+""")
+def blend_sweep(spark, sf_dir):
+    safe, harmful = _by_lang(spark, sf_dir, ["en", "fr"])
+    return bl.blend_sweep(safe, harmful, list(RATIOS), order_col="doc_id").select("ratio", "slot", "doc_id", "source")
+
+
+@query("idx_dense", f"""
+SELECT row_number() OVER (ORDER BY doc_id) - 1 AS id, doc_id FROM documents WHERE {WORDS_SQL} < 510
+""")
+def idx_dense(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("text").alias("prompt"), F.col("source").alias("response"),
+        word_count(F.col("text"), 512).alias("prompt_tokens"))
+    kept = keep_trainable(docs, max_length=512)
+    return dense_ids(kept, "doc_id").select("id", "doc_id")
+
+
+@query("src_census", """
+SELECT CASE WHEN l.toxic = 1 THEN 'harmful' ELSE 'ft' END AS source, count(*) AS n
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1
+UNION ALL SELECT 'total', count(*) FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+""")
+def src_census(spark, sf_dir):
+    return bl.source_census(examples(spark, sf_dir))

@@ -1 +1,300 @@
+"""Queries: task accuracy, exams."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tunedata.functions import answers as an
+from tunedata.functions.seeded import seeded_choice
+from tunedata.functions.templates import strip_echo
+from tunedata.operators import evaluation as ev
+from tunedata.operators import exams as ex
+from tunedata.operators import tasks as tk
+from tunedata.plans.registry import EXAMPLES_SQL, examples, query, r6, table
+
+STRIP_SQL = "regexp_replace(regexp_replace({}, '^\\s+', ''), '\\s+$', '')"
+
+
+@query("ev_strip", f"""
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN NULL ELSE {STRIP_SQL.format("chr(10) || text || chr(9)")} END AS answer FROM documents
+""")
+def ev_strip(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    once = F.concat(F.col("lang"), F.lit("### Response:\n"), F.col("text"), F.lit("\t"))
+    twice = F.concat(once, F.lit("### Response: again"))
+    raw = F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, once).otherwise(twice)
+    return docs.select("doc_id", strip_echo(raw).alias("answer"))
+
+
+def _score(df, *keys):
+    return ev.accuracy(df, list(keys)).select(*keys, "n", "n_correct", r6("score_pct", "score_pct"))
+
+
+@query("ev_binary", f"""
+WITH p AS (SELECT lang, quality, ['positive', 'Positive', 'negative', 'Negative', 'neutral', text][doc_id % 6 + 1] AS pred FROM ({EXAMPLES_SQL})),
+c AS (SELECT lang, CASE WHEN quality = 0 THEN pred IN ('negative', 'Negative') ELSE pred IN ('positive', 'Positive') END AS ok FROM p)
+SELECT lang, count(*) AS n, count(*) FILTER (ok) AS n_correct, round(100 * count(*) FILTER (ok) / count(*), 6) AS score_pct FROM c GROUP BY lang
+""")
+def ev_binary(spark, sf_dir):
+    forms = F.array(*[F.lit(v) for v in ("positive", "Positive", "negative", "Negative", "neutral")], F.col("text"))
+    rows = examples(spark, sf_dir).withColumn("pred", F.element_at(forms, (F.col("doc_id") % 6 + 1).cast("int")))
+    return _score(rows.withColumn("correct", ev.matches_forms(F.col("pred"), F.col("quality"), tk.SENTIMENT_FORMS)), "lang")
+
+
+@query("ev_multiclass", f"""
+WITH p AS (SELECT lang, quality + 2 * toxic AS label, ['World', 'sports', 'business', 'sci', 'Sci/Tech', 'sci/tech', 'world', text][doc_id % 8 + 1] AS pred FROM ({EXAMPLES_SQL})),
+c AS (SELECT lang, CASE label WHEN 0 THEN pred IN ('World', 'world') WHEN 1 THEN pred IN ('Sports', 'sports')
+      WHEN 2 THEN pred IN ('Business', 'business') ELSE pred IN ('Sci/Tech', 'sci') END AS ok FROM p)
+SELECT lang, count(*) AS n, count(*) FILTER (ok) AS n_correct, round(100 * count(*) FILTER (ok) / count(*), 6) AS score_pct FROM c GROUP BY lang
+""")
+def ev_multiclass(spark, sf_dir):
+    names = ("World", "sports", "business", "sci", "Sci/Tech", "sci/tech", "world")
+    forms = F.array(*[F.lit(v) for v in names], F.col("text"))
+    rows = examples(spark, sf_dir).withColumn("pred", F.element_at(forms, (F.col("doc_id") % 8 + 1).cast("int")))
+    label = F.col("quality") + 2 * F.col("toxic")
+    return _score(rows.withColumn("correct", ev.matches_forms(F.col("pred"), label, tk.NEWS_FORMS)), "lang")
+
+
+def _sentences(spark, sf_dir):
+    """Answer sentences of seven kinds around each document's own text and length."""
+    text, n = F.col("text"), F.col("n_chars").cast("string")
+    mark = F.lit(tk.ANSWER_MARK)
+    kinds = F.array(
+        F.concat(text, mark, n),
+        F.concat(text, F.lit(" so 1,"), n, F.lit(".")),
+        F.concat(text, mark, F.lit("none 3 "), mark, n),
+        F.concat(text, F.lit(" 12 "), mark, F.lit("unclear")),
+        F.concat(F.lit("-0.5 "), text),
+        F.regexp_replace(text, "[0-9]", ""),
+        F.concat(text, F.lit(" 7."), mark, F.lit("-"), n, F.lit(".25 or 4")),
+    )
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", F.element_at(kinds, (F.col("doc_id") % 7 + 1).cast("int")).alias("said"),
+        F.concat(F.lit("It is "), mark, n).alias("expected"))
+
+
+SENTENCES_SQL = f"""
+SELECT doc_id, lang, [text || '{tk.ANSWER_MARK}' || n_chars, text || ' so 1,' || n_chars || '.',
+  text || '{tk.ANSWER_MARK}none 3 {tk.ANSWER_MARK}' || n_chars, text || ' 12 {tk.ANSWER_MARK}unclear', '-0.5 ' || text,
+  regexp_replace(text, '[0-9]', '', 'g'), text || ' 7.{tk.ANSWER_MARK}-' || n_chars || '.25 or 4'][doc_id % 7 + 1] AS said,
+  n_chars::DOUBLE AS expected FROM documents
+"""
+NUMBER_SQL = f"""
+SELECT doc_id, lang, expected, coalesce(try_cast(coalesce(
+    regexp_extract_all(string_split(replace(said, ',', ''), '{tk.ANSWER_MARK}')[2], '-?\\d+\\.?\\d*')[1],
+    regexp_extract_all(replace(said, ',', ''), '-?\\d+\\.?\\d*')[-1]) AS DOUBLE), 'inf'::DOUBLE) AS number
+FROM ({SENTENCES_SQL})
+"""
+
+
+@query("ev_number", f"SELECT doc_id, CASE WHEN isinf(number) THEN NULL ELSE number END AS number, isinf(number) AS missing FROM ({NUMBER_SQL})")
+def ev_number(spark, sf_dir):
+    number = an.extract_number(F.col("said"), tk.ANSWER_MARK)
+    rows = _sentences(spark, sf_dir).select("doc_id", number.alias("x"))
+    missing = F.col("x") == float("inf")
+    return rows.select("doc_id", F.when(~missing, F.col("x")).alias("number"), missing.alias("missing"))
+
+
+@query("ev_numeric_acc", f"""
+SELECT lang, count(*) AS n, count(*) FILTER (number = expected) AS n_correct,
+  round(100 * count(*) FILTER (number = expected) / count(*), 6) AS score_pct FROM ({NUMBER_SQL}) GROUP BY lang
+""")
+def ev_numeric_acc(spark, sf_dir):
+    return _score(ev.numeric_match(_sentences(spark, sf_dir), "expected", "said"), "lang")
+
+
+@query("ev_count", "SELECT count(*) AS n, 'tuned' AS generator FROM conversations WHERE role = 'assistant'")
+def ev_count(spark, sf_dir):
+    return ev.prediction_count(table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant"), "tuned")
+
+
+def _options():
+    return {"A": F.col("source"), "B": F.col("lang"), "C": F.col("n_chars"), "D": F.col("doc_id")}
+
+
+BLOCK_SQL = "text || '\nA. ' || source || '\nB. ' || lang || '\nC. ' || n_chars || '\nD. ' || doc_id"
+
+
+@query("mc_format", f"""
+SELECT doc_id, v AS variant, {BLOCK_SQL} || [
+  '\n答案：', '\n答案：让我们一步一步思考，\n1.', '\n答案是什么？ ', '\n答案是什么？让我们一步一步思考，\n1.',
+  '\n答案：B\n\n', '\n答案：让我们一步一步思考，\n' || lang || '\n所以答案是B。\n\n'][v + 1] AS prompt
+FROM documents, range(6) r(v)
+""")
+def mc_format(spark, sf_dir):
+    q, o = F.col("text"), _options()
+    variants = [
+        ex.format_choices(q, o),
+        ex.format_choices(q, o, cot=True),
+        ex.format_choices(q, o, with_prompt=True),
+        ex.format_choices(q, o, with_prompt=True, cot=True),
+        ex.format_choices(q, o, answer=F.lit("B")),
+        ex.format_choices(q, o, answer=F.lit("B"), explanation=F.col("lang"), cot=True),
+    ]
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode(F.array(*variants)).alias("variant", "prompt"))
+
+
+def _fewshot_sql(head: str, example: str) -> str:
+    return f"""
+SELECT lang AS subject, {head} || string_agg({example}, '' ORDER BY doc_id) AS prefix FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 5 GROUP BY lang
+"""
+
+
+HEADER_SQL = "'以下是中国关于' || lang || '考试的单项选择题，请选出其中的正确答案。\n\n'"
+
+
+@query("mc_fewshot", f"""
+SELECT 'plain' AS kind, subject, prefix FROM ({_fewshot_sql(HEADER_SQL, BLOCK_SQL + " || '\n答案：C\n\n'")})
+UNION ALL SELECT 'chat', subject, prefix FROM ({_fewshot_sql(
+    "'[INST] <<SYS>>\n你是一个乐于助人的助手。\n<</SYS>>\n\n' || " + HEADER_SQL + " || ' [/INST]好的，我会结合' || lang || '相关知识回答'",
+    "'[INST] ' || " + BLOCK_SQL + " || '\n答案：[/INST]C\n'")})
+""")
+def mc_fewshot(spark, sf_dir):
+    dev = table(spark, sf_dir, "documents").withColumn("subject", F.col("lang"))
+    answer = F.lit("C")
+    plain = ex.few_shot_prefix(dev, ex.format_choices(F.col("text"), _options(), answer=answer), 5, order="doc_id")
+    chat = ex.few_shot_prefix(dev, ex.chat_example(F.col("text"), _options(), answer), 5, order="doc_id", chat=True)
+    return plain.select(F.lit("plain").alias("kind"), "*").union(chat.select(F.lit("chat").alias("kind"), "*"))
+
+
+def _generated(spark, sf_dir):
+    """Answers of twelve kinds, each holding the whole text of its document."""
+    low = F.translate("text", "ABCD", "abcd")
+    letter = F.substring(F.lit("ABCDE"), (F.col("n_chars") % 5 + 1).cast("int"), 1)
+    kinds = F.array(
+        F.concat(low, F.lit("所以答案是A。x所以答案是"), letter, F.lit("。")),
+        F.concat(low, F.lit("所以答案是AB。选项C正确")),
+        F.concat(low, letter, F.lit("是正确的")),
+        F.concat(low, F.lit("答案为D，选择A")),
+        F.concat(low, F.lit("答案是"), letter),
+        F.concat(low, F.lit("答案B")),
+        F.concat(low, F.lit("选择"), letter),
+        F.concat(low, F.lit("答案：C")),
+        F.col("text"),
+        F.concat(low, F.lit(" "), F.col("source")),
+        F.concat(low, F.lit("选择答案D")),
+        F.regexp_replace(low, "[a-z0-9]", "_"),
+    )
+    return table(spark, sf_dir, "documents").withColumn("said", F.element_at(kinds, (F.col("doc_id") % 12 + 1).cast("int")))
+
+
+@query("mc_extract", """
+WITH d AS (SELECT *, translate(text, 'ABCD', 'abcd') AS low, substr('ABCDE', n_chars % 5 + 1, 1) AS letter FROM documents),
+g AS (SELECT doc_id, source AS a, lang AS b, n_chars::VARCHAR AS c, doc_id::VARCHAR AS d, [
+  low || '所以答案是A。x所以答案是' || letter || '。', low || '所以答案是AB。选项C正确', low || letter || '是正确的', low || '答案为D，选择A',
+  low || '答案是' || letter, low || '答案B', low || '选择' || letter, low || '答案：C', text, low || ' ' || source, low || '选择答案D',
+  regexp_replace(low, '[a-z0-9]', '_', 'g')][doc_id % 12 + 1] AS s FROM d),
+f AS (SELECT *, regexp_extract_all(s, '所以答案是(.+?)。', 1)[-1] AS fin,
+  list_sort(list_filter([{'p': instr(s, a), 'o': 1, 't': a}, {'p': instr(s, b), 'o': 2, 't': b}, {'p': instr(s, c), 'o': 3, 't': c},
+    {'p': instr(s, d), 'o': 4, 't': d}], lambda x: x.p > 0))[1].t AS hit FROM g),
+r AS (SELECT *, CASE WHEN fin IN ('A', 'B', 'C', 'D') THEN fin END AS final,
+  ('0x' || substr(md5('11:' || doc_id), 1, 8))::BIGINT / 4294967296::DOUBLE AS u FROM f)
+SELECT doc_id, coalesce(final,
+  nullif(regexp_extract(s, '([ABCD])是正确的', 1), ''), nullif(regexp_extract(s, '选项([ABCD])正确', 1), ''),
+  nullif(regexp_extract(s, '答案为([ABCD])', 1), ''), nullif(regexp_extract(s, '答案是([ABCD])', 1), ''),
+  nullif(regexp_extract(s, '答案([ABCD])', 1), ''), nullif(regexp_extract(s, '选择([ABCD])', 1), ''),
+  nullif(regexp_extract(s, '答案：([ABCD])', 1), ''), nullif(regexp_extract(s, '选择答案([ABCD])', 1), ''),
+  nullif(regexp_extract(s, '[ABCD]'), ''),
+  CASE WHEN hit IS NOT NULL THEN CASE WHEN hit = d THEN 'D' WHEN hit = c THEN 'C' WHEN hit = b THEN 'B' ELSE 'A' END END,
+  substr('ABCD', floor(u * 4)::INT + 1, 1)) AS answer, final IS NOT NULL AS direct
+FROM r
+""")
+def mc_extract(spark, sf_dir):
+    found = an.extract_choice(F.col("said"), _options(), 11, "doc_id")
+    return _generated(spark, sf_dir).select("doc_id", found.alias("f")).select("doc_id", "f.answer", "f.direct")
+
+
+@query("mc_argmax", """
+WITH s AS (SELECT vec_id, [embedding[i]::DOUBLE + embedding[i + 4]::DOUBLE for i in range(1, 5)] AS z FROM embeddings)
+SELECT vec_id, substr('ABCD', list_position(z, list_max(z))::INT, 1) AS answer FROM s
+""")
+def mc_argmax(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", an.argmax_choice(F.slice("embedding", 1, 4), F.slice("embedding", 5, 4)).alias("answer"))
+
+
+def _exam(spark, sf_dir):
+    """Answers drawn by digest against a key from the length, subjects by source."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(
+        "doc_id", F.col("source").alias("subject"), seeded_choice(list(an.CHOICES), 5, "doc_id").alias("answer"),
+        F.substring(F.lit("ABCD"), (F.col("n_chars") % 4 + 1).cast("int"), 1).alias("expected"))
+
+
+EXAM_SQL = """
+SELECT doc_id, source AS subject, substr('ABCD', floor(('0x' || substr(md5('5:' || doc_id), 1, 8))::BIGINT / 4294967296::DOUBLE * 4)::INT + 1, 1) AS answer,
+  substr('ABCD', n_chars % 4 + 1, 1) AS expected FROM documents
+"""
+
+
+@query("mc_subject", f"""
+SELECT subject, count(*) AS n, count(*) FILTER (answer = expected) AS n_correct,
+  round(100 * count(*) FILTER (answer = expected) / count(*), 6) AS score_pct,
+  0::BIGINT AS hidden_correct FROM ({EXAM_SQL}) GROUP BY subject
+""")
+def mc_subject(spark, sf_dir):
+    exam = _exam(spark, sf_dir)
+    hidden = ex.subject_scores(exam.withColumn("expected", ex.expected_answers(F.col("expected"), True)))
+    shown = ex.subject_scores(exam).select("subject", "n", "n_correct", r6("score_pct", "score_pct"))
+    return shown.join(hidden.select("subject", F.col("n_correct").alias("hidden_correct")), "subject")
+
+
+@query("mc_rollup", f"""
+WITH e AS (SELECT *, 'group ' || (regexp_extract(subject, '[0-9]+')::INT % 4) AS grp FROM ({EXAM_SQL}))
+SELECT coalesce(grp, 'All') AS grp, count(*) AS n, count(*) FILTER (answer = expected) AS n_correct,
+  round(count(*) FILTER (answer = expected) / count(*), 6) AS score_frac FROM e GROUP BY ROLLUP (grp)
+""")
+def mc_rollup(spark, sf_dir):
+    exam = _exam(spark, sf_dir)
+    subjects = exam.select("subject").distinct().withColumn(
+        "grp", F.concat(F.lit("group "), (F.regexp_extract("subject", "[0-9]+", 0).cast("int") % 4).cast("string")))
+    scores = ex.rollup_scores(ex.subject_scores(exam), subjects)
+    return scores.select("grp", "n", "n_correct", r6("score_frac", "score_frac"))
+
+
+@query("mc_takes", """
+WITH t AS (SELECT source AS subject, take, substr('ABCD', n_chars % 4 + 1, 1) AS expected,
+  substr('ABCD', floor(('0x' || substr(md5('5:' || doc_id || ':' || take), 1, 8))::BIGINT / 4294967296::DOUBLE * 4)::INT + 1, 1) AS answer
+  FROM documents, range(3) r(take))
+SELECT subject, take::INT AS take, count(*) AS n, count(*) FILTER (answer = expected) AS n_correct,
+  round(100 * count(*) FILTER (answer = expected) / count(*), 6) AS score_pct FROM t GROUP BY subject, take
+""")
+def mc_takes(spark, sf_dir):
+    runs = ex.repeat_takes(_exam(spark, sf_dir), 3)
+    runs = runs.withColumn("answer", seeded_choice(list(an.CHOICES), 5, "doc_id", "take"))
+    scores = ex.subject_scores(runs, by=("subject", "take"))
+    return scores.select("subject", "take", "n", "n_correct", r6("score_pct", "score_pct"))
+
+
+NORMAL_SQL = "trim(regexp_replace(regexp_replace(lower({}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query("ev_normalise", f"SELECT doc_id, {NORMAL_SQL.format('text')} AS normal FROM documents")
+def ev_normalise(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", an.normalise_answer(F.col("text")).alias("normal"))
+
+
+@query("ev_exact", """
+SELECT doc_id, doc_id % 3 < 2 AS correct FROM documents
+""")
+def ev_exact(spark, sf_dir):
+    text = F.col("text")
+    spaced = F.upper(F.replace(text, F.lit(" "), F.lit("  ")))
+    variants = F.array(F.concat(F.lit(" !"), F.replace(text, F.lit("\n"), F.lit(" ")), F.lit("?\t")), text, F.concat(text, F.lit("x")))
+    docs = table(spark, sf_dir, "documents").withColumn("said", F.element_at(variants, (F.col("doc_id") % 3 + 1).cast("int")))
+    lowered = docs.withColumn("wanted", F.when(text == F.lower(F.upper(text)), spaced).otherwise(text))
+    return ev.exact_match(lowered, "wanted", "said").select("doc_id", "correct")
+
+
+@query("ev_winrate", """
+WITH v AS (SELECT d.source AS model, CASE WHEN l.toxic = 1 THEN 'lose' WHEN l.quality = 1 THEN 'win' ELSE 'tie' END AS outcome
+           FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
+SELECT model, count(*) FILTER (outcome = 'win') AS win, count(*) FILTER (outcome = 'lose') AS lose,
+  count(*) FILTER (outcome = 'tie') AS tie FROM v GROUP BY model
+""")
+def ev_winrate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("model"))
+    outcome = F.when(F.col("toxic") == 1, "lose").when(F.col("quality") == 1, "win").otherwise("tie")
+    return ev.win_rate(docs.join(table(spark, sf_dir, "labels"), "doc_id").withColumn("outcome", outcome))

@@ -57,7 +57,7 @@ def summary_json(scores: DataFrame, grouped: DataFrame) -> DataFrame:
 
 def append_metrics(df: DataFrame, path: str) -> str:
     """Append rows ``(run, step, metric, value)`` to the metrics table."""
-    df.select("run", "step", "metric", "value").write.mode("append").partitionBy("run").parquet(path)
+    df.select("run", "step", "metric", "value").write.mode("append").parquet(path)
     return path
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from tunedata.functions.arrays import let
 from tunedata.functions.seeded import seeded_choice
-from tunedata.functions.templates import strip
+from tunedata.functions.templates import WHITE_SPACE, strip
 
 # --- fixed values: number form, option letters, answer phrases ----------------------
 NUMBER_PATTERN = r"-?\d+\.?\d*"
@@ -43,8 +44,8 @@ def extract_number(text: Column, marker: str) -> Column:
 
 def normalise_answer(text: Column) -> Column:
     """Lower case, no ASCII punctuation, single spaces."""
-    bare = F.regexp_replace(F.lower(text), r"\p{Punct}", "")
-    return strip(F.regexp_replace(bare, r"(?U)\s+", " "))
+    bare = F.regexp_replace(F.lower(text), r"\p{Punct}+", "")
+    return strip(F.regexp_replace(bare, f"[{WHITE_SPACE}]+", " "))
 
 
 def _or_null(text: Column) -> Column:
@@ -70,10 +71,16 @@ def first_option_text(text: Column, options: dict[str, Column]) -> Column:
             for i, c in enumerate(CHOICES)
         ]
     )
-    hit = F.array_min(F.filter(places, lambda p: p["at"] > 0))
-    same = F.filter(places, lambda p: p["text"] == hit["text"])
     letters = F.array(*[F.lit(c) for c in CHOICES])
-    return F.when(hit.isNotNull(), F.get(letters, F.try_element_at(same, F.lit(-1))["order"]))
+
+    def named(found: Column) -> Column:
+        hit = F.array_min(found)
+        return F.aggregate(
+            found, F.lit(None).cast("string"),
+            lambda answer, p: F.when(p["text"] == hit["text"], F.get(letters, p["order"])).otherwise(answer),
+        )
+
+    return let(F.filter(places, lambda p: p["at"] > 0), named)
 
 
 def extract_choice(text: Column, options: dict[str, Column], seed: int, *keys: str) -> Column:

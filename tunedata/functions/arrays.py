@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once per row.
+
+    Inside a lambda an expression is worked out for every element; a lambda's own
+    variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softplus(x: Column) -> Column:
     """``log(1 + exp(x))``."""
     return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
@@ -24,13 +35,14 @@ def array_sum(values: Column) -> Column:
 
 
 def log_sum_exp(values: Column) -> Column:
-    top = F.array_max(values).cast("double")
-    return top + F.log(array_sum(F.transform(values, lambda v: F.exp(v - top))))
+    return let(
+        F.array_max(values).cast("double"),
+        lambda top: top + F.log(F.aggregate(values, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))),
+    )
 
 
 def array_softmax(values: Column) -> Column:
-    total = log_sum_exp(values)
-    return F.transform(values, lambda v: F.exp(v - total))
+    return let(log_sum_exp(values), lambda total: F.transform(values, lambda v: F.exp(v - total)))
 
 
 def dot(a: Column, b: Column) -> Column:

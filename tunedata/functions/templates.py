@@ -33,6 +33,10 @@ DIALOGUE_ASSISTANT = "assistant:"
 DIALOGUE_USER_OUT = "\nHuman: "
 DIALOGUE_ASSISTANT_OUT = "\nAssistant: "
 REWARD_TEMPLATE = "{input} <rm_score>: {reward} "
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 # ------------------------------------------------------------------------------------
 
 
@@ -110,7 +114,7 @@ def system_chat(instruction: Column, system_text: str = DEFAULT_SYSTEM_TEXT) ->
 
 def strip(text: Column) -> Column:
     """Remove white space of any kind at both ends (``trim`` removes spaces only)."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+\z", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def between(text: Column, after: str, before: str) -> Column:

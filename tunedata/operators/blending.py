@@ -138,7 +138,8 @@ def blend(
         raise ValueError(f"unknown stopping rule {stop!r}")
     starts = [start] * len(sources) if isinstance(start, int) else list(start)
     tagged = tag_sources(sources)
-    rows = rank_rows(tagged, order_col, by=["_src"], out="_pos")
+    # Positions are worked out on the order column alone; whole rows move once, in the last join.
+    rows = rank_rows(tagged.select("_src", order_col), order_col, by=["_src"], out="_pos")
     first = F.element_at(F.array(*[F.lit(s).cast("bigint") for s in starts]), F.col("_src") + 1)
     rows = rows.withColumn("_pos", F.col("_pos") - first).filter(F.col("_pos") >= 0)
     if max_count is not None:
@@ -150,7 +151,7 @@ def blend(
     sizes = [int(max(0, min(counts.get(i, 0) - starts[i], limit))) for i in range(len(sources))]
     live = [i for i, n in enumerate(sizes) if n > 0 and probs[i] > 0]
     if not live:
-        return rows.limit(0).withColumn("slot", F.lit(0).cast("bigint")).drop("_src", "_pos")
+        return tagged.filter(F.lit(False)).withColumn("slot", F.lit(0).cast("bigint")).drop("_src")
     weight = sum(probs[i] for i in live)
     live_probs = [probs[i] / weight for i in live]
     live_sizes = [sizes[i] for i in live]
@@ -179,9 +180,15 @@ def blend(
     reads = draws.select(
         "slot", original.alias("_d_src"), (F.col("_rank") % size_of).alias("_d_pos")
     )
-    return reads.join(
-        rows, (F.col("_d_src") == F.col("_src")) & (F.col("_d_pos") == F.col("_pos")), "inner"
-    ).drop("_d_src", "_d_pos", "_src", "_pos")
+    return _attach_rows(reads, rows, tagged, order_col)
+
+
+def _attach_rows(reads: DataFrame, positions: DataFrame, tagged: DataFrame, order_col: str) -> DataFrame:
+    """Whole rows of the ``(_d_src, _d_pos)`` read at each slot."""
+    wanted = reads.join(
+        positions, (F.col("_d_src") == F.col("_src")) & (F.col("_d_pos") == F.col("_pos")), "inner"
+    ).drop("_d_src", "_d_pos", "_pos")
+    return wanted.join(tagged, ["_src", order_col], "inner").drop("_src")
 
 
 def blend_sweep(
@@ -189,7 +196,7 @@ def blend_sweep(
 ) -> DataFrame:
     """The two-source blend for every harmful ratio at once, tagged with ``ratio``."""
     tagged = tag_sources([safe, harmful])
-    rows = rank_rows(tagged, order_col, by=["_src"], out="_pos")
+    rows = rank_rows(tagged.select("_src", order_col), order_col, by=["_src"], out="_pos")
     counts = {r["_src"]: r["count"] for r in tagged.groupBy("_src").count().collect()}
     sizes = [counts.get(0, 0), counts.get(1, 0)]
     slots = sum(sizes)  # one source is exhausted by then, whatever the draws
@@ -208,9 +215,7 @@ def blend_sweep(
         ranked.filter(F.col("_d_pos") == size_of - 1).groupBy("ratio").agg(F.min("slot").alias("_end"))
     )
     kept = ranked.join(F.broadcast(ends), "ratio").filter(F.col("slot") <= F.col("_end"))  # one row per ratio
-    return kept.join(
-        rows, (F.col("_d_src") == F.col("_src")) & (F.col("_d_pos") == F.col("_pos")), "inner"
-    ).drop("_d_src", "_d_pos", "_src", "_pos", "_end")
+    return _attach_rows(kept.drop("_end"), rows, tagged, order_col)
 
 
 def source_census(df: DataFrame, source: str = "source") -> DataFrame:

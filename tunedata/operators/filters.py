@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tunedata.functions.templates import WHITE_SPACE
+
 SOURCE_FLAGS = ("all", "ft", "harmful")
 
 
 def word_tokens(text: Column) -> Column:
     """White-space tokens; stands in for a tokenizer where none is supplied."""
-    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    return F.filter(F.split(text, f"[{WHITE_SPACE}]+"), lambda w: w != "")
 
 
 def word_count(text: Column, max_length: int | None = None) -> Column:

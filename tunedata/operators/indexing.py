@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from tunedata.functions.seeded import KEY_BITS, seeded_key
 
 MAX_RANGES = 4096
+HOT_ROWS = 1_000_000
 
 
 def range_count(df: DataFrame) -> int:
@@ -84,6 +85,22 @@ def _range_column(df: DataFrame, key: str, tie: Sequence[str], splits: Sequence
     return major
 
 
+def _hot_groups(df: DataFrame, by: Sequence[str], hot_rows: int) -> DataFrame | None:
+    """Keys of groups with more than ``hot_rows`` rows, or None if there are none.
+
+    One pass over the keys alone, with partial counts; at most ``rows / hot_rows`` keys.
+    """
+    counted = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    return None if counted.isEmpty() else counted.select(*[F.col(b).alias(f"_by_{b}") for b in by])
+
+
+def _same_group(by: Sequence[str]) -> Column:
+    condition = F.lit(True)
+    for b in by:
+        condition = condition & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
+    return condition
+
+
 def running_sums(
     df: DataFrame,
     key: str,
@@ -93,22 +110,36 @@ def running_sums(
     tie: Sequence[str] = (),
     splits: Sequence | None = None,
     ranges: int | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add inclusive running sums in ``(key, *tie)`` order, per group of ``by``.
 
-    ``key`` is a non-null number and ``(key, *tie)`` orders the rows totally. No
-    task ever holds more than about ``rows / ranges`` rows, however the groups are
-    distributed.
+    ``key`` is a non-null number and ``(key, *tie)`` orders the rows totally. Without
+    groups, and in groups of more than ``hot_rows`` rows, the sums are made in two phases,
+    so that no task holds more than about ``rows / ranges`` rows; small groups use a plain
+    window. ``df`` is read up to three times: checkpoint it first if it is costly to make.
     """
-    by, tie = list(by), list(tie)
-    ranges = ranges or range_count(df)
-    placed = df.withColumn("_range", _range_column(df, key, tie, splits, ranges))
-    for name, value in sums.items():
-        placed = placed.withColumn(f"_v_{name}", value)
-    names = list(sums)
-
-    totals = placed.groupBy(*by, "_range").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
-    # At most one row per range (and group), so this window stays small.
+    by, tie, names = list(by), list(tie), list(sums)
+    hot = _hot_groups(df, by, hot_rows) if by else None
+    placed = df.select("*", *[value.alias(f"_v_{name}") for name, value in sums.items()])
+    if by and hot is None:
+        return _inside(placed, names, by, key, tie).select(
+            *[c for c in df.columns if c not in names], *[F.col(f"_l_{n}").alias(n) for n in names]
+        )
+
+    if hot is None:
+        number = _range_column(df, key, tie, splits, ranges or range_count(df))
+        placed = placed.withColumn("_range", number)
+    else:
+        marked = placed.join(hot.withColumn("_hot", F.lit(True)), _same_group(by), "left")
+        in_hot = df.join(hot, _same_group(by), "left_semi")
+        number = _range_column(in_hot, key, tie, splits, ranges or range_count(df))
+        placed = marked.withColumn("_range", F.when(F.col("_hot"), number).otherwise(F.lit(-1)))
+        placed = placed.drop("_hot", *[f"_by_{b}" for b in by])
+    totals = placed.filter(F.col("_range") >= 0).groupBy(*by, "_range").agg(
+        *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names]
+    )
+    # At most one row per range (and hot group), so this window stays small.
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *[F.col(b).alias(f"_by_{b}") for b in by],
@@ -117,21 +148,20 @@ def running_sums(
     )
     if not by:
         offsets = F.broadcast(offsets)  # at most 64 * (2 * MAX_RANGES) short rows
-    inside = Window.partitionBy(*by, "_range").orderBy(key, *tie)
-    inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = placed
-    for n in names:
-        local = local.withColumn(f"_l_{n}", F.sum(f"_v_{n}").over(inside))
-    condition = F.col("_range") == F.col("_o_range")
-    for b in by:
-        condition = condition & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
-    keep = [c for c in df.columns if c not in names]
-    return local.join(offsets, condition, "inner").select(
-        *keep,
+    local = _inside(placed, names, [*by, "_range"], key, tie)
+    condition = (F.col("_range") == F.col("_o_range")) & _same_group(by)
+    return local.join(offsets, condition, "left").select(
+        *[c for c in df.columns if c not in names],
         *[(F.col(f"_l_{n}") + F.coalesce(F.col(f"_o_{n}"), F.lit(0))).alias(n) for n in names],
     )
 
 
+def _inside(df: DataFrame, names: list[str], groups: list[str], key: str, tie: list[str]) -> DataFrame:
+    window = Window.partitionBy(*groups).orderBy(key, *tie)
+    window = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.select("*", *[F.sum(f"_v_{n}").over(window).alias(f"_l_{n}") for n in names])
+
+
 def rank_rows(
     df: DataFrame,
     key: str,
@@ -141,10 +171,11 @@ def rank_rows(
     out: str = "pos",
     splits: Sequence | None = None,
     ranges: int | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add the dense zero-based position of each row in ``(key, *tie)`` order, per group."""
     one = {out: F.lit(1).cast("bigint")}
-    ranked = running_sums(df, key, one, by=by, tie=tie, splits=splits, ranges=ranges)
+    ranked = running_sums(df, key, one, by=by, tie=tie, splits=splits, ranges=ranges, hot_rows=hot_rows)
     return ranked.withColumn(out, F.col(out) - 1)
 
 

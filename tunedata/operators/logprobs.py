@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tunedata.functions.arrays import array_softmax, clamp, log_sum_exp
+from tunedata.functions.arrays import array_softmax, clamp, let, log_sum_exp
 from tunedata.operators.tokens import IGNORE_LABEL
 
 # --- fixed values -------------------------------------------------------------------
@@ -129,14 +129,16 @@ def distillation(df: DataFrame, by: list[str] | None = None) -> DataFrame:
 
     Infinite student logits contribute nothing.
     """
-    total = log_sum_exp(F.col("logits"))
-    pairs = F.arrays_zip(F.col("logits").alias("s"), array_softmax(F.col("teacher_logits")).alias("p"))
     infinite = F.lit(float("inf"))
-    x = F.aggregate(
-        pairs,
-        F.lit(0.0),
-        lambda acc, t: acc + F.when(F.abs(t["s"]) == infinite, F.lit(0.0)).otherwise(t["p"] * (t["s"] - total)),
-    )
+    teacher = array_softmax(F.col("teacher_logits"))
+
+    def cross(total: Column) -> Column:
+        terms = F.zip_with(
+            "logits", teacher, lambda s, p: F.when(F.abs(s) == infinite, F.lit(0.0)).otherwise(p * (s - total))
+        )
+        return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t)
+
+    x = let(log_sum_exp(F.col("logits")), cross)
     valid = (F.col("label") != IGNORE_LABEL).cast("int")
     return df.groupBy(*(by or [])).agg((-F.try_divide(F.sum(x * valid), F.sum(valid))).alias("kd_loss"))
 

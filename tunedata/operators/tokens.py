@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tunedata.functions.arrays import let
 from tunedata.operators.indexing import running_sums
 
 # --- fixed values -------------------------------------------------------------------
@@ -53,19 +54,22 @@ def repair_generated(
     Adds ``attention_mask`` and ``action_mask``. A sequence that fills its width, or has
     no real token, gets ``eos`` in its last slot.
     """
-    seq = F.col(tokens)
-    kept = F.transform(seq, lambda t: (t != eos) & (t != pad))
-    last = F.coalesce(F.array_max(F.transform(kept, lambda k, i: F.when(k, i))), F.lit(-1))
-    width = F.size(seq)
-    end = F.when(last < 0, width - 1).otherwise(F.least(last + 1, width - 1))
-    fixed = df.withColumn("_end", end).withColumn("_kept", kept)
-    fixed = fixed.withColumn(
-        tokens, F.transform(seq, lambda t, i: F.when(i == F.col("_end"), F.lit(eos)).otherwise(t))
-    ).withColumn(
-        "attention_mask",
-        F.transform(F.col("_kept"), lambda k, i: (k | (i == F.col("_end"))).cast("int")),
+    real = lambda t: (t != eos) & (t != pad)
+    last = F.aggregate(
+        F.transform(tokens, lambda t, i: F.when(real(t), i).otherwise(-1)), F.lit(-1), lambda a, i: F.greatest(a, i)
     )
+    width = F.size(tokens)
+
+    def repaired(last: Column) -> Column:
+        end = F.when(last < 0, width - 1).otherwise(F.least(last + 1, width - 1))
+        return F.struct(
+            F.transform(tokens, lambda t, i: F.when(i == end, F.lit(eos)).otherwise(t)).alias("tokens"),
+            F.transform(tokens, lambda t, i: (real(t) | (i == end)).cast("int")).alias("mask"),
+        )
+
+    fixed = df.withColumn("_fixed", let(last, repaired))
+    fixed = fixed.withColumn(tokens, F.col("_fixed.tokens")).withColumn("attention_mask", F.col("_fixed.mask"))
     states = F.slice(F.col(tokens), F.col(prompt_length), F.size(tokens) - F.col(prompt_length))
     return fixed.withColumn(
-        "action_mask", F.transform(states, lambda t: ((t != eos) & (t != pad)).cast("int"))
-    ).drop("_end", "_kept")
+        "action_mask", F.transform(states, lambda t: real(t).cast("int"))
+    ).drop("_fixed")

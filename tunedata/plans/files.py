@@ -64,13 +64,9 @@ def src_named(spark, sf_dir):
 
 @query("src_json_array", "SELECT conv_id, turn, text FROM conversations")
 def src_json_array(spark, sf_dir):
-    """One JSON list per conversation, as separate records of many lines."""
-    base = scratch_path(spark, "arrays")
-    record = F.to_json(F.collect_list(F.struct("conv_id", "turn", "text")), {"pretty": "true"})
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(record.alias("value"))
-    # A file holds one list, so each list goes to a folder and file of its own.
-    rows.withColumnRenamed("conv_id", "list").write.partitionBy("list").text(base)
-    back = rd.read_json_array(spark, base, "conv_id bigint, turn bigint, text string")
+    turns = table(spark, sf_dir, "conversations").repartition("conv_id")
+    path = wr.write_json_array(turns, scratch_path(spark, "arrays"))
+    back = rd.read_json_array(spark, path, "conv_id bigint, turn bigint, text string")
     return back.select("conv_id", "turn", "text")
 
 

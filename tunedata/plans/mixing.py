@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tunedata.operators import blending as bl
-from tunedata.operators.filters import keep_trainable, word_count
-from tunedata.operators.indexing import dense_ids
+from tunedata.operators.examples import index_examples
 from tunedata.plans.filtering import WORDS_SQL
 from tunedata.plans.registry import examples, query, table
 
@@ -102,10 +101,8 @@ SELECT row_number() OVER (ORDER BY doc_id) - 1 AS id, doc_id FROM documents WHER
 """)
 def idx_dense(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(
-        "doc_id", F.col("text").alias("prompt"), F.col("source").alias("response"),
-        word_count(F.col("text"), 512).alias("prompt_tokens"))
-    kept = keep_trainable(docs, max_length=512)
-    return dense_ids(kept, "doc_id").select("id", "doc_id")
+        "doc_id", F.col("text").alias("prompt"), F.col("source").alias("response"))
+    return index_examples(docs, "doc_id", max_length=512).select("id", "doc_id")
 
 
 @query("src_census", """

@@ -8,21 +8,19 @@ from tunedata.functions.templates import PREAMBLE, instruction_prompt
 from tunedata.operators import distribution as ds
 from tunedata.operators import ranking as rk
 from tunedata.operators import rewards as rw
-from tunedata.operators.filters import keep_trainable, word_count
-from tunedata.operators.indexing import dense_ids
+from tunedata.operators.examples import index_examples
 from tunedata.plans.filtering import WORDS_SQL
 from tunedata.plans.registry import EXAMPLES_SQL, WEIGHT_STATE_SQL, examples, query, r6, table, weight_state
+from tunedata.session import cut_lineage
 
 
 def _trained(spark, sf_dir):
-    """Templated, filtered and indexed examples with a logged logit."""
-    rows = examples(spark, sf_dir).select(
-        "doc_id", "source", "n_chars", "quality", "toxic", instruction_prompt(F.col("text")).alias("prompt"),
-        F.when(F.col("quality") == 1, "positive").otherwise("negative").alias("response"))
-    counted = rows.withColumn("prompt_tokens", word_count(F.col("prompt"), 1024))
+    """Templated examples, and their indexed keys with a logged logit."""
+    rows = examples(spark, sf_dir).withColumn("prompt", instruction_prompt(F.col("text"))).withColumn(
+        "response", F.when(F.col("quality") == 1, "positive").otherwise("negative"))
     logit = ((F.col("n_chars") % 97) / 97.0 + F.col("quality") * 0.5 - F.col("toxic")).cast("double")
-    kept = keep_trainable(counted, max_length=1024).withColumn("logit", logit)
-    return dense_ids(kept.drop("n_chars", "quality", "toxic", "prompt_tokens"), "doc_id")
+    indexed = index_examples(rows, "doc_id", max_length=1024)
+    return rows, indexed.select("id", "doc_id", "source", "response", logit.alias("logit"))
 
 
 TRAINED_SQL = f"""
@@ -39,9 +37,11 @@ r AS (SELECT t.*, exp(logit - top) / total * 1000 AS score FROM t, m, s)
 
 
 def _scored(spark, sf_dir):
-    trained = _trained(spark, sf_dir)
+    """Scores are attached and ranked on short rows; texts are joined to the result."""
+    rows, trained = _trained(spark, sf_dir)
+    trained = cut_lineage(trained)
     weights = trained.select(F.col("id").alias("example_id"), "logit")
-    return rk.attach_scores(trained.drop("logit"), weights)
+    return rows.select("doc_id", "prompt"), rk.attach_scores(trained.drop("logit"), weights)
 
 
 @query("rank_scores", SCORED_SQL + """
@@ -50,8 +50,9 @@ SELECT id, doc_id, source, prompt, response, round(logit, 6) AS score_logit, rou
 """)
 def rank_scores(spark, sf_dir):
     """Filter, index, weight and rank all examples, with their place in the order."""
-    ranked = rk.rank_by_score(_scored(spark, sf_dir), score="score_logit")
-    return ranked.select(
+    texts, scored = _scored(spark, sf_dir)
+    ranked = rk.rank_by_score(scored, score="score_logit")
+    return ranked.join(texts, "doc_id").select(
         "id", "doc_id", "source", "prompt", "response", r6("score_logit", "score_logit"),
         r6("score_softmax", "score_softmax"), "rank")
 
@@ -77,7 +78,7 @@ UNION ALL SELECT 'harmful', id, round(score, 6) FROM r WHERE source = 'harmful'
 UNION ALL SELECT 'answers', id, round(score, 6) FROM r WHERE response IN ('positive', 'negative')
 """)
 def rank_split(spark, sf_dir):
-    scored = _scored(spark, sf_dir)
+    _, scored = _scored(spark, sf_dir)
     parts = {**rk.ranked_splits(scored), "answers": rk.ranked_splits(scored, by="response")["ft"]}
     rows = [df.select(F.lit(name).alias("part"), "id", r6("score_softmax", "score")) for name, df in parts.items()]
     return rows[0].union(rows[1]).union(rows[2])

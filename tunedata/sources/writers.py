@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -11,6 +14,27 @@ def write_json(df: DataFrame, path: str, mode: str = "error") -> str:
     return path
 
 
+def write_json_array(df: DataFrame, path: str) -> str:
+    """JSON lists of records, one list per file and one file per partition.
+
+    Rows pass through one at a time, so a list may be longer than memory.
+    """
+
+    def bracket(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": ["["]})
+        first = True
+        for frame in frames:
+            lines = frame["value"].tolist()
+            if lines:
+                yield pd.DataFrame({"value": [(line if first and i == 0 else "," + line) for i, line in enumerate(lines)]})
+                first = False
+        yield pd.DataFrame({"value": ["]"]})
+
+    lines = df.select(F.to_json(F.struct("*")).alias("value"))
+    lines.mapInPandas(bracket, "value string").write.text(path)
+    return path
+
+
 def write_manifest(examples: DataFrame, path: str) -> str:
     """Index, prompt, response and source of every example."""
     examples.select(F.col("id").alias("index"), "prompt", "response", "source").write.parquet(path)

@@ -14,7 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tunedata.functions.seeded import seeded_unit
-from tunedata.operators.indexing import range_count, rank_rows, row_total
+from tunedata.operators.indexing import range_count, rank_rows
+from tunedata.operators.scalars import row_total
 
 # --- fixed values: source names by position in the list -----------------------------
 SOURCE_NAMES = ("ft", "harmful", "system")

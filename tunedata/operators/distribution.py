@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tunedata.operators.scalars import scalars
+
 # --- fixed values: bandwidth factors and grid of the density curves -----------------
 BANDWIDTH = 0.01
 BANDWIDTH_HARMFUL = 0.5
@@ -18,8 +20,8 @@ def value_range(df: DataFrame, value: str) -> DataFrame:
     return df.agg(F.min(value).alias("low"), F.max(value).alias("high"))
 
 
-def _range_struct(df: DataFrame, value: str) -> Column:
-    return df.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high"))).scalar()
+def _span(df: DataFrame, value: str) -> dict[str, Column]:
+    return scalars(df, low=F.min(value), high=F.max(value))
 
 
 def density(
@@ -33,7 +35,7 @@ def density(
     centre, at most ``range / (2 * bins)`` away), or by exact value with ``bins=None``, so
     the work after the count does not grow with the rows.
     """
-    span = _range_struct(snapshots, value)
+    span = _span(snapshots, value)
     rows = snapshots if members is None else snapshots.filter(members)
     x = F.col(value).cast("double")
     width = (span["high"] - span["low"]) / F.lit(float(bins or 1))
@@ -61,7 +63,7 @@ def density(
 
 def histogram(df: DataFrame, value: str, bins: int, *, step: str = "step") -> DataFrame:
     """Counts per step in equally wide bins over the range of all values (numbered from 1)."""
-    span = _range_struct(df, value)
+    span = _span(df, value)
     share = F.try_divide(F.col(value) - span["low"], span["high"] - span["low"])
     number = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins) + 1, F.lit(bins))
     return df.groupBy(step, number.cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -194,8 +194,3 @@ def dense_ids(df: DataFrame, key: str, *, tie: Sequence[str] = (), out: str = "i
         df = df.withColumnRenamed(key, "_order")
         return rank_rows(df, "_order", tie=tie, out=out).drop("_order")
     return rank_rows(df, key, tie=tie, out=out)
-
-
-def row_total(df: DataFrame) -> Column:
-    """Row count of ``df`` as a scalar sub-query."""
-    return df.agg(F.count(F.lit(1))).scalar()

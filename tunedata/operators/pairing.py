@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tunedata.operators.indexing import row_total, shuffle_rank
+from tunedata.operators.indexing import shuffle_rank
+from tunedata.operators.scalars import row_total, scalars
 
 
 def assign_shards(
@@ -16,7 +17,7 @@ def assign_shards(
     permutation from its start; with ``drop_last`` surplus rows are left out instead.
     """
     placed = shuffle_rank(df, id_col, seed=seed + epoch, out="_perm")
-    n = row_total(df)
+    n = row_total(df).cast("bigint")
     if drop_last:
         kept = placed.filter(F.col("_perm") < F.floor(n / F.lit(shards)) * shards)
     else:
@@ -42,8 +43,8 @@ def cyclic_zip(a: DataFrame, b: DataFrame, *, batch: str = "batch", epoch: int =
     the longer side. The repeated side goes on where the last epoch left it; if that is
     the first side, one more of its batches is used up at each end of an epoch.
     """
-    n_a = a.agg(F.coalesce(F.max(batch) + 1, F.lit(0)).cast("bigint")).scalar()
-    n_b = b.agg(F.coalesce(F.max(batch) + 1, F.lit(0)).cast("bigint")).scalar()
+    last = F.coalesce(F.max(batch) + 1, F.lit(0)).cast("bigint")
+    n_a, n_b = scalars(a, n=last)["n"].cast("bigint"), scalars(b, n=last)["n"].cast("bigint")
     length = F.greatest(n_a, n_b)
 
     def steps(own, extra: int):
@@ -77,11 +78,7 @@ def balanced_interleave(
     Adds ``slot``. With ``strict`` unequal class sizes are an error.
     """
     placed = shuffle_rank(df, id_col, seed=seed + epoch, by=[label], out="_rank")
-    sizes = df.agg(
-        F.struct(
-            F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
-        )
-    ).scalar()
+    sizes = scalars(df, pos=F.count_if(F.col(label) == 1), neg=F.count_if(F.col(label) == 0))
     if strict:
         same = F.assert_true(sizes["pos"] == sizes["neg"], F.lit("classes differ in size"))
         placed = placed.filter(same.isNull())

@@ -7,13 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tunedata.functions.templates import REWARD_TEMPLATE
+from tunedata.operators.scalars import scalars
 
 
 def zscore(df: DataFrame, value: str = "reward", out: str | None = None) -> DataFrame:
     """Centre and scale by the sample standard deviation of the whole table."""
-    stats = df.agg(
-        F.struct(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
-    ).scalar()
+    stats = scalars(df, mean=F.avg(value), std=F.stddev_samp(value))
     return df.withColumn(out or value, F.try_divide(F.col(value) - stats["mean"], stats["std"]))
 
 

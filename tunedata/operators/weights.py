@@ -1,7 +1,7 @@
 """One learnable weight per example, updated from logged per-example losses.
 
 State is a table ``(example_id, logit, m, v)``. Normalising over all examples needs only
-a few sums, which enter as scalar sub-queries, never as a window over the whole table.
+a few whole-table sums, never a window over the whole table.
 """
 
 from __future__ import annotations
@@ -9,11 +9,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tunedata.functions.arrays import dot, sigmoid
-from tunedata.session import cut_lineage
+from tunedata.operators.scalars import scalars
+from tunedata.session import cut_lineage, scratch_path
 
 # --- fixed values: start logits, scales, optimiser settings, objective modes --------
 START_LOGITS = {"softmax": 0.1, "sigmoid": -1e-4, "linear": -1e-4}
@@ -45,16 +47,10 @@ def init_logits(ids: DataFrame, activation: str = "softmax", init: float | None
     )
 
 
-def softmax_terms(df: DataFrame, logit: str = "logit") -> Column:
-    """Scalar struct ``(top, total, n)``: shares are ``exp(logit - top) / total``."""
-    top = df.agg(F.max(logit)).scalar()
-    return df.agg(
-        F.struct(
-            F.max(logit).alias("top"),
-            F.sum(F.exp(F.col(logit) - top)).alias("total"),
-            F.count(F.lit(1)).alias("n"),
-        )
-    ).scalar()
+def softmax_terms(df: DataFrame, logit: str = "logit") -> dict[str, Column]:
+    """``top``, ``total`` and ``n``: shares are ``exp(logit - top) / total``."""
+    base = scalars(df, top=F.max(logit), n=F.count(F.lit(1)))
+    return {**base, **scalars(df, total=F.sum(F.exp(F.col(logit) - base["top"])))}
 
 
 def to_weights(df: DataFrame, activation: str = "softmax", logit: str = "logit", out: str = "weight") -> DataFrame:
@@ -158,26 +154,22 @@ class UpdateConfig:
     mass_n: int | None = None
 
 
-def _gradient(df: DataFrame, cfg: UpdateConfig, scalar: Callable[[DataFrame, dict[str, Column]], dict[str, Column]]) -> Column:
+def _gradient(df: DataFrame, cfg: UpdateConfig) -> Column:
     """Derivative of the weighted batch loss and the chosen priors by each logit.
 
     ``df`` is the state with ``batch_loss`` (sum over the example's rows in the batch,
-    0 outside) and ``batch_rows``; ``scalar`` turns aggregates into one-value columns.
+    0 outside) and ``batch_rows``.
     """
     z, loss = F.col("logit"), F.col("batch_loss")
-    base = scalar(
+    base = scalars(
         df,
-        {
-            "top": F.max("logit"),
-            "n": F.count(F.lit(1)).cast("double"),
-            "rows": F.greatest(F.sum("batch_rows"), F.lit(1)).cast("double"),
-        },
+        top=F.max("logit"),
+        n=F.count(F.lit(1)).cast("double"),
+        rows=F.greatest(F.sum("batch_rows"), F.lit(1)).cast("double"),
     )
     if cfg.activation == "softmax":
         e = F.exp(z - base["top"])
-        sums = scalar(
-            df, {"total": F.sum(e), "hit": F.sum(e * loss), "moment": F.sum(e * (z - base["top"]))}
-        )
+        sums = scalars(df, total=F.sum(e), hit=F.sum(e * loss), moment=F.sum(e * (z - base["top"])))
         share = e / sums["total"]
         grad = base["n"] / base["rows"] * share * (loss - sums["hit"] / sums["total"])
         if cfg.entropy:
@@ -194,7 +186,7 @@ def _gradient(df: DataFrame, cfg: UpdateConfig, scalar: Callable[[DataFrame, dic
     if cfg.gauss:
         grad = grad + F.lit(cfg.gauss) * (z - cfg.gauss_mu) / F.lit(cfg.gauss_sigma**2)
     if cfg.mass and cfg.activation != "softmax":  # the mass is fixed under softmax
-        mass = scalar(df, {"mass": F.sum(weight)})["mass"]
+        mass = scalars(df, mass=F.sum(weight))["mass"]
         n = F.lit(float(cfg.mass_n)) if cfg.mass_n is not None else base["n"]
         gap = mass - F.floor(n * cfg.mass_ratio)
         prior = F.exp(-gap * gap / (2 * cfg.mass_sigma**2))
@@ -226,22 +218,23 @@ def _with_batch(state: DataFrame, losses: DataFrame) -> DataFrame:
     return state.join(per_id, "example_id", "left").fillna({"batch_loss": 0.0, "batch_rows": 0})
 
 
-def _scalar_query(df: DataFrame, aggregates: dict[str, Column]) -> dict[str, Column]:
-    row = df.agg(F.struct(*[a.alias(n) for n, a in aggregates.items()])).scalar()
-    return {n: row[n] for n in aggregates}
-
-
-def _scalar_now(df: DataFrame, aggregates: dict[str, Column]) -> dict[str, Column]:
-    row = df.agg(*[a.alias(n) for n, a in aggregates.items()]).first()
-    return {n: F.lit(row[n]) for n in aggregates}
-
+def update_logits(
+    state: DataFrame,
+    losses: DataFrame,
+    cfg: UpdateConfig = UpdateConfig(),
+    step: int = 1,
+    *,
+    store: Callable[[DataFrame], DataFrame] = cut_lineage,
+) -> DataFrame:
+    """State after one weight step on ``losses`` (``example_id, loss``).
 
-def update_logits(state: DataFrame, losses: DataFrame, cfg: UpdateConfig = UpdateConfig(), step: int = 1) -> DataFrame:
-    """State after one weight step on ``losses`` (``example_id, loss``). Lazy."""
+    The join of state and batch is stored once, read for a few whole-table sums, and
+    projected to the new state.
+    """
     _check_activation(cfg.activation)
-    joined = _with_batch(state, losses)
-    grad = _gradient(joined, cfg, _scalar_query)
-    norm = joined.select(F.sqrt(F.sum(F.pow(grad, F.lit(2.0))))).scalar()
+    joined = store(_with_batch(state, losses))
+    grad = _gradient(joined, cfg)
+    norm = scalars(joined, norm=F.sqrt(F.sum(F.pow(grad, F.lit(2.0)))))["norm"]
     return _adam(joined, grad, norm, cfg, step)
 
 
@@ -253,36 +246,26 @@ def run_schedule(
     steps: range,
     snapshot_every: int | None = None,
     write_snapshot: Callable[[int, DataFrame], None] | None = None,
-    checkpoint_every: int = 10,
 ) -> DataFrame:
     """Run one weight step per number in ``steps`` over ``losses`` (``step, example_id, loss``).
 
-    The steps depend on each other, so this is a loop; every step is a handful of
-    cluster-wide sums (only those scalars reach the driver) and one projection. The plan
-    is cut by a checkpoint in the shared folder every ``checkpoint_every`` steps.
+    Each step depends on the one before, so this is a loop; a step is one join written to the
+    shared folder and a handful of cluster-wide sums (only those numbers reach the driver).
+    Two tables are written in turn, so plans stay short and a lost executor costs at most the
+    running step.
     """
     _check_activation(cfg.activation)
-    losses = losses.persist()
-    current, held = state, []
-    try:
-        for done, step in enumerate(steps, start=1):
-            batch = losses.filter(F.col("step") == step).select("example_id", "loss")
-            joined = _with_batch(current, batch).persist()
-            held.append(joined)
-            grad = _gradient(joined, cfg, _scalar_now)
-            norm = _scalar_now(joined, {"norm": F.sqrt(F.sum(F.pow(grad, F.lit(2.0))))})["norm"]
-            current = _adam(joined, grad, norm, cfg, done)
-            if done % checkpoint_every == 0 or done == len(steps):
-                current = cut_lineage(current)
-                while held:
-                    held.pop().unpersist()
-            if write_snapshot and snapshot_every and done % snapshot_every == 0:
-                write_snapshot(step, current)
-    finally:
-        while held:
-            held.pop().unpersist()
-        losses.unpersist()
-    return current
+    spark = state.sparkSession
+    logged = cut_lineage(losses)
+    tables = (scratch_path(spark, "state"), scratch_path(spark, "state"))
+    current = state
+    for done, step in enumerate(steps, start=1):
+        batch = logged.filter(F.col("step") == step).select("example_id", "loss")
+        store = partial(cut_lineage, path=tables[done % 2])
+        current = update_logits(current, batch, cfg, done, store=store)
+        if write_snapshot and snapshot_every and done % snapshot_every == 0:
+            write_snapshot(step, current)
+    return cut_lineage(current)
 
 
 def pool(df: DataFrame, how: str, *, key: str, pos: str, vector: str, last: str) -> DataFrame:

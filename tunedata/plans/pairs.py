@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tunedata.operators import exams, pairing
 from tunedata.operators.filters import word_tokens
 from tunedata.operators.indexing import rank_rows
-from tunedata.plans.registry import EXAMPLES_SQL, WEIGHT_STATE_SQL, examples, query, table, r6, weight_state
+from tunedata.plans.registry import EXAMPLES_SQL, WEIGHT_STATE_SQL, examples, query, r6, table, weight_state
+from tunedata.session import cut_lineage
 
 
 def key_sql(seed: int, column: str) -> str:
@@ -37,7 +38,7 @@ def batch_assign(spark, sf_dir):
 
 def _batched(spark, sf_dir, source: str, size: int):
     rows = examples(spark, sf_dir).filter(F.col("source") == source).select("doc_id")
-    return pairing.assign_batches(rank_rows(rows, "doc_id"), size).select("doc_id", "batch")
+    return cut_lineage(pairing.assign_batches(rank_rows(cut_lineage(rows), "doc_id"), size).select("doc_id", "batch"))
 
 
 @query("zip_cyclic", f"""

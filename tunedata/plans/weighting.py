@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tunedata.operators import weights as wt
-from tunedata.operators.indexing import row_total, shuffle_rank
+from tunedata.operators.indexing import shuffle_rank
+from tunedata.operators.scalars import row_total
 from tunedata.plans.registry import EXAMPLES_SQL, WEIGHT_STATE_SQL, examples, query, r6, table, weight_state
+from tunedata.session import cut_lineage
 
 SOFTMAX_SQL = f"""
 z AS ({WEIGHT_STATE_SQL}),
@@ -146,8 +148,7 @@ def w_step1(spark, sf_dir):
 @query("w_run")
 def w_run(spark, sf_dir):
     """Two epochs of four batches each over all examples."""
-    ids = examples(spark, sf_dir).select(
-        F.col("doc_id").alias("example_id"), ((F.col("n_chars") % 89) / 89.0 + 0.1).alias("loss"))
+    ids = cut_lineage(losses(spark, sf_dir).select("example_id", "loss"))
     placed = shuffle_rank(ids, "example_id", seed=7)
     quarter = F.floor(4 * F.col("pos") / row_total(ids))
     logged = placed.select(

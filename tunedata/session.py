@@ -52,9 +52,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder, so a lost executor never forces a full replay."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    What follows starts from files every executor can reach, so a lost executor repeats no
+    earlier work, and repeated reads scan only the columns they need. A given ``path`` is
+    overwritten; it must not be one that ``df`` itself reads.
+    """
+    spark = df.sparkSession
+    path = path or scratch_path(spark, "table")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

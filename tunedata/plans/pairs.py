@@ -36,11 +36,6 @@ def batch_assign(spark, sf_dir):
     return pairing.assign_batches(shards, 10, pos="shard_pos").select("doc_id", "shard", "batch")
 
 
-def _batched(spark, sf_dir, source: str, size: int):
-    rows = examples(spark, sf_dir).filter(F.col("source") == source).select("doc_id")
-    return cut_lineage(pairing.assign_batches(rank_rows(cut_lineage(rows), "doc_id"), size).select("doc_id", "batch"))
-
-
 @query("zip_cyclic", f"""
 WITH e AS (SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 10 AS batch FROM ({EXAMPLES_SQL})),
 len AS (SELECT max(batch) FILTER (source = 'harmful') + 1 AS na, max(batch) FILTER (source = 'ft') + 1 AS nb FROM e),
@@ -50,7 +45,11 @@ b AS (SELECT batch AS step, 'b' AS side, doc_id, batch FROM e WHERE source = 'ft
 SELECT * FROM a UNION ALL SELECT * FROM b
 """)
 def zip_cyclic(spark, sf_dir):
-    return pairing.cyclic_zip(_batched(spark, sf_dir, "harmful", 10), _batched(spark, sf_dir, "ft", 10), epoch=2)
+    rows = examples(spark, sf_dir).select("doc_id", "source")
+    batches = pairing.assign_batches(rank_rows(rows, "doc_id", by=["source"]), 10)
+    batches = cut_lineage(batches.select("doc_id", "batch", "source"))
+    side = lambda name: batches.filter(F.col("source") == name).drop("source")
+    return pairing.cyclic_zip(side("harmful"), side("ft"), epoch=2)
 
 
 @query("join_pred", """

@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from tunedata.functions.arrays import let
 from tunedata.functions.seeded import seeded_choice
-from tunedata.functions.templates import WHITE_SPACE, strip
+from tunedata.functions.templates import SPACE_CLASS, strip
 
 # --- fixed values: number form, option letters, answer phrases ----------------------
 NUMBER_PATTERN = r"-?\d+\.?\d*"
@@ -45,7 +45,7 @@ def extract_number(text: Column, marker: str) -> Column:
 def normalise_answer(text: Column) -> Column:
     """Lower case, no ASCII punctuation, single spaces."""
     bare = F.regexp_replace(F.lower(text), r"\p{Punct}+", "")
-    return strip(F.regexp_replace(bare, f"[{WHITE_SPACE}]+", " "))
+    return strip(F.regexp_replace(bare, f"[{SPACE_CLASS}]+", " "))
 
 
 def _or_null(text: Column) -> Column:

@@ -39,6 +39,13 @@ WHITE_SPACE = (
 )
 # ------------------------------------------------------------------------------------
 
+# The same characters as a Java class. Latin ones share a bit set and the rest is looked at
+# only from U+1680 on, so ordinary letters cost two tests.
+SPACE_CLASS = (
+    r"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
+    r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
+)
+
 
 def fill(template: str, value: Column) -> Column:
     """Put ``value`` where ``template`` has ``{}``."""

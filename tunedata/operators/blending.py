@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tunedata.functions.seeded import seeded_unit
 from tunedata.operators.indexing import range_count, rank_rows
-from tunedata.operators.scalars import row_total
 
 # --- fixed values: source names by position in the list -----------------------------
 SOURCE_NAMES = ("ft", "harmful", "system")
@@ -52,19 +51,21 @@ def source_name(position: int) -> str:
 
 
 def take_slice(df: DataFrame, order_col: str, *, start: int = 0, max_count: int | None = None) -> DataFrame:
-    """Rows ``start .. start + max_count`` by position; adds the position in the slice."""
-    placed = rank_rows(df, order_col, out="_pos").filter(F.col("_pos") >= start)
+    """Rows ``start .. start + max_count`` by position; adds the position in the slice.
+
+    Only the order column (unique) is ranked; whole rows move once, or not at all where the
+    slice is small enough to be sent to them.
+    """
+    placed = rank_rows(df.select(order_col), order_col, out="_pos").filter(F.col("_pos") >= start)
     if max_count is not None:
         placed = placed.filter(F.col("_pos") < start + max_count)
-    return placed.withColumn("_pos", F.col("_pos") - start)
+    return df.join(placed.withColumn("_pos", F.col("_pos") - start), order_col)
 
 
 def eval_tail(df: DataFrame, order_col: str, max_count: int) -> DataFrame:
     """Last ``min(0.1 * max_count, 1 % of the rows)`` rows, for data without an eval split."""
-    total = row_total(df)
-    keep = F.floor(F.least(F.lit(max_count * 0.1), total * F.lit(0.01)))
-    placed = rank_rows(df, order_col, out="_pos")
-    return placed.filter(F.col("_pos") >= total - keep).drop("_pos")
+    total = df.count()
+    return take_slice(df, order_col, start=total - math.floor(min(max_count * 0.1, total * 0.01))).drop("_pos")
 
 
 def eval_split(splits: dict[str, DataFrame], name: str, order_col: str, max_count: int) -> DataFrame:
@@ -220,10 +221,12 @@ def blend_sweep(
 
 
 def source_census(df: DataFrame, source: str = "source") -> DataFrame:
-    """Rows per source and in total."""
+    """Rows per source and in total (the total is added up from the counts)."""
     return (
-        df.rollup(source)
-        .agg(F.count(F.lit(1)).alias("n"), F.grouping(source).alias("_all"))
+        df.groupBy(source)
+        .count()
+        .rollup(source)
+        .agg(F.sum("count").alias("n"), F.grouping(source).alias("_all"))
         .select(
             F.when(F.col("_all") == 1, F.lit("total")).otherwise(F.col(source)).alias("source"), "n"
         )

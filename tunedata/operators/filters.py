@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tunedata.functions.templates import WHITE_SPACE
+from tunedata.functions.templates import SPACE_CLASS
 
 SOURCE_FLAGS = ("all", "ft", "harmful")
 
 
 def word_tokens(text: Column) -> Column:
     """White-space tokens; stands in for a tokenizer where none is supplied."""
-    return F.filter(F.split(text, f"[{WHITE_SPACE}]+"), lambda w: w != "")
+    return F.filter(F.split(text, f"[{SPACE_CLASS}]+"), lambda w: w != "")
 
 
 def word_count(text: Column, max_length: int | None = None) -> Column:
-    n = F.size(word_tokens(text))
+    n = F.regexp_count(text, F.lit(f"[^{SPACE_CLASS}]+"))
     return F.least(n, F.lit(max_length)) if max_length is not None else n
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from tunedata.functions.seeded import KEY_BITS, seeded_key
 
 MAX_RANGES = 4096
-HOT_ROWS = 1_000_000
+HOT_ROWS = 250_000
 
 
 def range_count(df: DataFrame) -> int:

@@ -55,9 +55,7 @@ def repair_generated(
     no real token, gets ``eos`` in its last slot.
     """
     real = lambda t: (t != eos) & (t != pad)
-    last = F.aggregate(
-        F.transform(tokens, lambda t, i: F.when(real(t), i).otherwise(-1)), F.lit(-1), lambda a, i: F.greatest(a, i)
-    )
+    last = F.coalesce(F.array_max(F.transform(tokens, lambda t, i: F.when(real(t), i))), F.lit(-1))
     width = F.size(tokens)
 
     def repaired(last: Column) -> Column:

@@ -37,6 +37,14 @@ def r6(value, name: str) -> Column:
     return F.round(column.cast("double"), 6).alias(name)
 
 
+def pick(number: Column, options: list) -> Column:
+    """The option with the given number (from 0); only that one is worked out."""
+    result = F.when(number == 0, options[0])
+    for i, option in enumerate(options[1:], start=1):
+        result = result.when(number == i, option)
+    return result
+
+
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents as training examples with their source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")

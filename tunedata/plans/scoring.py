@@ -10,7 +10,7 @@ from tunedata.functions.templates import strip_echo
 from tunedata.operators import evaluation as ev
 from tunedata.operators import exams as ex
 from tunedata.operators import tasks as tk
-from tunedata.plans.registry import EXAMPLES_SQL, examples, query, r6, table
+from tunedata.plans.registry import EXAMPLES_SQL, examples, pick, query, r6, table
 
 STRIP_SQL = "regexp_replace(regexp_replace({}, '^\\s+', ''), '\\s+$', '')"
 
@@ -36,8 +36,8 @@ c AS (SELECT lang, CASE WHEN quality = 0 THEN pred IN ('negative', 'Negative') E
 SELECT lang, count(*) AS n, count(*) FILTER (ok) AS n_correct, round(100 * count(*) FILTER (ok) / count(*), 6) AS score_pct FROM c GROUP BY lang
 """)
 def ev_binary(spark, sf_dir):
-    forms = F.array(*[F.lit(v) for v in ("positive", "Positive", "negative", "Negative", "neutral")], F.col("text"))
-    rows = examples(spark, sf_dir).withColumn("pred", F.element_at(forms, (F.col("doc_id") % 6 + 1).cast("int")))
+    forms = [*[F.lit(v) for v in ("positive", "Positive", "negative", "Negative", "neutral")], F.col("text")]
+    rows = examples(spark, sf_dir).withColumn("pred", pick(F.col("doc_id") % 6, forms))
     return _score(rows.withColumn("correct", ev.matches_forms(F.col("pred"), F.col("quality"), tk.SENTIMENT_FORMS)), "lang")
 
 
@@ -49,8 +49,8 @@ SELECT lang, count(*) AS n, count(*) FILTER (ok) AS n_correct, round(100 * count
 """)
 def ev_multiclass(spark, sf_dir):
     names = ("World", "sports", "business", "sci", "Sci/Tech", "sci/tech", "world")
-    forms = F.array(*[F.lit(v) for v in names], F.col("text"))
-    rows = examples(spark, sf_dir).withColumn("pred", F.element_at(forms, (F.col("doc_id") % 8 + 1).cast("int")))
+    forms = [*[F.lit(v) for v in names], F.col("text")]
+    rows = examples(spark, sf_dir).withColumn("pred", pick(F.col("doc_id") % 8, forms))
     label = F.col("quality") + 2 * F.col("toxic")
     return _score(rows.withColumn("correct", ev.matches_forms(F.col("pred"), label, tk.NEWS_FORMS)), "lang")
 
@@ -59,7 +59,7 @@ def _sentences(spark, sf_dir):
     """Answer sentences of seven kinds around each document's own text and length."""
     text, n = F.col("text"), F.col("n_chars").cast("string")
     mark = F.lit(tk.ANSWER_MARK)
-    kinds = F.array(
+    kinds = [
         F.concat(text, mark, n),
         F.concat(text, F.lit(" so 1,"), n, F.lit(".")),
         F.concat(text, mark, F.lit("none 3 "), mark, n),
@@ -67,9 +67,9 @@ def _sentences(spark, sf_dir):
         F.concat(F.lit("-0.5 "), text),
         F.regexp_replace(text, "[0-9]", ""),
         F.concat(text, F.lit(" 7."), mark, F.lit("-"), n, F.lit(".25 or 4")),
-    )
+    ]
     return table(spark, sf_dir, "documents").select(
-        "doc_id", "lang", F.element_at(kinds, (F.col("doc_id") % 7 + 1).cast("int")).alias("said"),
+        "doc_id", "lang", pick(F.col("doc_id") % 7, kinds).alias("said"),
         F.concat(F.lit("It is "), mark, n).alias("expected"))
 
 
@@ -163,7 +163,7 @@ def _generated(spark, sf_dir):
     """Answers of twelve kinds, each holding the whole text of its document."""
     low = F.translate("text", "ABCD", "abcd")
     letter = F.substring(F.lit("ABCDE"), (F.col("n_chars") % 5 + 1).cast("int"), 1)
-    kinds = F.array(
+    kinds = [
         F.concat(low, F.lit("所以答案是A。x所以答案是"), letter, F.lit("。")),
         F.concat(low, F.lit("所以答案是AB。选项C正确")),
         F.concat(low, letter, F.lit("是正确的")),
@@ -176,8 +176,8 @@ def _generated(spark, sf_dir):
         F.concat(low, F.lit(" "), F.col("source")),
         F.concat(low, F.lit("选择答案D")),
         F.regexp_replace(low, "[a-z0-9]", "_"),
-    )
-    return table(spark, sf_dir, "documents").withColumn("said", F.element_at(kinds, (F.col("doc_id") % 12 + 1).cast("int")))
+    ]
+    return table(spark, sf_dir, "documents").withColumn("said", pick(F.col("doc_id") % 12, kinds))
 
 
 @query("mc_extract", """
@@ -282,8 +282,8 @@ SELECT doc_id, doc_id % 3 < 2 AS correct FROM documents
 def ev_exact(spark, sf_dir):
     text = F.col("text")
     spaced = F.upper(F.replace(text, F.lit(" "), F.lit("  ")))
-    variants = F.array(F.concat(F.lit(" !"), F.replace(text, F.lit("\n"), F.lit(" ")), F.lit("?\t")), text, F.concat(text, F.lit("x")))
-    docs = table(spark, sf_dir, "documents").withColumn("said", F.element_at(variants, (F.col("doc_id") % 3 + 1).cast("int")))
+    variants = [F.concat(F.lit(" !"), F.replace(text, F.lit("\n"), F.lit(" ")), F.lit("?\t")), text, F.concat(text, F.lit("x"))]
+    docs = table(spark, sf_dir, "documents").withColumn("said", pick(F.col("doc_id") % 3, variants))
     lowered = docs.withColumn("wanted", F.when(text == F.lower(F.upper(text)), spaced).otherwise(text))
     return ev.exact_match(lowered, "wanted", "said").select("doc_id", "correct")
 

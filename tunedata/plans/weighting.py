@@ -145,7 +145,26 @@ def w_step1(spark, sf_dir):
     return out.select("example_id", r6("logit", "logit"), r6(100 * F.col("m"), "m100"), r6(10000 * F.col("v"), "v10000"))
 
 
-@query("w_run")
+@query("w_run", f"""
+WITH RECURSIVE q AS (SELECT *, floor(4 * pos / n) AS quarter FROM (
+  SELECT example_id, loss, count(*) OVER () AS n,
+    row_number() OVER (ORDER BY ('0x' || substr(md5('7:' || example_id), 1, 15))::BIGINT, example_id) - 1 AS pos FROM ({LOSSES_SQL}))),
+b AS (SELECT t, list(CASE WHEN quarter = (t - 1) % 4 THEN loss ELSE 0 END ORDER BY example_id) AS l,
+        count(*) FILTER (quarter = (t - 1) % 4) AS rows, count(*) AS n FROM q, range(1, 9) r(t) GROUP BY t),
+s(t, z, m, v) AS (
+  SELECT 0::BIGINT, list(0.1::DOUBLE), list(0::DOUBLE), list(0::DOUBLE) FROM q
+  UNION ALL
+  SELECT t, list_transform(z, lambda x, i: x - 0.005 * (m2[i] / (1 - pow(0.9, t))) / (sqrt(v2[i] / (1 - pow(0.95, t))) + 1e-8)), m2, v2 FROM (
+   SELECT t, z, list_transform(g, lambda x, i: 0.9 * m[i] + 0.1 * c * x) AS m2, list_transform(g, lambda x, i: 0.95 * v[i] + 0.05 * c * x * c * x) AS v2 FROM (
+    SELECT *, least(1, 10 / (sqrt(list_sum(list_transform(g, lambda x: x * x))) + 1e-6)) AS c FROM (
+     SELECT *, list_transform(z, lambda x, i: n / rows * p[i] * (l[i] - hit) + 0.1 * p[i] * (ln(p[i]) - ent)) AS g FROM (
+      SELECT *, list_sum(list_transform(p, lambda x, i: x * l[i])) AS hit, list_sum(list_transform(p, lambda x: x * ln(x))) AS ent FROM (
+       SELECT *, list_transform(e, lambda x: x / total) AS p FROM (
+        SELECT *, list_sum(e) AS total FROM (
+         SELECT b.t, b.l, b.rows, b.n, z, m, v, list_transform(z, lambda x: exp(x)) AS e FROM s JOIN b ON b.t = s.t + 1)))))))
+)
+SELECT unnest((SELECT list(example_id ORDER BY example_id) FROM q)) AS example_id, round(unnest(z), 6) AS logit FROM s WHERE t = 8
+""")
 def w_run(spark, sf_dir):
     """Two epochs of four batches each over all examples."""
     ids = cut_lineage(losses(spark, sf_dir).select("example_id", "loss"))

@@ -67,3 +67,30 @@ def test_shuffle_rank_is_reproducible(spark):
     b = {r.id: r.pos for r in ix.shuffle_rank(df.repartition(7), "id", seed=1).collect()}
     c = {r.id: r.pos for r in ix.shuffle_rank(df, "id", seed=2).collect()}
     assert a == b != c and sorted(a.values()) == list(range(300))
+
+
+def test_callers_agree_when_all_groups_are_hot(spark, monkeypatch):
+    """Blend, shards, averages and token losses give the same rows on the two-phase path."""
+    from tunedata.operators import blending, logprobs, monitoring, pairing
+
+    runs = spark.range(600).select(
+        F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 3).alias("run"), F.col("id").alias("step"),
+        F.sin("id").alias("x"))
+    tokens = spark.range(300).select(
+        (F.col("id") % 2).alias("seq_id"), F.floor(F.col("id") / 2).alias("pos"), (-F.col("id") / 7).alias("logp"),
+        F.when(F.col("id") % 5 == 0, -100).otherwise(1).alias("label"))
+    parts = [spark.range(200), spark.range(90)]
+
+    def results():
+        frames = [
+            blending.blend(parts, [0.7, 0.3], order_col="id", seed=1).select("slot", "id", "source"),
+            blending.blend_sweep(*parts, [0.1, 0.5], order_col="id").select("ratio", "slot", "id"),
+            pairing.balanced_interleave(parts[0].withColumn("y", F.col("id") % 2), "id", "y", seed=1),
+            monitoring.ema(runs, "x", step="step", by=["run"], decay=0.2).select("run", "step", F.round("ema", 9)),
+            logprobs.sequence_loss(tokens).select("seq_id", F.round("loss", 9), "n_tokens"),
+        ]
+        return [sorted(map(tuple, f.collect()), key=repr) for f in frames]
+
+    plain = results()
+    monkeypatch.setattr(ix, "HOT_ROWS", 10)
+    assert results() == plain

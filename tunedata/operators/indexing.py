@@ -15,9 +15,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tunedata.functions.seeded import KEY_BITS, seeded_key
+from tunedata.session import cut_lineage
 
 MAX_RANGES = 4096
 HOT_ROWS = 250_000
+MAX_BROADCAST_KEYS = 100_000
 
 
 def range_count(df: DataFrame) -> int:
@@ -85,13 +87,18 @@ def _range_column(df: DataFrame, key: str, tie: Sequence[str], splits: Sequence
     return major
 
 
-def _hot_groups(df: DataFrame, by: Sequence[str], hot_rows: int) -> DataFrame | None:
-    """Keys of groups with more than ``hot_rows`` rows, or None if there are none.
+def hot_groups(df: DataFrame, by: Sequence[str], hot_rows: int | None = None) -> DataFrame | None:
+    """Keys (as ``_by_...``) of groups with more than ``hot_rows`` rows, or None if there are none.
 
-    One pass over the keys alone, with partial counts; at most ``rows / hot_rows`` keys.
+    One pass over the keys alone, with partial counts. There are at most ``rows / hot_rows``
+    such keys; they are stored, and sent to all tasks as long as they are few.
     """
-    counted = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-    return None if counted.isEmpty() else counted.select(*[F.col(b).alias(f"_by_{b}") for b in by])
+    limit = HOT_ROWS if hot_rows is None else hot_rows
+    counted = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    if counted.isEmpty():
+        return None
+    keys = cut_lineage(counted.select(*[F.col(b).alias(f"_by_{b}") for b in by]))
+    return F.broadcast(keys) if keys.count() <= MAX_BROADCAST_KEYS else keys
 
 
 def _same_group(by: Sequence[str]) -> Column:
@@ -110,17 +117,17 @@ def running_sums(
     tie: Sequence[str] = (),
     splits: Sequence | None = None,
     ranges: int | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Add inclusive running sums in ``(key, *tie)`` order, per group of ``by``.
 
     ``key`` is a non-null number and ``(key, *tie)`` orders the rows totally. Without
-    groups, and in groups of more than ``hot_rows`` rows, the sums are made in two phases,
+    groups, and in groups of more than ``hot_rows`` rows (default ``HOT_ROWS``), the sums are made in two phases,
     so that no task holds more than about ``rows / ranges`` rows; small groups use a plain
     window. ``df`` is read up to three times: checkpoint it first if it is costly to make.
     """
     by, tie, names = list(by), list(tie), list(sums)
-    hot = _hot_groups(df, by, hot_rows) if by else None
+    hot = hot_groups(df, by, hot_rows) if by else None
     placed = df.select("*", *[value.alias(f"_v_{name}") for name, value in sums.items()])
     if by and hot is None:
         return _inside(placed, names, by, key, tie).select(
@@ -131,7 +138,7 @@ def running_sums(
         number = _range_column(df, key, tie, splits, ranges or range_count(df))
         placed = placed.withColumn("_range", number)
     else:
-        marked = placed.join(hot.withColumn("_hot", F.lit(True)), _same_group(by), "left")
+        marked = placed.join(hot.select("*", F.lit(True).alias("_hot")), _same_group(by), "left")
         in_hot = df.join(hot, _same_group(by), "left_semi")
         number = _range_column(in_hot, key, tie, splits, ranges or range_count(df))
         placed = marked.withColumn("_range", F.when(F.col("_hot"), number).otherwise(F.lit(-1)))
@@ -171,7 +178,7 @@ def rank_rows(
     out: str = "pos",
     splits: Sequence | None = None,
     ranges: int | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Add the dense zero-based position of each row in ``(key, *tie)`` order, per group."""
     one = {out: F.lit(1).cast("bigint")}

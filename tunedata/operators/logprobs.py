@@ -6,9 +6,10 @@ partial aggregation, so a sequence or batch with many rows is not gathered anywh
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tunedata.functions.arrays import array_softmax, clamp, let, log_sum_exp
+from tunedata.operators.indexing import hot_groups
 from tunedata.operators.tokens import IGNORE_LABEL
 
 # --- fixed values -------------------------------------------------------------------
@@ -24,7 +25,15 @@ def label_logp(logits: Column, label: Column) -> Column:
 
 
 def next_labels(tokens: DataFrame, seq: str = "seq_id") -> DataFrame:
-    """Token rows with the label that follows each of them (null at the end of a sequence)."""
+    """Token rows with the label that follows each of them (null at the end of a sequence).
+
+    Sequences of usual length use a window; with very long ones rows are matched by position
+    instead, which spreads a sequence over tasks.
+    """
+    if hot_groups(tokens, [seq]) is None:
+        order = Window.partitionBy(seq).orderBy("pos")
+        adjacent = F.lead("pos").over(order) == F.col("pos") + 1
+        return tokens.withColumn("next_label", F.when(adjacent, F.lead("label").over(order)))
     following = tokens.select(seq, (F.col("pos") - 1).alias("pos"), F.col("label").alias("next_label"))
     return tokens.join(following, [seq, "pos"], "left")
 

@@ -44,8 +44,10 @@ def ema(
     ends = local.groupBy(*by, "_block").agg(
         F.max_by("_local", "_i").alias("_end"), F.pow(F.lit(decay), F.max("_i") + 1).alias("_keep")
     )
-    carried = _carry(ends, by)
-    joined = local.join(carried, [*by, "_block"], "left")
+    same = F.col("_block") == F.col("_c_block")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_c_{b.lstrip('_')}"))
+    joined = local.join(_carry(ends, by), same, "left")
     result = F.col("_local") + F.coalesce(F.col("_before"), F.lit(0.0)) * F.pow(F.lit(decay), F.col("_i") + 1)
     return joined.select(*df.columns, result.alias(out))
 
@@ -61,7 +63,8 @@ def _carry(ends: DataFrame, by: list[str]) -> DataFrame:
     for back in range(1, 6):
         before = before + weight * F.coalesce(F.lag("_end", back).over(order), F.lit(0.0))
         weight = weight * F.coalesce(F.lag("_keep", back).over(order), F.lit(0.0))
-    return ends.select(*by, "_block", before.alias("_before"))
+    keys = [F.col(c).alias(f"_c_{c.lstrip('_')}") for c in (*by, "_block")]
+    return ends.select(*keys, before.alias("_before"))
 
 
 def snapshot_ema(previous: DataFrame, current: DataFrame, *, beta: float = SNAPSHOT_DECAY, key: str = "example_id", value: str = "logit") -> DataFrame:

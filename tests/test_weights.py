@@ -109,3 +109,11 @@ def test_pooling_by_hand(spark):
     assert (pick("mean"), pick("last"), pick("first")) == ([2.0, 3.0], [3.0, 4.0], [1.0, 2.0])
     with pytest.raises(ValueError):
         pick("median")
+
+
+def test_stale_shift_is_noticed(spark):
+    df = spark.createDataFrame([(2000.0, 1.0, 1), (1999.0, 0.0, 0)], "logit double, batch_loss double, batch_rows int")
+    near, far = wt._batch_sums(df, 1990.0), wt._batch_sums(df, 0.0)
+    assert (near["shift"], far["shift"]) == (1990.0, 2000.0)
+    assert abs(near["hit"] / near["total"] - far["hit"] / far["total"]) < 1e-12
+    assert abs(far["total"] - (1 + math.exp(-1))) < 1e-12

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def numbers(df: DataFrame, **aggregates: Column) -> dict[str, float]:
+    """Aggregates of the whole table: one job with partial aggregation, one row to the driver."""
+    return df.agg(*[value.alias(name) for name, value in aggregates.items()]).first().asDict()
+
+
 def scalars(df: DataFrame, **aggregates: Column) -> dict[str, Column]:
-    """Aggregates of the whole table as literals.
+    """The same as literals.
 
-    Runs one job with partial aggregation; the numbers named here are all that reaches the
-    driver. Literals keep plans small where a value is used several times or feeds another
+    Literals keep plans small where a value is used several times or feeds another
     aggregate, which would repeat a sub-query's plan at every use.
     """
-    row = df.agg(*[value.alias(name) for name, value in aggregates.items()]).first()
-    return {name: F.lit(row[name]) for name in aggregates}
+    return {name: F.lit(value) for name, value in numbers(df, **aggregates).items()}
 
 
 def row_total(df: DataFrame) -> Column:

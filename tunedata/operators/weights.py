@@ -14,7 +14,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tunedata.functions.arrays import dot, sigmoid
-from tunedata.operators.scalars import scalars
+from tunedata.operators.scalars import numbers, scalars
 from tunedata.session import cut_lineage, scratch_path
 
 # --- fixed values: start logits, scales, optimiser settings, objective modes --------
@@ -31,6 +31,7 @@ SPECIAL_MODES = (SAFE_PLUS_WEIGHTED, WEIGHTED_ONLY, PLAIN_ONLY, SAFE_PLUS_PLAIN)
 # ------------------------------------------------------------------------------------
 
 ACTIVATIONS = ("softmax", "sigmoid", "linear")
+SAFE_SHIFT = 300.0  # exp() of this is far from overflow in sums of any length
 
 
 def _check_activation(activation: str) -> None:
@@ -154,41 +155,57 @@ class UpdateConfig:
     mass_n: int | None = None
 
 
-def _gradient(df: DataFrame, cfg: UpdateConfig) -> Column:
-    """Derivative of the weighted batch loss and the chosen priors by each logit.
+def _batch_sums(df: DataFrame, shift: float | None) -> dict[str, float]:
+    """Whole-table sums of a step, with ``exp(logit - shift)`` for the softmax parts.
 
-    ``df`` is the state with ``batch_loss`` (sum over the example's rows in the batch,
-    0 outside) and ``batch_rows``.
+    Any shift near the largest logit does; the one of the step before saves a pass. If the
+    largest logit has moved far from it, the sums are made again with the right one.
     """
-    z, loss = F.col("logit"), F.col("batch_loss")
-    base = scalars(
+    if shift is None:
+        shift = numbers(df, top=F.max("logit"))["top"]
+    e = F.exp(F.col("logit") - shift)
+    sums = numbers(
         df,
         top=F.max("logit"),
         n=F.count(F.lit(1)).cast("double"),
         rows=F.greatest(F.sum("batch_rows"), F.lit(1)).cast("double"),
+        total=F.sum(e),
+        hit=F.sum(e * F.col("batch_loss")),
+        moment=F.sum(e * (F.col("logit") - shift)),
     )
+    if abs(sums["top"] - shift) > SAFE_SHIFT:
+        return _batch_sums(df, sums["top"])
+    return {**sums, "shift": shift}
+
+
+def _gradient(df: DataFrame, cfg: UpdateConfig, sums: dict[str, float]) -> Column:
+    """Derivative of the weighted batch loss and the chosen priors by each logit.
+
+    ``df`` is the state with ``batch_loss`` (sum over the example's rows in the batch,
+    0 outside) and ``batch_rows``.
+    """
+    z, loss = F.col("logit"), F.col("batch_loss")
+    n, rows = F.lit(sums["n"]), F.lit(sums["rows"])
     if cfg.activation == "softmax":
-        e = F.exp(z - base["top"])
-        sums = scalars(df, total=F.sum(e), hit=F.sum(e * loss), moment=F.sum(e * (z - base["top"])))
-        share = e / sums["total"]
-        grad = base["n"] / base["rows"] * share * (loss - sums["hit"] / sums["total"])
+        share = F.exp(z - sums["shift"]) / sums["total"]
+        grad = n / rows * share * (loss - sums["hit"] / sums["total"])
         if cfg.entropy:
-            log_share = z - base["top"] - F.log(sums["total"])
-            mean_log = sums["moment"] / sums["total"] - F.log(sums["total"])
-            grad = grad + F.lit(cfg.entropy) * share * (log_share - mean_log)
+            log_total = math.log(sums["total"])
+            mean_log = sums["moment"] / sums["total"] - log_total
+            grad = grad + F.lit(cfg.entropy) * share * (z - sums["shift"] - log_total - mean_log)
     elif cfg.activation == "sigmoid":
         s = sigmoid(z)
-        grad = 2 / base["rows"] * s * (1 - s) * loss
+        grad = 2 / rows * s * (1 - s) * loss
         weight, slope = 2 * s, 2 * s * (1 - s)
     else:
-        grad = loss / base["rows"]
+        grad = loss / rows
         weight, slope = z, F.lit(1.0)
     if cfg.gauss:
         grad = grad + F.lit(cfg.gauss) * (z - cfg.gauss_mu) / F.lit(cfg.gauss_sigma**2)
     if cfg.mass and cfg.activation != "softmax":  # the mass is fixed under softmax
         mass = scalars(df, mass=F.sum(weight))["mass"]
-        n = F.lit(float(cfg.mass_n)) if cfg.mass_n is not None else base["n"]
-        gap = mass - F.floor(n * cfg.mass_ratio)
+        expected = F.lit(float(cfg.mass_n)) if cfg.mass_n is not None else n
+        gap = mass - F.floor(expected * cfg.mass_ratio)
         prior = F.exp(-gap * gap / (2 * cfg.mass_sigma**2))
         grad = grad + F.lit(cfg.mass) * prior * (-gap / cfg.mass_sigma**2) * slope
     return grad
@@ -218,6 +235,17 @@ def _with_batch(state: DataFrame, losses: DataFrame) -> DataFrame:
     return state.join(per_id, "example_id", "left").fillna({"batch_loss": 0.0, "batch_rows": 0})
 
 
+def _one_step(
+    state: DataFrame, losses: DataFrame, cfg: UpdateConfig, step: int,
+    store: Callable[[DataFrame], DataFrame], shift: float | None,
+) -> tuple[DataFrame, float]:
+    joined = store(_with_batch(state, losses))
+    sums = _batch_sums(joined, shift)
+    grad = _gradient(joined, cfg, sums)
+    norm = scalars(joined, norm=F.sqrt(F.sum(F.pow(grad, F.lit(2.0)))))["norm"]
+    return _adam(joined, grad, norm, cfg, step), sums["top"]
+
+
 def update_logits(
     state: DataFrame,
     losses: DataFrame,
@@ -232,10 +260,7 @@ def update_logits(
     projected to the new state.
     """
     _check_activation(cfg.activation)
-    joined = store(_with_batch(state, losses))
-    grad = _gradient(joined, cfg)
-    norm = scalars(joined, norm=F.sqrt(F.sum(F.pow(grad, F.lit(2.0)))))["norm"]
-    return _adam(joined, grad, norm, cfg, step)
+    return _one_step(state, losses, cfg, step, store, None)[0]
 
 
 def run_schedule(
@@ -258,11 +283,11 @@ def run_schedule(
     spark = state.sparkSession
     logged = cut_lineage(losses)
     tables = (scratch_path(spark, "state"), scratch_path(spark, "state"))
-    current = state
+    current, shift = state, None
     for done, step in enumerate(steps, start=1):
         batch = logged.filter(F.col("step") == step).select("example_id", "loss")
         store = partial(cut_lineage, path=tables[done % 2])
-        current = update_logits(current, batch, cfg, done, store=store)
+        current, shift = _one_step(current, batch, cfg, done, store, shift)
         if write_snapshot and snapshot_every and done % snapshot_every == 0:
             write_snapshot(step, current)
     return cut_lineage(current)

@@ -8,9 +8,10 @@ they agree with their batch counterparts.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -101,8 +102,25 @@ def start_snapshot_sink(
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, partitions: int | None):
+    """Number of state partitions for queries started inside.
+
+    A streaming query keeps the number it was first started with, and every micro-batch
+    pays for each of them, so it should follow the cores, not the batch default.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    if partitions is not None:
+        spark.conf.set(name, str(partitions))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def run_to_end(
-    df: DataFrame, path: str, checkpoint: str, *, mode: str = "append"
+    df: DataFrame, path: str, checkpoint: str, *, mode: str = "append", partitions: int | None = None
 ) -> None:
     """Run a stream over all available input and leave the results as parquet.
 
@@ -116,7 +134,9 @@ def run_to_end(
             batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/part-{number}")
 
         writer = df.writeStream.foreachBatch(save)
-    query = writer.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = writer.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    with state_partitions(df.sparkSession, partitions):
+        query = writer.start()
     query.awaitTermination()
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tunedata.llm import mixing, tokens
+from tunedata.llm import decontam, lines, mixing, neardup, tokens
 from tunedata.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,33 @@ FROM s"""
 
 
 SQL["op4_mix_sources"] = mix_sql("documents")
+
+
+@query
+def op6_decontaminate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
+    n_words = F.coalesce(F.size(decontam.raw_words(F.col("text"))), F.lit(0)).cast("long")
+    counted = docs.select("doc_id", decontam.row_key("doc_id", "text").alias("key"), F.when(F.col("text").isNull(), 0).otherwise(n_words).cast("long").alias("n_words"))
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return counted.join(found, "key", "left").select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+
+
+SQL["op6_decontaminate"] = decontam.contamination_sql("documents", "benchmark")
+
+
+@query
+def op7_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
+
+
+SQL["op7_line_dedup"] = lines.dedup_lines_sql("documents")
+
+
+@query
+def op10_near_duplicates(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.near_duplicates(docs, shingle=4, percent=80).select(F.col("key.id").alias("doc_id"), "n_shingles", "component_id", "kept")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tunedata.llm import decontam, lines, mixing, neardup, tokens
+from tunedata.llm import decontam, langid, lines, mixing, neardup, render, tokens, warc
 from tunedata.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,15 @@ def op1_token_counts(spark, sf_dir):
     return counted.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+@query
+def op3_warc(spark, sf_dir):
+    index, folder = warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.read_records(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op3_warc"] = warc.archive_sql("pages")
+
+
 @query
 def op4_mix_sources(spark, sf_dir):
     located, mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -90,6 +99,20 @@ def op7_line_dedup(spark, sf_dir):
 SQL["op7_line_dedup"] = lines.dedup_lines_sql("documents")
 
 
+@query
+def op8_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(~langid.held_out()))
+    kept_out = F.coalesce(langid.held_out(), F.lit(False)).alias("held_out")
+    return langid.with_language(docs.select("doc_id", "text"), model).select("doc_id", kept_out, "lang_pred", "score")
+
+
+@query
+def op9_visible_text(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return render.with_visible_text(pages).select("page_id", "url", "visible_text", F.length("visible_text").cast("long").alias("n_chars"))
+
+
 @query
 def op10_near_duplicates(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

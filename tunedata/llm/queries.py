@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tunedata.llm import decontam, langid, lines, mixing, neardup, render, tokens, warc
+from tunedata.llm import decontam, langid, lines, mixing, neardup, render, tokens, topk, warc
 from tunedata.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,16 @@ FROM s"""
 SQL["op4_mix_sources"] = mix_sql("documents")
 
 
+@query
+def op5_exact_top_k(spark, sf_dir):
+    vectors = topk.whole_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    found = topk.top_k(vectors, vectors.filter("id % 100 = 0"), 10)
+    return found.withColumnRenamed("id", "vec_id")
+
+
+SQL["op5_exact_top_k"] = topk.top_k_sql("embeddings")
+
+
 @query
 def op6_decontaminate(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tunedata.llm import decontam, langid, lines, mixing, neardup, render, tokens, topk, warc
+from tunedata.llm import decontam, langid, lines, lm, mixing, neardup, render, tokens, topk, warc
 from tunedata.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,15 @@ def op1_token_counts(spark, sf_dir):
     return counted.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+@query
+def op2_lm_score(spark, sf_dir):
+    """How much more a document reads like those labelled as good than like all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    models = lm.fit(docs.join(good, "doc_id", "left_semi"), docs)
+    return lm.with_score(docs, models).select("doc_id", "lm_tokens", F.round("lm_score", 6).alias("lm_score"))
+
+
 @query
 def op3_warc(spark, sf_dir):
     index, folder = warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))

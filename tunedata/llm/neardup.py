@@ -106,11 +106,11 @@ def exact_links(groups: DataFrame, texts: DataFrame, shingle: int, percent: int)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(key, n_shingles, component_id, kept): one row for every row of ``docs``, ``key`` being ``text.row_key``.
+    """(key, n_shingles, component_id, kept, group): one row for every row of ``docs``, ``key`` being ``text.row_key``.
 
     ``component_id`` is the least id that is reached over links, ``kept`` says whether it is the row's
     own. Null and empty texts have no shingles and are linked with nothing; a text of fewer words than
-    a shingle is one shingle. Repeated rows are in one group and have the same ``kept``. A null id is
+    a shingle is one shingle. ``group`` is the same for the rows of a group, null without shingles. Repeated rows are in one group and have the same ``kept``. A null id is
     linked like any other, but names a group only if all its ids are null. Other columns are not read.
     """
     rows = cut_lineage(sketched(docs, id_col, text_col, shingle))
@@ -124,7 +124,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     trees = components(links, "left", "right").withColumnRenamed("node", "class")
     placed = classes.select("class", "id").join(trees, "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = placed.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = placed.join(least, "root").select("class", "component_id")
+    named = placed.join(least, "root").select("class", F.col("root").alias("group"), "component_id")
     grouped = rows.select("key", "size", "class").join(named, "class", "left")
     component = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("key.id"))
-    return grouped.select("key", F.col("size").alias("n_shingles"), component.alias("component_id"), F.col("key.id").eqNullSafe(component).alias("kept"))
+    return grouped.select("key", F.col("size").alias("n_shingles"), component.alias("component_id"), F.col("key.id").eqNullSafe(component).alias("kept"), "group")

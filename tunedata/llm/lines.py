@@ -13,40 +13,42 @@ from tunedata.llm.text import free_name, row_key
 from tunedata.session import cut_lineage
 
 WIDTH = 3
+_WORDED = r"[^\x20\x09-\x0D]"
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _worded(lines: Column) -> Column:
-    """Numbers of the lines that hold anything but ASCII white space."""
-    marked = F.transform(lines, lambda line, i: F.when(line.rlike(r"[^\x20\x09-\x0D]"), i))
-    return F.filter(marked, lambda i: i.isNotNull())
-
-
 def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """(key, pos, hash, check): every window of every document, ``pos`` counting lines with words.
+    """(key, pos, first, last, hash, check): every window of every document, ``pos`` counting lines with words,
+    ``first`` and ``last`` all lines.
 
     A document with fewer such lines, but not none, is one window.
     """
-    lined = docs.filter(F.col(text_col).isNotNull()).select(row_key(id_col, text_col).alias("key"), _lines(F.col(text_col)).alias("lines"))
-    worded = lined.select("key", F.filter("lines", lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines")).filter(F.size("lines") > 0)
-    at = F.sequence(F.lit(0), F.greatest(F.size("lines") - width, F.lit(0)))
-    each = F.transform(at, lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(F.col("lines"), i + 1, width), "\n").alias("window")))
-    return worded.select("key", F.explode(each).alias("w")).select(
-        "key", "w.pos", F.xxhash64("w.window").alias("hash"), F.xxhash64(F.lit("2"), "w.window").alias("check"))
+    numbered = F.transform(_lines(F.col(text_col)), lambda line, i: F.struct(i.alias("n"), line.alias("line")))
+    lined = docs.filter(F.col(text_col).isNotNull()).select(row_key(id_col, text_col).alias("key"), F.filter(numbered, lambda x: x["line"].rlike(_WORDED)).alias("lines"))
+    size = F.size("lines")
+
+    def window(i: Column) -> Column:
+        held = F.slice(F.col("lines"), i + 1, width)
+        last = F.element_at("lines", F.least(i + width, size))["n"]
+        return F.struct(i.alias("pos"), F.element_at("lines", i + 1)["n"].alias("first"), last.alias("last"), F.array_join(held["line"], "\n").alias("window"))
+
+    at = F.sequence(F.lit(0), F.greatest(size - width, F.lit(0)))
+    return lined.filter(size > 0).select("key", F.explode(F.transform(at, window)).alias("w")).select(
+        "key", "w.pos", "w.first", "w.last", F.xxhash64("w.window").alias("hash"), F.xxhash64(F.lit("2"), "w.window").alias("check"))
 
 
 def later_windows(found: DataFrame) -> DataFrame:
-    """(key, removed): positions of the windows that occurred before, for each document that has any.
+    """(key, removed): first and last lines of the windows that occurred before, for each document that has any.
 
     The order is by id (null last), then text, then position.
     """
     place = F.struct(F.col("key.id").isNull().alias("last"), "key", "pos")
-    first = found.groupBy("hash", "check").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = found.join(first, ["hash", "check"]).filter((F.col("first.key") != F.col("key")) | (F.col("first.pos") != F.col("pos")))
-    return later.groupBy("key").agg(F.collect_set("pos").alias("removed"))
+    first = found.groupBy("hash", "check").agg(F.min(place).alias("origin"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    later = found.join(first, ["hash", "check"]).filter((F.col("origin.key") != F.col("key")) | (F.col("origin.pos") != F.col("pos")))
+    return later.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -59,21 +61,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_lines or n_removed are replaced; all others are kept.
     """
     kept = docs.drop("n_lines", "n_removed")
-    key = free_name(kept, "row_key")
+    key, gone, lines, covered = (free_name(kept, name) for name in ("row_key", "removed_windows", "all_lines", "covered_lines"))
     found = cut_lineage(windows(kept, id_col, text_col, width))
-    removed = later_windows(found).withColumnRenamed("key", key).withColumnRenamed("removed", free_name(kept, "removed"))
-    gone = F.col(free_name(kept, "removed"))
-    lines = _lines(F.col(text_col))
-    worded = _worded(lines)
-    covered = F.flatten(F.transform(gone, lambda p: F.slice(worded, p + 1, width)))
-    n_lines = F.coalesce(F.size(lines), F.lit(0))
-    stay = F.array_except(F.sequence(F.lit(0), n_lines - 1), covered)
-    text = F.when(gone.isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at(lines, i + 1)), "\n"))
+    removed = later_windows(found).withColumnRenamed("key", key).withColumnRenamed("removed", gone)
+    joined = kept.withColumn(key, row_key(id_col, text_col)).join(removed, key, "left")
+    # The lines are a column of their own, as inside a lambda they would be split again for every element.
+    split = joined.withColumn(lines, F.when(F.col(gone).isNotNull(), _lines(F.col(text_col))))
+    inside = F.flatten(F.transform(gone, lambda w: F.sequence(w["first"], w["last"])))
+    wordless = F.filter(F.transform(lines, lambda line, i: F.when(~line.rlike(_WORDED), i)), lambda i: i.isNotNull())
+    merged = split.withColumn(covered, F.array_except(inside, wordless))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(covered))
+    text = F.array_join(F.transform(stay, lambda i: F.element_at(F.col(lines), i + 1)), "\n")
     return (
-        kept.withColumn(key, row_key(id_col, text_col)).join(removed, key, "left")
-        .withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long"))
-        .withColumn("n_removed", F.when(gone.isNull(), 0).otherwise(F.size(F.array_distinct(covered))).cast("long"))
-        .withColumn(text_col, text).drop(key, free_name(kept, "removed"))
+        merged.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(_lines(F.col(text_col)))).cast("long"))
+        .withColumn("n_removed", F.when(F.col(gone).isNull(), 0).otherwise(F.size(covered)).cast("long"))
+        .withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(text))
+        .drop(key, gone, lines, covered)
     )
 
 

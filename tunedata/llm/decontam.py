@@ -50,7 +50,7 @@ def _light(df: DataFrame) -> DataFrame:
 
 
 def lookups(keyed: DataFrame, phrases: DataFrame, anchors: int = ANCHORS) -> DataFrame:
-    """(term, win, offset, wanted): the rarest terms of each phrase, by number of training words."""
+    """(term, win, offset, rank, wanted): the rarest terms of each phrase, by number of training words; ``wanted`` is how many."""
     placed = phrases.select("win", F.posexplode("phrase").alias("offset", "term"))
     terms = _light(cut_lineage(placed.select("term").distinct()))
     seen = keyed.select(F.explode(raw_words(F.col("text"))).alias("word")).select(fold(F.col("word")).alias("term"))
@@ -58,7 +58,7 @@ def lookups(keyed: DataFrame, phrases: DataFrame, anchors: int = ANCHORS) -> Dat
     rank = F.row_number().over(Window.partitionBy("win").orderBy(F.coalesce("count", F.lit(0)), "term", "offset"))
     ranked = placed.join(counts, "term", "left").withColumn("rank", rank).filter(F.col("rank") <= anchors)
     wanted = F.max("rank").over(Window.partitionBy("win"))
-    return ranked.select("term", "win", "offset", wanted.alias("wanted"))
+    return ranked.select("term", "win", "offset", "rank", wanted.alias("wanted"))
 
 
 def postings(keyed: DataFrame, terms: DataFrame) -> DataFrame:
@@ -81,8 +81,10 @@ def _index(docs: DataFrame, phrases: DataFrame, id_col: str, text_col: str, anch
 def exact_matches(docs: DataFrame, phrases: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchors: int = ANCHORS) -> DataFrame:
     """(key, win, start, length): every occurrence of a phrase (win, phrase), one row of it per document key."""
     keyed, wanted, index = _index(docs, phrases, id_col, text_col, anchors)
-    starts = index.join(_light(wanted), "term").select("key", "win", (F.col("pos") - F.col("offset")).alias("start"), "wanted", "offset")
-    met = starts.filter("start >= 0").groupBy("key", "win", "start", "wanted").agg(F.countDistinct("offset").alias("n")).filter("n = wanted")
+    starts = index.join(_light(wanted), "term").select("key", "win", (F.col("pos") - F.col("offset")).alias("start"), "wanted", F.expr("shiftleft(1, rank - 1)").alias("bit"))
+    # One bit for each of the lists, so that a posting that comes twice counts once.
+    met = starts.filter("start >= 0").groupBy("key", "win", "start").agg(F.bit_or("bit").alias("bits"), F.first("wanted").alias("wanted"))
+    met = met.filter("bits = shiftleft(1, wanted) - 1")
     proposed = met.join(phrases.select("win", "phrase"), "win").groupBy("key").agg(
         F.collect_list(F.struct("start", "win", F.size("phrase").alias("length"), "phrase")).alias("proposed"))
     checked = proposed.join(keyed.dropDuplicates(["key"]), "key").select("key", "proposed", words(F.col("text")).alias("all"))

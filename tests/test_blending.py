@@ -69,5 +69,8 @@ def test_spec():
 def test_eval_split_order(spark):
     train, test = spark.range(300), spark.range(3)
     assert bl.eval_split({"train": train, "test": test}, "x", "id", 100).count() == 3
-    assert bl.eval_split({"train": train}, "my_eval_set", "id", 100).count() == 300
+    assert bl.eval_split({"train": train}, "my_eval_set", "id", 100).count() == 100
+    assert bl.eval_split({"train": train}, "my_eval_set", "id", 1000).count() == 300
+    assert [r.id for r in bl.eval_split({"train": train, "validation": test}, "x", "id", 2).orderBy("id").collect()] == [r.id for r in test.orderBy("id").limit(2).collect()]
+    assert bl.train_split({"a": train, "b": test}).count() == 303
     assert sorted(r.id for r in bl.eval_split({"train": train}, "x", "id", 100).collect()) == [297, 298, 299]

@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tunedata.operators.rewards import best_of_n
 from tunedata import session
 from tunedata.operators import hooks
 from tunedata.operators.normalise import normalise_sft
@@ -29,7 +30,7 @@ def test_json_array_is_one_valid_list_per_file(spark, tmp_path):
 def test_csv_keeps_line_breaks_and_quotes(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a\n"b", c')], "id int, t string")
     df.write.option("header", True).option("escape", '"').csv(str(tmp_path / "x.csv"))
-    assert rd.read_corpus(spark, str(tmp_path / "x.csv"), "id int, t string").first().t == 'a\n"b", c'
+    assert rd.read_corpus(spark, str(tmp_path / "x.csv"), "id int, t string", multi_line=True).first().t == 'a\n"b", c'
 
 
 def test_exam_subject_from_file_name(spark, tmp_path):
@@ -87,6 +88,20 @@ def test_streaming_best_of_n_equals_batch(spark, tmp_path):
     assert {r.input: r.output for r in st.newest_rows(rows, ["input"]).collect()} == {"a": "x", "b": "w"}
 
 
+def test_streaming_best_of_n_without_numbers(spark, tmp_path):
+    nan = float("nan")
+    batches = [[("a", 0, "x", 1.0), ("b", 1, "y", nan)], [("a", 2, "z", nan), ("b", 3, "w", 5.0)], [("a", 4, "u", 0.5)]]
+    schema = "input string, pos bigint, output string, reward double"
+    stream = _feed(spark, str(tmp_path / "in"), batches, schema)
+    best = st.stream_best_of_n(stream, key="input", output="output", score="reward", pos="pos")
+    st.run_to_end(best, str(tmp_path / "out"), str(tmp_path / "cp"), mode="update")
+    rows = st.newest_rows(spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "out")), ["input"])
+    got = sorted((r.input, r.output, r.first_pos) for r in rows.collect())
+    assert got == [("a", "x", 0), ("b", "y", 1)]
+    batch = best_of_n(spark.createDataFrame(sum(batches, []), schema))
+    assert got == sorted((r.input, r.output, r.first_pos) for r in batch.collect())
+
+
 def test_streaming_normalise_keeps_no_state(spark, tmp_path):
     stream = _feed(spark, str(tmp_path / "in"), [[("i", "o")], [(None, "o")]], "input string, output string")
     st.run_to_end(normalise_sft(stream), str(tmp_path / "out"), str(tmp_path / "cp"))

@@ -60,6 +60,26 @@ def test_kto_batch_without_one_class(spark):
     assert row.kl == 2.0 and abs(row.loss - (1 - 1 / (1 + math.exp(0.1)))) < 1e-12
 
 
+def test_kto_batch_without_mismatched_pairs_stays(spark):
+    rows = [(0, 0, 1, 1.0, 0.0), (0, 0, -1, 2.0, 0.0), (1, 0, 1, 1.0, 0.0), (1, 0, 0, 3.0, 0.0)]
+    df = spark.createDataFrame(rows, "batch int, worker int, label int, policy double, reference double")
+    got = {r.batch: r for r in pf.kto_uneven(df, 0.1).collect()}
+    assert got.keys() == {0, 1} and got[1].loss is None and got[1].kl is None
+    assert abs(got[1].chosen_reward - 0.1) < 1e-12 and abs(got[1].rejected_reward - 0.3) < 1e-12 and got[0].rejected_reward is None
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_next_label_is_one_rule_for_all_sizes(spark, monkeypatch, block):
+    monkeypatch.setattr(lp, "BLOCK", block)
+    rows = [("a", i, 10 + i) for i in range(8)] + [("a", 3, 5), ("a", 10, 1), (None, 0, 7), (None, 1, 8), ("b", 2, 1), ("b", 3, 4), ("b", 3, 2)]
+    df = spark.createDataFrame(rows, "seq_id string, pos int, label int")
+    labels = {}
+    for seq, pos, label in rows:
+        labels[seq, pos] = min(label, labels.get((seq, pos), label))
+    got = sorted((tuple(r) for r in lp.next_labels(df).select("seq_id", "pos", "label", "next_label").collect()), key=repr)
+    assert got == sorted(((s, p, n, labels.get((s, p + 1))) for s, p, n in rows), key=repr)
+
+
 def test_router_forms(spark):
     df = spark.createDataFrame([([3.0, 2.0, 1.0],), ([3.0, 2.0, 1.0],)], "logits array<double>")
     assert lp.router_balance(df, 3, 2).first().balance == 2.0

@@ -117,3 +117,11 @@ def test_stale_shift_is_noticed(spark):
     assert (near["shift"], far["shift"]) == (1990.0, 2000.0)
     assert abs(near["hit"] / near["total"] - far["hit"] / far["total"]) < 1e-12
     assert abs(far["total"] - (1 + math.exp(-1))) < 1e-12
+
+
+def test_a_loss_without_a_weight_is_an_error(spark):
+    state = spark.range(3).selectExpr("id AS example_id", "0.0D AS logit", "0.0D AS m", "0.0D AS v")
+    losses = spark.createDataFrame([(1, 1.0), (7, 2.0)], "example_id long, loss double")
+    with pytest.raises(Exception, match="has no weight"):
+        wt.update_logits(state, losses).collect()
+    assert wt.update_logits(state, losses.filter("example_id = 1")).count() == 3

@@ -9,6 +9,8 @@ count, and the rows are attached by an ordinary join.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -69,12 +71,25 @@ def eval_tail(df: DataFrame, order_col: str, max_count: int) -> DataFrame:
 
 
 def eval_split(splits: dict[str, DataFrame], name: str, order_col: str, max_count: int) -> DataFrame:
-    """Evaluation rows: a test split, else validation, else an evaluation corpus, else the tail."""
+    """Evaluation rows: a test split, else validation, else an evaluation corpus, else the tail.
+
+    The first three give their first ``max_count`` rows, or all if there are fewer.
+    """
     for split in ("test", "validation"):
         if split in splits:
-            return splits[split]
-    data = splits.get("train") if "train" in splits else next(iter(splits.values()))
-    return data if "eval" in name else eval_tail(data, order_col, max_count)
+            return take_slice(splits[split], order_col, max_count=max_count).drop("_pos")
+    data = train_split(splits)
+    if "eval" in name:
+        return take_slice(data, order_col, max_count=max_count).drop("_pos")
+    return eval_tail(data, order_col, max_count)
+
+
+def train_split(splits: dict[str, DataFrame]) -> DataFrame:
+    """The training split of a corpus, or all of it if it is not split that way."""
+    if "train" in splits:
+        return splits["train"]
+    parts = list(splits.values())
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def tag_sources(sources: list[DataFrame]) -> DataFrame:
@@ -193,6 +208,15 @@ def _attach_rows(reads: DataFrame, positions: DataFrame, tagged: DataFrame, orde
     return wanted.join(tagged, ["_src", order_col], "inner").drop("_src")
 
 
+def blend_spec(
+    spec: BlendSpec, read: Callable[[str], dict[str, DataFrame]], *, order_col: str, seed: int = 42,
+    max_count: int | None = None, stop: str = "first_exhausted", cap: int | None = None,
+) -> DataFrame:
+    """Blend the training splits of the corpora that a specification names; ``read`` gives a corpus's splits."""
+    sources = [train_split(read(name)) for name in spec.names]
+    return blend(sources, spec.probs, order_col=order_col, seed=seed, max_count=max_count, start=spec.starts, stop=stop, cap=cap)
+
+
 def blend_sweep(
     safe: DataFrame, harmful: DataFrame, ratios: list[float], *, order_col: str, seed: int = 42
 ) -> DataFrame:

@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tunedata.functions.arrays import array_softmax, clamp, let, log_sum_exp
-from tunedata.operators.indexing import hot_groups
 from tunedata.operators.tokens import IGNORE_LABEL
 
 # --- fixed values -------------------------------------------------------------------
 REWARD_LIMIT = 10.0
 POLICY_CLIP = 0.2
 NORM_EPS = 1e-8
+#: Positions of a sequence that one task looks at together.
+BLOCK = 4096
 # ------------------------------------------------------------------------------------
 
 
@@ -25,17 +26,20 @@ def label_logp(logits: Column, label: Column) -> Column:
 
 
 def next_labels(tokens: DataFrame, seq: str = "seq_id") -> DataFrame:
-    """Token rows with the label that follows each of them (null at the end of a sequence).
+    """Token rows with the label at the next position (null where there is none).
 
-    Sequences of usual length use a window; with very long ones rows are matched by position
-    instead, which spreads a sequence over tasks.
+    Positions are cut into blocks, so that a sequence of any length spreads over tasks; what
+    follows the end of a block comes from a table of block starts. Rows without a sequence are
+    one sequence. Where a position was logged twice, its least label counts, and each of its
+    rows predicts what follows.
     """
-    if hot_groups(tokens, [seq]) is None:
-        order = Window.partitionBy(seq).orderBy("pos")
-        adjacent = F.lead("pos").over(order) == F.col("pos") + 1
-        return tokens.withColumn("next_label", F.when(adjacent, F.lead("label").over(order)))
-    following = tokens.select(seq, (F.col("pos") - 1).alias("pos"), F.col("label").alias("next_label"))
-    return tokens.join(following, [seq, "pos"], "left")
+    block = F.floor(F.col("pos") / BLOCK)
+    following = Window.partitionBy(seq, block).orderBy("pos").rangeBetween(1, 1)
+    starts = tokens.filter(F.col("pos") % BLOCK == 0).groupBy(F.col(seq).alias("_seq"), (F.col("pos") - 1).alias("_end")).agg(
+        F.min("label").alias("_over"))
+    inside = tokens.withColumn("_in", F.min("label").over(following))
+    met = inside.join(starts, F.col(seq).eqNullSafe(F.col("_seq")) & (F.col("pos") == F.col("_end")), "left")
+    return met.withColumn("next_label", F.coalesce("_in", "_over")).drop("_in", "_over", "_seq", "_end")
 
 
 def _token_loss(tokens: DataFrame, seq: str) -> DataFrame:

@@ -55,7 +55,7 @@ def preference_accuracy(df: DataFrame, beta: float, *, batch: str = "batch", **k
 
 
 def kto_even(df: DataFrame, beta: float, batch: str = "batch") -> DataFrame:
-    """Loss per batch of pairs; each side is compared with the other side's batch KL, at least 0."""
+    """Loss and mean rewards per batch of pairs; each side is compared with the other side's batch KL, at least 0."""
     chosen, rejected = F.col("pol_c") - F.col("ref_c"), F.col("pol_r") - F.col("ref_r")
     kl = df.groupBy(batch).agg(
         F.greatest(F.avg(chosen), F.lit(0.0)).alias("chosen_kl"),
@@ -63,7 +63,10 @@ def kto_even(df: DataFrame, beta: float, batch: str = "batch") -> DataFrame:
     )
     loss_c = 1 - sigmoid(beta * (chosen - F.col("rejected_kl")))
     loss_r = 1 - sigmoid(beta * (F.col("chosen_kl") - rejected))
-    return df.join(kl, batch).groupBy(batch).agg(((F.avg(loss_c) + F.avg(loss_r)) / 2).alias("loss"))
+    return df.join(kl, batch).groupBy(batch).agg(
+        ((F.avg(loss_c) + F.avg(loss_r)) / 2).alias("loss"),
+        F.avg(beta * chosen).alias("chosen_reward"), F.avg(beta * rejected).alias("rejected_reward"),
+    )
 
 
 def kto_uneven(
@@ -73,14 +76,18 @@ def kto_uneven(
     """Loss per batch and worker of judged answers with mismatched pairs (label -1).
 
     ``policy`` and ``reference`` are sequence log-probabilities. The KL estimate is the mean
-    over workers of their mismatched means, at least 0. A batch may lack either class.
+    over workers of their mismatched means, at least 0. A batch may lack either class. One
+    without mismatched pairs has no KL: its rows stay, with a null loss. The rewards are means
+    over the batch and worker, null for a class it lacks.
     """
     ratio = F.col("policy") - F.col("reference")
     per_worker = df.filter(F.col("label") == -1).groupBy(batch, worker).agg(F.avg(ratio).alias("_kl"))
     kl = per_worker.groupBy(batch).agg(F.greatest(F.avg("_kl"), F.lit(0.0)).alias("kl"))
     good = F.lit(desirable) * (1 - sigmoid(beta * (ratio - F.col("kl"))))
     bad = F.lit(undesirable) * (1 - sigmoid(beta * (F.col("kl") - ratio)))
-    judged = df.filter(F.col("label").isin(0, 1)).join(kl, batch)
+    judged = df.filter(F.col("label").isin(0, 1)).join(kl, batch, "left")
     return judged.groupBy(batch, worker).agg(
-        F.avg(F.when(F.col("label") == 1, good).otherwise(bad)).alias("loss"), F.first("kl").alias("kl")
+        F.avg(F.when(F.col("label") == 1, good).otherwise(bad)).alias("loss"), F.first("kl").alias("kl"),
+        F.avg(F.when(F.col("label") == 1, beta * ratio)).alias("chosen_reward"),
+        F.avg(F.when(F.col("label") == 0, beta * ratio)).alias("rejected_reward"),
     )

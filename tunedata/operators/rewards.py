@@ -31,15 +31,18 @@ def condition_on_reward(df: DataFrame, template: str = REWARD_TEMPLATE, *, norma
     return scored.withColumn("input", F.replace(filled, F.lit("{input}"), F.col("input")))
 
 
-def best_of_n(df: DataFrame, key: str = "input", score: str = "reward", pos: str = "pos") -> DataFrame:
+def best_of_n(
+    df: DataFrame, key: str = "input", score: str = "reward", pos: str = "pos", output: str = "output"
+) -> DataFrame:
     """Best answer per input, the earliest on ties; ``first_pos`` gives the order of inputs.
 
-    NaN never beats a number, but stays if the first answer has it.
+    NaN never beats a number, but stays if the first answer has it. The same plan serves batch
+    tables and streams.
     """
     value = F.col(score).cast("double")
     first_nan = F.min_by(F.isnan(value), pos)
     order = F.struct(F.when(F.isnan(value), F.lit(None)).otherwise(value), -F.col(pos))
-    answer = F.struct(F.col("output"), F.col(score).alias("reward"))
+    answer = F.struct(F.col(output).alias("output"), F.col(score).alias("reward"))
     grouped = df.groupBy(key).agg(
         F.max_by(answer, order).alias("_best"),
         F.min_by(answer, pos).alias("_first"),

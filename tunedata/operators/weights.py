@@ -228,11 +228,16 @@ def _adam(df: DataFrame, grad: Column, norm: Column, cfg: UpdateConfig, step: in
 
 
 def _with_batch(state: DataFrame, losses: DataFrame) -> DataFrame:
-    """State with the batch losses of each example; repeated ids are summed first."""
+    """State with the batch losses of each example; repeated ids are summed first.
+
+    A loss whose example has no weight is an error, as it would shrink the batch unseen.
+    """
     per_id = losses.groupBy("example_id").agg(
         F.sum("loss").alias("batch_loss"), F.count(F.lit(1)).alias("batch_rows")
     )
-    return state.join(per_id, "example_id", "left").fillna({"batch_loss": 0.0, "batch_rows": 0})
+    met = state.withColumn("_known", F.lit(True)).join(per_id, "example_id", "full_outer")
+    known = F.when(F.col("_known").isNull(), F.raise_error(F.lit("a loss names an example that has no weight"))).otherwise(F.col("logit"))
+    return met.withColumn("logit", known).drop("_known").fillna({"batch_loss": 0.0, "batch_rows": 0})
 
 
 def _one_step(

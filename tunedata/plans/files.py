@@ -28,7 +28,7 @@ def src_formats(spark, sf_dir):
     for name in ("json", "jsonl", "csv", "parquet"):
         writer = docs.write.option("header", True).option("escape", '"')
         writer.format({"jsonl": "json"}.get(name, name)).save(f"{base}/all.{name}")
-        back = rd.read_corpus(spark, f"{base}/all.{name}", DOC_SCHEMA)
+        back = rd.read_corpus(spark, f"{base}/all.{name}", DOC_SCHEMA, multi_line=name == "csv")
         parts.append(back.select(F.lit(name).alias("format"), "doc_id", "text", "lang"))
     docs.select(F.concat_ws(" ", "source", "lang").alias("value")).write.text(f"{base}/all.txt")
     lines = rd.read_corpus(spark, f"{base}/all.txt")
@@ -45,7 +45,7 @@ def src_directory(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     docs.write.partitionBy("lang").json(f"{base}/nested")
     docs.select("text").write.text(f"{base}/other")
-    back = rd.read_directory(spark, base, ".json", "doc_id bigint, text string")
+    back = rd.read_directory(spark, base, None, "doc_id bigint, text string")
     lang = F.regexp_extract(F.col("_metadata.file_path"), "lang=([^/]+)/", 1)
     return back.select("doc_id", lang.alias("lang"), "text")
 
@@ -57,9 +57,10 @@ def src_named(spark, sf_dir):
     base = scratch_path(spark, "corpora")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     docs.drop("lang").write.parquet(f"{base}/docs")
-    docs.filter(F.col("lang") == "fr").drop("lang").write.parquet(f"{base}/sub/fr")
+    docs.filter(F.col("lang") == "fr").drop("lang").write.json(f"{base}/sub/fr")
     whole, part = rd.read_named(spark, base, "docs"), rd.read_named(spark, base, "sub@fr")
-    return whole.select(F.lit("whole").alias("corpus"), "*").union(part.select(F.lit("part").alias("corpus"), "*"))
+    columns = ("doc_id", "text")
+    return whole.select(F.lit("whole").alias("corpus"), *columns).union(part.select(F.lit("part").alias("corpus"), *columns))
 
 
 @query("src_json_array", "SELECT conv_id, turn, text FROM conversations")

@@ -264,26 +264,30 @@ def pref_acc(spark, sf_dir):
 @query("kto_even", f"""
 WITH t AS (SELECT batch, pol_c - ref_c AS c, pol_r - ref_r AS r FROM ({PAIRS_SQL})),
 k AS (SELECT batch, greatest(avg(c), 0) AS kc, greatest(avg(r), 0) AS kr FROM t GROUP BY batch)
-SELECT t.batch, round(avg(1 - 1 / (1 + exp(-0.1 * (c - kr)))) / 2 + avg(1 - 1 / (1 + exp(-0.1 * (kc - r)))) / 2, 6) AS loss
+SELECT t.batch, round(avg(1 - 1 / (1 + exp(-0.1 * (c - kr)))) / 2 + avg(1 - 1 / (1 + exp(-0.1 * (kc - r)))) / 2, 6) AS loss,
+       round(avg(0.1 * c), 6) AS chosen_reward, round(avg(0.1 * r), 6) AS rejected_reward
 FROM t JOIN k ON t.batch = k.batch GROUP BY t.batch
 """)
 def kto_even(spark, sf_dir):
-    return pf.kto_even(pair_logps(spark, sf_dir), 0.1).select("batch", r6("loss", "loss"))
+    out = pf.kto_even(pair_logps(spark, sf_dir), 0.1)
+    return out.select("batch", *[r6(c, c) for c in ("loss", "chosen_reward", "rejected_reward")])
 
 
 @query("kto_uneven", f"""
-WITH t AS (SELECT batch, pair_id % 4 AS worker, CASE WHEN pair_id % 5 < 2 THEN -1 WHEN pair_id % 5 = 2 THEN 0 ELSE 1 END AS label,
+WITH t AS (SELECT batch, pair_id % 4 AS worker, CASE WHEN pair_id % 5 < 2 AND batch % 3 > 0 THEN -1 WHEN pair_id % 5 = 2 THEN 0 ELSE 1 END AS label,
              pol_c - ref_c AS x FROM ({PAIRS_SQL})),
 kw AS (SELECT batch, worker, avg(x) AS m FROM t WHERE label = -1 GROUP BY batch, worker),
 k AS (SELECT batch, greatest(avg(m), 0) AS kl FROM kw GROUP BY batch)
 SELECT t.batch, worker, round(avg(CASE WHEN label = 1 THEN 1.0 * (1 - 1 / (1 + exp(-0.1 * (x - kl))))
-  ELSE 1.5 * (1 - 1 / (1 + exp(-0.1 * (kl - x)))) END), 6) AS loss, round(max(kl), 6) AS kl
-FROM t JOIN k ON t.batch = k.batch WHERE label >= 0 GROUP BY t.batch, worker
+  ELSE 1.5 * (1 - 1 / (1 + exp(-0.1 * (kl - x)))) END), 6) AS loss, round(max(kl), 6) AS kl,
+  round(avg(CASE WHEN label = 1 THEN 0.1 * x END), 6) AS chosen_reward, round(avg(CASE WHEN label = 0 THEN 0.1 * x END), 6) AS rejected_reward
+FROM t LEFT JOIN k ON t.batch = k.batch WHERE label >= 0 GROUP BY t.batch, worker
 """)
 def kto_uneven(spark, sf_dir):
+    """Every third batch has no mismatched pairs."""
     rows = pair_logps(spark, sf_dir).select(
         "batch", (F.col("pair_id") % 4).alias("worker"),
-        F.when(F.col("pair_id") % 5 < 2, -1).when(F.col("pair_id") % 5 == 2, 0).otherwise(1).alias("label"),
+        F.when((F.col("pair_id") % 5 < 2) & (F.col("batch") % 3 > 0), -1).when(F.col("pair_id") % 5 == 2, 0).otherwise(1).alias("label"),
         F.col("pol_c").alias("policy"), F.col("ref_c").alias("reference"))
     out = pf.kto_uneven(rows, 0.1, undesirable=1.5)
-    return out.select("batch", "worker", r6("loss", "loss"), r6("kl", "kl"))
+    return out.select("batch", "worker", *[r6(c, c) for c in ("loss", "kl", "chosen_reward", "rejected_reward")])

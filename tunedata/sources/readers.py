@@ -13,35 +13,65 @@ CURVE_MULTIPLES = range(6, 21)
 # ------------------------------------------------------------------------------------
 
 
-def read_corpus(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Read a file or folder by the ending of its name."""
+def folder_ending(spark: SparkSession, path: str) -> str:
+    """The first of the known endings that any file below a folder has."""
+    for ending in FORMATS:
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{ending}").load(path)
+        if not listed.select("path").limit(1).isEmpty():
+            return ending
+    raise ValueError(f"no file below {path} ends in one of {list(FORMATS)}")
+
+
+def read_corpus(spark: SparkSession, path: str, schema: str | None = None, *, multi_line: bool = False) -> DataFrame:
+    """Read a file or folder by the ending of its name, or a plain folder by that of the files in it.
+
+    CSV values may hold line breaks only with ``multi_line``, which makes each file one task.
+    """
     ending = os.path.splitext(path.rstrip("/"))[1].lower()
-    if ending not in FORMATS:
+    if ending in FORMATS:
+        return _reader(spark, FORMATS[ending], schema, multi_line).load(path)
+    if ending:
         raise ValueError(f"unknown file ending {ending!r}, expected one of {sorted(FORMATS)}")
-    return _reader(spark, FORMATS[ending], schema).load(path)
+    ending = folder_ending(spark, path)
+    if ending == ".parquet":  # keeps the columns of partition folders
+        return _reader(spark, "parquet", schema, multi_line).load(path)
+    return read_directory(spark, path, ending, schema, multi_line=multi_line)
 
 
-def _reader(spark: SparkSession, fmt: str, schema: str | None):
+def _reader(spark: SparkSession, fmt: str, schema: str | None, multi_line: bool):
     reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
+        reader = reader.option("header", True).option("multiLine", multi_line).option("escape", '"')
     return reader.schema(schema) if schema and fmt != "text" else reader
 
 
-def read_directory(spark: SparkSession, path: str, ending: str, schema: str | None = None) -> DataFrame:
-    """All files with one ending below a folder."""
+def read_directory(
+    spark: SparkSession, path: str, ending: str | None = None, schema: str | None = None, *, multi_line: bool = False
+) -> DataFrame:
+    """All files with one ending below a folder; without one, the first that occurs there."""
+    ending = folder_ending(spark, path) if ending is None else ending
     if ending not in FORMATS:
         raise ValueError(f"unknown file ending {ending!r}")
-    reader = _reader(spark, FORMATS[ending], schema)
+    reader = _reader(spark, FORMATS[ending], schema, multi_line)
     return reader.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{ending}").load(path)
 
 
-def read_named(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A corpus below ``root`` as ``name`` or ``name@subfolder``."""
+def read_named(spark: SparkSession, root: str, name: str, schema: str | None = None, *, multi_line: bool = False) -> DataFrame:
+    """A corpus of any format below ``root`` as ``name`` or ``name@subfolder``."""
     parts = name.split("@")
     if len(parts) > 2:
         raise ValueError(f"at most one @ in a corpus name, got {name!r}")
-    return spark.read.parquet("/".join([root, *(p.strip() for p in parts)]))
+    return read_corpus(spark, "/".join([root, *(p.strip() for p in parts)]), schema, multi_line=multi_line)
+
+
+def read_splits(
+    spark: SparkSession, root: str, name: str, splits: tuple[str, ...] = (), schema: str | None = None, *, multi_line: bool = False
+) -> dict[str, DataFrame]:
+    """The given subfolders of a corpus as its splits, or the whole corpus as ``all``."""
+    if not splits:
+        return {"all": read_named(spark, root, name, schema, multi_line=multi_line)}
+    base = "/".join([root, *(p.strip() for p in name.split("@"))])
+    return {s: read_corpus(spark, f"{base}/{s}", schema, multi_line=multi_line) for s in splits}
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tunedata.operators.monitoring import LOSS_DECAY
+from tunedata.operators.rewards import best_of_n
 from tunedata.operators.safety import decide_labels
 
 
@@ -81,9 +82,12 @@ def stream_flag_rate(
 
 
 def stream_best_of_n(df: DataFrame, *, key: str, output: str, score: str, pos: str) -> DataFrame:
-    """Best answer so far per input, the earliest on ties."""
-    best = F.max_by(F.struct(F.col(output).alias("output"), F.col(score).alias("reward")), F.struct(F.col(score), -F.col(pos)))
-    return df.groupBy(key).agg(best.alias("_b")).select(key, "_b.output", "_b.reward")
+    """Best answer so far per input, by the rule of the batch form.
+
+    An input may get answers at any time, so its state (two answers) is kept for as long as the
+    query runs; end the query, or start one per set of inputs, to release it.
+    """
+    return best_of_n(df, key, score, pos, output)
 
 
 def start_snapshot_sink(

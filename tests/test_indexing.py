@@ -22,31 +22,31 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "g string, k bigint, t bigint, x bigint").repartition(5)
 
 
-def check(spark, rows, by, hot_rows, ranges=16):
+def check(spark, rows, by, ranges=16):
     df = frame(spark, rows)
     sums = {"n": F.lit(1).cast("bigint"), "s": F.col("x")}
-    got = ix.running_sums(df, "k", sums, by=["g"] if by else [], tie=["t"], ranges=ranges, hot_rows=hot_rows).collect()
+    got = ix.running_sums(df, "k", sums, by=["g"] if by else [], tie=["t"], ranges=ranges).collect()
     assert len(got) == len(rows)
     assert {(r.g, r.k, r.t): (r.n - 1, r.s) for r in got} == brute(rows, by)
 
 
 @pytest.mark.parametrize("by", [False, True])
-@pytest.mark.parametrize("hot_rows", [0, 50, 10**6])
-def test_running_sums_with_heavy_keys_and_groups(spark, by, hot_rows):
+@pytest.mark.parametrize("ranges", [None, 1, 5, 40])
+def test_running_sums_with_heavy_keys_and_groups(spark, by, ranges):
     rng = random.Random(1)
     rows = []
     for i in range(900):
         group = None if i % 50 == 0 else "hot" if i % 3 else f"g{i % 40}"
         key = 7 if i % 3 == 1 else rng.randrange(-500, 500)
         rows.append((group, key, i, rng.randrange(10)))
-    check(spark, rows, by, hot_rows)
+    check(spark, rows, by, ranges)
 
 
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(-3, 3), st.integers(0, 5)), min_size=1, max_size=60), st.booleans())
 def test_running_sums_property(spark, pairs, by):
     rows = [(f"g{g % 3}", g, i, x) for i, (g, x) in enumerate(pairs)]
-    check(spark, rows, by, hot_rows=0, ranges=8)
+    check(spark, rows, by, ranges=8)
 
 
 def test_dense_ids_double_key(spark):
@@ -56,9 +56,21 @@ def test_dense_ids_double_key(spark):
     assert [got[i] for i in want] == list(range(500))
 
 
-def test_text_key_is_refused(spark):
+@pytest.mark.parametrize("kind", ["string", "timestamp", "date", "decimal(12,2)", "binary"])
+def test_keys_of_other_types(spark, kind, monkeypatch):
+    monkeypatch.setattr(ix, "RANGE_ROWS", 40)
+    text = F.concat(F.when(F.col("id") % 2 == 0, "a common start ").otherwise("É"), F.lpad(F.col("id").cast("string"), 4, "0"))
+    key = {"string": text, "binary": F.encode(text, "utf-8")}.get(kind, F.timestamp_seconds(F.col("id") * 90_000) if kind in ("date", "timestamp") else F.col("id") / 4)
+    df = spark.range(400).select("id", key.cast(kind).alias("k"))
+    got = [r.pos for r in ix.rank_rows(df, "k", tie=["id"]).orderBy("k", "id").collect()]
+    assert got == list(range(400))
     with pytest.raises(TypeError):
-        ix.rank_rows(spark.createDataFrame([("a",)], "k string"), "k")
+        ix.rank_rows(spark.range(3).select(F.array("id").alias("k")), "k")
+
+
+def test_heavy_key_is_cut_by_any_tie(spark):
+    df = spark.range(600).select(F.lit(5).alias("k"), F.format_string("%05d", "id").alias("t"))
+    assert [r.pos for r in ix.rank_rows(df, "k", tie=["t"], ranges=8).orderBy("t").collect()] == list(range(600))
 
 
 def test_shuffle_rank_is_reproducible(spark):
@@ -69,8 +81,8 @@ def test_shuffle_rank_is_reproducible(spark):
     assert a == b != c and sorted(a.values()) == list(range(300))
 
 
-def test_callers_agree_when_all_groups_are_hot(spark, monkeypatch):
-    """Blend, shards, averages and token losses give the same rows on the two-phase path."""
+def test_callers_agree_whatever_the_ranges(spark, monkeypatch):
+    """Blend, shards, averages and token losses give the same rows with one range and with many."""
     from tunedata.operators import blending, logprobs, monitoring, pairing
 
     runs = spark.range(600).select(
@@ -92,5 +104,5 @@ def test_callers_agree_when_all_groups_are_hot(spark, monkeypatch):
         return [sorted(map(tuple, f.collect()), key=repr) for f in frames]
 
     plain = results()
-    monkeypatch.setattr(ix, "HOT_ROWS", 10)
+    monkeypatch.setattr(ix, "RANGE_ROWS", 10)
     assert results() == plain

@@ -1,15 +1,16 @@
 """Positions, ranks and running sums that stay parallel on hot groups.
 
 A window over the whole table, or over a group that holds a third of it, runs in
-one task. Everything here works in two phases instead: rows are put into ranges
-of the ordering key that hold about equally many rows, sums run inside a range,
-and the totals of all earlier ranges (one row per range) are added. Ranges come
-from explicit split values, so a retried task always sees the same ranges.
+one task. Everything here works in two phases instead, for groups of all sizes: rows
+are put into ranges of the ordering key that hold about equally many rows, sums run
+inside a range, and the totals of all earlier ranges (one row per range) are added.
+Ranges come from explicit split values, so a retried task always sees the same ranges.
 """
 
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -17,21 +18,37 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from tunedata.functions.seeded import KEY_BITS, seeded_key
 from tunedata.session import cut_lineage
 
-MAX_RANGES = 4096
-HOT_ROWS = 250_000
-MAX_BROADCAST_KEYS = 100_000
+#: Rows that one range should hold; the number of ranges follows from the number of rows.
+RANGE_ROWS = 250_000
+#: Fewest ranges where there are no groups, and quantiles that one part of the rows is summed up by.
+MIN_RANGES, QUANTILES = 8, 256
 
 
-def range_count(df: DataFrame) -> int:
-    """Ranges to cut a table into: two per shuffle partition, between 8 and 4096."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(8, min(MAX_RANGES, 2 * partitions))
+def range_count(df: DataFrame, rows: int | None = None) -> int:
+    """Ranges to cut a table into: by its rows, or two per shuffle partition if they are not known."""
+    if rows is not None:
+        return max(MIN_RANGES, -(-rows // RANGE_ROWS))
+    return max(MIN_RANGES, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def range_splits(df: DataFrame, key: str, ranges: int) -> list:
-    """At most ``ranges - 1`` split values of ``key`` (approximate quantiles)."""
-    probs = [i / ranges for i in range(1, ranges)]
-    row = df.agg(F.percentile_approx(key, probs, 20 * ranges).alias("q")).first()
+def range_splits(df: DataFrame, value: Column, ranges: int | None = None, least: int = MIN_RANGES) -> list:
+    """Split values (approximate quantiles) for about equal ranges; heavy values come more than once.
+
+    Two levels: the input's partitions are dealt into as many parts as there are shuffle partitions,
+    each part is summed up by its own quantiles, and those few numbers give the splits.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    probs = [i / QUANTILES for i in range(QUANTILES + 1)]
+    summed = df.groupBy((F.spark_partition_id() % parts).alias("_part")).agg(
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx(value, probs, 16 * QUANTILES).alias("_q"))
+    summed = cut_lineage(summed.filter("_n > 0"))
+    if ranges is None:
+        rows = summed.agg(F.sum("_n")).first()[0] or 0
+        ranges = max(least, -(-rows // RANGE_ROWS))
+    if ranges <= 1:
+        return []
+    wanted = [i / ranges for i in range(1, ranges)]
+    row = summed.select(F.explode("_q").alias("_v"), "_n").agg(F.percentile("_v", wanted, F.col("_n")).alias("q")).first()
     return sorted(row["q"] or [])
 
 
@@ -55,52 +72,53 @@ def _locate(splits: Sequence, value: Column, dtype: str) -> tuple[Column, Column
     return below, F.coalesce(F.get(table, below) == value, F.lit(False))
 
 
-def _range_column(df: DataFrame, key: str, tie: Sequence[str], splits: Sequence | None, ranges: int) -> Column:
-    """Order-preserving range number of each row.
+def _number(column: Column, dtype: T.DataType) -> tuple[Column, str, bool]:
+    """A number that grows with the value, its type, and whether different values have different numbers.
 
-    A key value frequent enough to be a split gets a range of its own; if such a
-    value is drawn several times it is heavy, and its range is cut again by the
-    first tie-break column.
+    Texts and bytes are ordered by their first seven bytes.
     """
-    dtype = df.schema[key].dataType
     if isinstance(dtype, T.IntegralType):
-        type_name = "bigint"
-    elif isinstance(dtype, (T.DoubleType, T.FloatType)):
-        type_name = "double"
-    else:
-        raise TypeError(f"ordering key {key} must be a number, got {dtype.simpleString()}")
-    found = list(splits) if splits is not None else range_splits(df, key, ranges)
+        return column.cast("bigint"), "bigint", True
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return column.cast("double"), "double", True
+    if isinstance(dtype, (T.DecimalType, T.BooleanType)):
+        return column.cast("double"), "double", False
+    if isinstance(dtype, (T.DateType, T.TimestampType)):
+        return F.unix_micros(column.cast("timestamp")), "bigint", True
+    if isinstance(dtype, (T.StringType, T.BinaryType)):
+        head = F.rpad(F.hex(F.substring(column.cast("binary"), 1, 7)), 14, "0")
+        return F.conv(head, 16, 10).cast("bigint"), "bigint", False
+    raise TypeError(f"no order for {dtype.simpleString()}")
+
+
+def _range_column(df: DataFrame, key: str, tie: Sequence[str], splits: Sequence | None, least: int, ranges: int | None) -> Column | None:
+    """Order-preserving range number of each row; None if one range holds all.
+
+    A key value frequent enough to be a split gets a range of its own; if such a
+    value is drawn several times it is heavy, and its range is cut again, into as
+    many pieces, by the first tie-break column.
+    """
+    value, type_name, exact = _number(F.col(key), df.schema[key].dataType)
+    found = list(splits) if splits is not None else range_splits(df, value, ranges, least)
+    if type_name == "bigint":
+        found = [int(x) for x in found]
     distinct = sorted(set(found))
     if not distinct:
-        return F.lit(0).cast("bigint")
-    value = F.col(key).cast(type_name)
+        return None
     below, equal = _locate(distinct, value, type_name)
     # Values outside the splits take even numbers, split values the odd number after it.
     major = (F.lit(2) * below + equal.cast("int")).cast("bigint")
-    heavy = len(found) > len(distinct)
-    if heavy and tie and isinstance(df.schema[tie[0]].dataType, T.NumericType):
-        tie_type = "bigint" if isinstance(df.schema[tie[0]].dataType, T.IntegralType) else "double"
-        tie_splits = sorted(set(range_splits(df, tie[0], min(ranges, 64))))
+    most = max(Counter(found).values())
+    if most > 1 and tie and exact:
+        minor_value, minor_type, _ = _number(F.col(tie[0]), df.schema[tie[0]].dataType)
+        pieces = 2 * most
+        tie_splits = sorted({int(x) if minor_type == "bigint" else x for x in range_splits(df, minor_value, pieces)})
         if tie_splits:
-            minor, _ = _locate(tie_splits, F.col(tie[0]).cast(tie_type), tie_type)
-            return major * 64 + F.when(equal, minor.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+            minor, _ = _locate(tie_splits, minor_value, minor_type)
+            return major * pieces + F.when(equal, minor.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
     return major
 
 
-def hot_groups(df: DataFrame, by: Sequence[str], hot_rows: int | None = None) -> DataFrame | None:
-    """Keys (as ``_by_...``) of groups with more than ``hot_rows`` rows, or None if there are none.
-
-    One pass over the keys alone, with partial counts. There are at most ``rows / hot_rows``
-    such keys; they are stored, and sent to all tasks as long as they are few.
-    """
-    limit = HOT_ROWS if hot_rows is None else hot_rows
-    counted = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-    if counted.isEmpty():
-        return None
-    keys = cut_lineage(counted.select(*[F.col(b).alias(f"_by_{b}") for b in by]))
-    return F.broadcast(keys) if keys.count() <= MAX_BROADCAST_KEYS else keys
-
-
 def _same_group(by: Sequence[str]) -> Column:
     condition = F.lit(True)
     for b in by:
@@ -117,44 +135,30 @@ def running_sums(
     tie: Sequence[str] = (),
     splits: Sequence | None = None,
     ranges: int | None = None,
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """Add inclusive running sums in ``(key, *tie)`` order, per group of ``by``.
 
-    ``key`` is a non-null number and ``(key, *tie)`` orders the rows totally. Without
-    groups, and in groups of more than ``hot_rows`` rows (default ``HOT_ROWS``), the sums are made in two phases,
-    so that no task holds more than about ``rows / ranges`` rows; small groups use a plain
-    window. ``df`` is read up to three times: checkpoint it first if it is costly to make.
+    ``key`` is not null and ``(key, *tie)`` orders the rows totally. There is one rule for groups
+    of all sizes: the table is cut into ranges of the key, sums run inside a range of a group, and
+    the totals of its earlier ranges are added, so that no task holds more of a group than about
+    one range. ``df`` is read up to three times: checkpoint it first if it is costly to make.
     """
     by, tie, names = list(by), list(tie), list(sums)
-    hot = hot_groups(df, by, hot_rows) if by else None
     placed = df.select("*", *[value.alias(f"_v_{name}") for name, value in sums.items()])
-    if by and hot is None:
+    number = _range_column(df, key, tie, splits, 1 if by else MIN_RANGES, ranges)
+    if number is None and by:  # one range: nothing comes before it
         return _inside(placed, names, by, key, tie).select(
             *[c for c in df.columns if c not in names], *[F.col(f"_l_{n}").alias(n) for n in names]
         )
-
-    if hot is None:
-        number = _range_column(df, key, tie, splits, ranges or range_count(df))
-        placed = placed.withColumn("_range", number)
-    else:
-        marked = placed.join(hot.select("*", F.lit(True).alias("_hot")), _same_group(by), "left")
-        in_hot = df.join(hot, _same_group(by), "left_semi")
-        number = _range_column(in_hot, key, tie, splits, ranges or range_count(df))
-        placed = marked.withColumn("_range", F.when(F.col("_hot"), number).otherwise(F.lit(-1)))
-        placed = placed.drop("_hot", *[f"_by_{b}" for b in by])
-    totals = placed.filter(F.col("_range") >= 0).groupBy(*by, "_range").agg(
-        *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names]
-    )
-    # At most one row per range (and hot group), so this window stays small.
+    placed = placed.withColumn("_range", F.lit(0).cast("bigint") if number is None else number)
+    totals = placed.groupBy(*by, "_range").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
+    # At most one row per range (and group), so this window stays small.
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *[F.col(b).alias(f"_by_{b}") for b in by],
         F.col("_range").alias("_o_range"),
         *[F.sum(f"_t_{n}").over(earlier).alias(f"_o_{n}") for n in names],
     )
-    if not by:
-        offsets = F.broadcast(offsets)  # at most 64 * (2 * MAX_RANGES) short rows
     local = _inside(placed, names, [*by, "_range"], key, tie)
     condition = (F.col("_range") == F.col("_o_range")) & _same_group(by)
     return local.join(offsets, condition, "left").select(
@@ -178,11 +182,10 @@ def rank_rows(
     out: str = "pos",
     splits: Sequence | None = None,
     ranges: int | None = None,
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """Add the dense zero-based position of each row in ``(key, *tie)`` order, per group."""
     one = {out: F.lit(1).cast("bigint")}
-    ranked = running_sums(df, key, one, by=by, tie=tie, splits=splits, ranges=ranges, hot_rows=hot_rows)
+    ranked = running_sums(df, key, one, by=by, tie=tie, splits=splits, ranges=ranges)
     return ranked.withColumn(out, F.col(out) - 1)
 
 

@@ -113,10 +113,10 @@ def test_hooks(spark):
     said = hooks.generate(df, "t", lambda: "!", lambda model, batch: batch + model)
     assert [r.output for r in said.collect()] == ["ab!", "!"]
 
-    def check(_, text):
-        if not text:
+    def check(_, texts):
+        if (texts == "").any():
             raise RuntimeError("nothing to read")
-        return "safe"
+        return pd.Series(["safe"] * len(texts))
 
     got = hooks.guard_verdicts(df, "t", lambda: None, check).collect()
     assert [(r.verdict, r.error) for r in got] == [("safe", None), (None, "RuntimeError: nothing to read")]

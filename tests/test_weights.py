@@ -125,3 +125,13 @@ def test_a_loss_without_a_weight_is_an_error(spark):
     with pytest.raises(Exception, match="has no weight"):
         wt.update_logits(state, losses).collect()
     assert wt.update_logits(state, losses.filter("example_id = 1")).count() == 3
+
+
+def test_a_continued_run_is_the_run(spark):
+    state = spark.range(5).selectExpr("id AS example_id", "id * 0.1D AS logit", "0.0D AS m", "0.0D AS v")
+    losses = spark.range(40).selectExpr("id % 8 + 1 AS step", "id % 5 AS example_id", "cast(id % 7 AS double) AS loss")
+    cfg = wt.UpdateConfig(entropy=0.1)
+    whole = wt.run_schedule(state, losses, cfg, steps=range(1, 9))
+    half = wt.run_schedule(state, losses, cfg, steps=range(1, 5))
+    rest = wt.run_schedule(half, losses, cfg, steps=range(5, 9), done_before=4)
+    assert np.allclose([r.logit for r in whole.orderBy("example_id").collect()], [r.logit for r in rest.orderBy("example_id").collect()], atol=1e-12)

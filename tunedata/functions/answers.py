@@ -48,8 +48,9 @@ def normalise_answer(text: Column) -> Column:
     return strip(F.regexp_replace(bare, f"[{SPACE_CLASS}]+", " "))
 
 
-def _or_null(text: Column) -> Column:
-    return F.nullif(text, F.lit(""))
+def _first(text: Column, pattern: str, group: int) -> Column:
+    """The group in the first match, null without one; the pattern is looked for once."""
+    return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(1))
 
 
 def final_choice(text: Column) -> Column:
@@ -86,8 +87,8 @@ def first_option_text(text: Column, options: dict[str, Column]) -> Column:
 def extract_choice(text: Column, options: dict[str, Column], seed: int, *keys: str) -> Column:
     """Struct ``(answer, direct)``: the chosen letter and whether it came from the closing phrase."""
     final = final_choice(text)
-    by_phrase = [_or_null(F.regexp_extract(text, p, 1)) for p in CHOICE_PATTERNS]
-    any_letter = _or_null(F.regexp_extract(text, ANY_CHOICE_PATTERN, 0))
+    by_phrase = [_first(text, p, 1) for p in CHOICE_PATTERNS]
+    any_letter = _first(text, ANY_CHOICE_PATTERN, 0)
     answer = F.coalesce(
         final, *by_phrase, any_letter, first_option_text(text, options), seeded_choice(list(CHOICES), seed, *keys)
     )

@@ -52,19 +52,26 @@ def label_scores(
 
 
 def guard_verdicts(
-    df: DataFrame, text: str, load: Callable[[], object], check: Callable[[object, str], str],
+    df: DataFrame, text: str, load: Callable[[], object], check: Callable[[object, pd.Series], pd.Series],
 ) -> DataFrame:
-    """Add ``verdict`` and ``error``: a text the guard fails on keeps its row, with the error."""
+    """Add ``verdict`` and ``error``: a text the guard fails on keeps its row, with the error.
+
+    ``check`` judges a batch of texts. Only a batch on which it fails is tried again text by text.
+    """
 
     @F.pandas_udf("verdict string, error string")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = load()
         for batch in batches:
-            rows = []
-            for value in batch:
+            try:
+                yield pd.DataFrame({"verdict": list(check(model, batch)), "error": None}, dtype="object")
+                continue
+            except Exception:  # noqa: BLE001 - any failure of the caller's model
+                rows = []
+            for i in range(len(batch)):
                 try:
-                    rows.append((check(model, value), None))
-                except Exception as problem:  # noqa: BLE001 - any failure of the caller's model
+                    rows.append((check(model, batch.iloc[i:i + 1]).iloc[0], None))
+                except Exception as problem:  # noqa: BLE001
                     rows.append((None, f"{type(problem).__name__}: {problem}"))
             yield pd.DataFrame(rows, columns=["verdict", "error"], dtype="object")
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tunedata.functions.arrays import dot, sigmoid
 from tunedata.operators.scalars import numbers, scalars
@@ -274,6 +274,7 @@ def run_schedule(
     cfg: UpdateConfig = UpdateConfig(),
     *,
     steps: range,
+    done_before: int = 0,
     snapshot_every: int | None = None,
     write_snapshot: Callable[[int, DataFrame], None] | None = None,
 ) -> DataFrame:
@@ -282,14 +283,17 @@ def run_schedule(
     Each step depends on the one before, so this is a loop; a step is one join written to the
     shared folder and a handful of cluster-wide sums (only those numbers reach the driver).
     Two tables are written in turn, so plans stay short and a lost executor costs at most the
-    running step.
+    running step. The log is written once by step, so each step reads its own folder.
+    To go on from a snapshot, give the number of steps it has behind it as ``done_before``.
     """
     _check_activation(cfg.activation)
     spark = state.sparkSession
-    logged = cut_lineage(losses)
+    log = scratch_path(spark, "losses")
+    losses.select(F.col("step").cast("bigint").alias("step"), "example_id", "loss").write.partitionBy("step").parquet(log)
+    logged = spark.read.schema(T.StructType([losses.schema["example_id"], losses.schema["loss"], T.StructField("step", T.LongType())])).parquet(log)
     tables = (scratch_path(spark, "state"), scratch_path(spark, "state"))
     current, shift = state, None
-    for done, step in enumerate(steps, start=1):
+    for done, step in enumerate(steps, start=done_before + 1):
         batch = logged.filter(F.col("step") == step).select("example_id", "loss")
         store = partial(cut_lineage, path=tables[done % 2])
         current, shift = _one_step(current, batch, cfg, done, store, shift)

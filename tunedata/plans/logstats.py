@@ -155,11 +155,13 @@ def kd_ce(spark, sf_dir):
 
 
 def _router(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select(F.slice("embedding", 1, 8).cast("array<double>").alias("logits"))
+    """Eight tokens in each vector, with the logits of eight experts."""
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", 8 * i + 1, 8).cast("array<double>"))
+    return table(spark, sf_dir, "embeddings").select(F.explode(tokens).alias("logits"))
 
 
 @query("moe_balance", """
-WITH r AS (SELECT embedding[1:8]::DOUBLE[] AS z FROM embeddings),
+WITH r AS (SELECT embedding[8 * t + 1:8 * t + 8]::DOUBLE[] AS z FROM embeddings, range(8) r(t)),
 e AS (SELECT unnest(list_grade_up(list_transform(z, lambda x: -x))[1:2]) AS expert FROM r)
 SELECT count(DISTINCT expert)::DOUBLE AS balance FROM e
 """)
@@ -168,7 +170,7 @@ def moe_balance(spark, sf_dir):
 
 
 @query("moe_balance_std", """
-WITH r AS (SELECT embedding[1:8]::DOUBLE[] AS z FROM embeddings),
+WITH r AS (SELECT embedding[8 * t + 1:8 * t + 8]::DOUBLE[] AS z FROM embeddings, range(8) r(t)),
 e AS (SELECT unnest(list_grade_up(list_transform(z, lambda x: -x))[1:2]) AS expert FROM r),
 f AS (SELECT expert, count(*) AS hits FROM e GROUP BY expert),
 p AS (SELECT unnest(range(1, 9)) AS expert, unnest(list_transform(z, lambda x: exp(x) / list_sum(list_transform(z, lambda y: exp(y))))) AS p FROM r),

@@ -11,32 +11,42 @@ NAMES_SQL = "[" + ", ".join(f"'{n}'" for n in sf.LABEL_NAMES) + "]"
 N = len(sf.LABEL_NAMES)
 
 
-def scored_texts(spark, sf_dir):
-    """The first entries of each embedding as label logits."""
+#: Where the texts of an embedding begin: all its entries are read, the last text shares some with the one before.
+STARTS = (1, 15, 29, 43, 51)
+
+
+def texts(spark, sf_dir):
+    """Texts of label logits, five in each embedding."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", "label", F.transform(F.slice("embedding", 1, N), lambda x: x.cast("double") * 6).alias("logits"))
+    return e.select("vec_id", "label", "embedding", F.explode(F.array(*map(F.lit, STARTS))).alias("start"))
 
 
+def scored_texts(spark, sf_dir):
+    logits = F.transform(F.slice("embedding", F.col("start"), N), lambda x: x.cast("double") * 6)
+    return texts(spark, sf_dir).select("vec_id", F.col("start").cast("bigint").alias("start"), "label", logits.alias("logits"))
+
+
+TEXTS_SQL = f"(SELECT *, unnest({list(STARTS)}) AS start FROM embeddings)"
 PROBS_SQL = f"""
-SELECT vec_id, label, list_transform(embedding[1:{N}], lambda x: 1 / (1 + exp(-x::DOUBLE * 6))) AS p FROM embeddings
+SELECT vec_id, start::BIGINT AS start, label, list_transform(embedding[start:start + {N - 1}], lambda x: 1 / (1 + exp(-x::DOUBLE * 6))) AS p FROM {TEXTS_SQL}
 """
 
 
 @query("mod_decide", f"""
-SELECT vec_id, list_max(p) > 0.8 AS flagged, unnest({NAMES_SQL}) AS category, round(unnest(p), 6) AS prob FROM ({PROBS_SQL})
+SELECT vec_id, start, list_max(p) > 0.8 AS flagged, unnest({NAMES_SQL}) AS category, round(unnest(p), 6) AS prob FROM ({PROBS_SQL})
 """)
 def mod_decide(spark, sf_dir):
     out = sf.decide_labels(scored_texts(spark, sf_dir), threshold=0.8)
-    return out.select("vec_id", "flagged", F.explode("categories").alias("category", "p")).select(
-        "vec_id", "flagged", "category", r6("p", "prob"))
+    return out.select("vec_id", "start", "flagged", F.explode("categories").alias("category", "p")).select(
+        "vec_id", "start", "flagged", "category", r6("p", "prob"))
 
 
 @query("mod_categories", f"""
-SELECT vec_id, array_to_string(list_filter({NAMES_SQL}, lambda x, i: p[i] > 0.75), '|') AS violated FROM ({PROBS_SQL})
+SELECT vec_id, start, array_to_string(list_filter({NAMES_SQL}, lambda x, i: p[i] > 0.75), '|') AS violated FROM ({PROBS_SQL})
 """)
 def mod_categories(spark, sf_dir):
     out = sf.decide_labels(scored_texts(spark, sf_dir), threshold=0.75, as_bool=True)
-    return out.select("vec_id", F.array_join(sf.violated_categories(F.col("categories")), "|").alias("violated"))
+    return out.select("vec_id", "start", F.array_join(sf.violated_categories(F.col("categories")), "|").alias("violated"))
 
 
 @query("mod_rate", f"""
@@ -72,15 +82,14 @@ def mod_binary(spark, sf_dir):
 
 @query("mod_multilabel", _metrics_sql(f"""
 SELECT unnest(list_prepend('flagged', {NAMES_SQL})) AS name,
-  unnest(list_prepend(list_bool_or([x > 0.1 for x in embedding[1:{N}]]), [x > 0.1 for x in embedding[1:{N}]])) AS y,
-  unnest(list_prepend(list_bool_or([x > 0.15 for x in embedding[2:{N + 1}]]), [x > 0.15 for x in embedding[2:{N + 1}]])) AS p
-FROM embeddings
+  unnest(list_prepend(list_bool_or([x > 0.1 for x in embedding[start:start + {N - 1}]]), [x > 0.1 for x in embedding[start:start + {N - 1}]])) AS y,
+  unnest(list_prepend(list_bool_or([x > 0.15 for x in embedding[start - 1:start + {N - 2}]]), [x > 0.15 for x in embedding[start - 1:start + {N - 2}]])) AS p
+FROM {TEXTS_SQL} WHERE start > 1
 """, "name"))
 def mod_multilabel(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    rows = e.select(
-        F.transform(F.slice("embedding", 1, N), lambda x: x > F.lit(0.1).cast("float")).alias("label"),
-        F.transform(F.slice("embedding", 2, N), lambda x: x > F.lit(0.15).cast("float")).alias("predicted"))
+    rows = texts(spark, sf_dir).filter("start > 1").select(
+        F.transform(F.slice("embedding", F.col("start"), N), lambda x: x > F.lit(0.1).cast("float")).alias("label"),
+        F.transform(F.slice("embedding", F.col("start") - 1, N), lambda x: x > F.lit(0.15).cast("float")).alias("predicted"))
     return _metric_columns(sf.multilabel_metrics(rows), "name")
 
 

@@ -103,9 +103,9 @@ def ev_numeric_acc(spark, sf_dir):
     return _score(ev.numeric_match(_sentences(spark, sf_dir), "expected", "said"), "lang")
 
 
-@query("ev_count", "SELECT count(*) AS n, 'tuned' AS generator FROM conversations WHERE role = 'assistant'")
+@query("ev_count", "SELECT count(*) AS n, 'tuned' AS generator FROM conversations")
 def ev_count(spark, sf_dir):
-    return ev.prediction_count(table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant"), "tuned")
+    return ev.prediction_count(table(spark, sf_dir, "conversations"), "tuned")
 
 
 def _options():
@@ -207,12 +207,15 @@ def mc_extract(spark, sf_dir):
 
 
 @query("mc_argmax", """
-WITH s AS (SELECT vec_id, [embedding[i]::DOUBLE + embedding[i + 4]::DOUBLE for i in range(1, 5)] AS z FROM embeddings)
-SELECT vec_id, substr('ABCD', list_position(z, list_max(z))::INT, 1) AS answer FROM s
+WITH s AS (SELECT vec_id, question, [embedding[8 * question + i]::DOUBLE + embedding[8 * question + i + 4]::DOUBLE for i in range(1, 5)] AS z
+           FROM embeddings, range(8) r(question))
+SELECT vec_id, question, substr('ABCD', list_position(z, list_max(z))::INT, 1) AS answer FROM s
 """)
 def mc_argmax(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", an.argmax_choice(F.slice("embedding", 1, 4), F.slice("embedding", 5, 4)).alias("answer"))
+    """Eight questions in each vector, two passes of four logits each."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("question"))
+    first, second = (F.slice("embedding", 8 * F.col("question") + n, 4) for n in (1, 5))
+    return e.select("vec_id", F.col("question").cast("bigint").alias("question"), an.argmax_choice(first, second).alias("answer"))
 
 
 def _exam(spark, sf_dir):

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tunedata.functions.answers import CHOICES, argmax_choice, extract_choice
 from tunedata.functions.templates import DEFAULT_SYSTEM_TEXT, system_chat
-from tunedata.operators.indexing import rank_rows
 
 __all__ = ["argmax_choice", "extract_choice"]
 
@@ -72,12 +71,14 @@ def few_shot_prefix(
 ) -> DataFrame:
     """Header and the first ``k`` worked examples per subject (-1 takes all).
 
-    Examples are cut to ``k`` before they are gathered, so only a prompt's worth of text
-    meets in one row.
+    Examples are cut to ``k`` in every partition before they are gathered or built, so only a
+    prompt's worth of text meets in one row. All of a subject must fit a prompt, so -1 is for small sets.
     """
-    picked = dev.withColumn("_example", example)
+    picked = dev
     if k >= 0:
-        picked = rank_rows(picked, order, by=[subject], out="_rank").filter(F.col("_rank") < k)
+        first = Window.partitionBy(subject).orderBy(order)
+        picked = dev.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= k)
+    picked = picked.withColumn("_example", example)
     header = chat_header(F.col(subject)) if chat else exam_header(F.col(subject))
     shots = picked.groupBy(subject).agg(
         F.array_join(

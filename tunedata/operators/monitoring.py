@@ -68,11 +68,10 @@ def _carry(ends: DataFrame, by: list[str]) -> DataFrame:
 
 
 def snapshot_ema(previous: DataFrame, current: DataFrame, *, beta: float = SNAPSHOT_DECAY, key: str = "example_id", value: str = "logit") -> DataFrame:
-    """``(1 - beta) * current + beta * previous`` per parameter."""
+    """``(1 - beta) * current + beta * previous`` per parameter; one that is new starts at its own value."""
     old = previous.select(key, F.col(value).alias("_old"))
-    return current.join(old, key).select(
-        key, ((1 - beta) * F.col(value) + beta * F.col("_old")).alias(value)
-    )
+    mixed = (1 - beta) * F.col(value) + beta * F.col("_old")
+    return current.join(old, key, "left").select(key, F.when(F.col("_old").isNull(), F.col(value)).otherwise(mixed).alias(value))
 
 
 def reduce_metrics(df: DataFrame, op: str = "mean", *, by: Sequence[str] = ("step", "metric"), value: str = "value") -> DataFrame:

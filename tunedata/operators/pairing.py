@@ -98,11 +98,10 @@ def mismatch_pairs(
         return df
     order = Window.partitionBy(batch).orderBy(pos)
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    shifted = df.withColumn(
-        "response", F.when(F.lead(pos).over(order).isNull(), F.first("response").over(whole)).otherwise(
-            F.lead("response").over(order))
-    ).withColumn("label", F.lit(-1))
-    return df.unionByName(shifted)
+    following = F.when(F.lead(pos).over(order).isNull(), F.first("response").over(whole)).otherwise(F.lead("response").over(order))
+    other = {"response": F.col("_following"), "label": F.lit(-1).cast(df.schema["label"].dataType)}
+    both = F.array(F.struct(*df.columns), F.struct(*[other.get(c, F.col(c)).alias(c) for c in df.columns]))
+    return df.withColumn("_following", following).select(F.inline(both))
 
 
 def unpivot_pairs(df: DataFrame) -> DataFrame:
@@ -136,10 +135,10 @@ def repair_sides(df: DataFrame, key: str, value: str) -> DataFrame:
 def pad_batch(
     df: DataFrame, arrays: str, batch: str = "batch", *, side: str = "left", value=0
 ) -> DataFrame:
-    """Pad arrays to the longest one of their batch."""
+    """Pad arrays to the longest one of their batch; a batch is small, so one window over it does."""
     if side not in ("left", "right"):
         raise ValueError("side must be left or right")
-    widest = df.groupBy(batch).agg(F.max(F.size(arrays)).alias("_width"))
+    widest = df.withColumn("_width", F.max(F.size(arrays)).over(Window.partitionBy(batch)))
     fill = F.array_repeat(F.lit(value).cast(df.schema[arrays].dataType.elementType), F.col("_width") - F.size(arrays))
     parts = [fill, F.col(arrays)] if side == "left" else [F.col(arrays), fill]
-    return df.join(widest, batch).withColumn(arrays, F.concat(*parts)).select(*df.columns)
+    return widest.withColumn(arrays, F.concat(*parts)).select(*df.columns)

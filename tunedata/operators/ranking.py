@@ -17,7 +17,10 @@ TASK_ANSWERS = ("positive", "negative")
 def attach_scores(
     examples: DataFrame, weights: DataFrame, *, key: str = "id", scale: float | str = SCORE_SCALE
 ) -> DataFrame:
-    """Add ``score_logit`` and ``score_softmax`` (softmax over all weights times ``scale``, or ``"n"``)."""
+    """Add ``score_logit`` and ``score_softmax`` (softmax over all weights times ``scale``, or ``"n"``).
+
+    An example without a weight is an error, not a row less.
+    """
     terms = softmax_terms(weights)
     factor = terms["n"] if scale == "n" else F.lit(scale)
     scored = weights.select(
@@ -25,7 +28,9 @@ def attach_scores(
         F.col("logit").alias("score_logit"),
         (F.exp(F.col("logit") - terms["top"]) / terms["total"] * factor).alias("score_softmax"),
     )
-    return examples.join(scored, key)
+    missing = F.raise_error(F.lit("an example has no weight"))
+    met = examples.join(scored, key, "left")
+    return met.withColumn("score_logit", F.when(F.col("score_logit").isNull(), missing).otherwise(F.col("score_logit")))
 
 
 def untemplate(prompt: Column, source: Column) -> Column:

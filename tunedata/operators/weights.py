@@ -66,12 +66,13 @@ def to_weights(df: DataFrame, activation: str = "softmax", logit: str = "logit",
 
 
 def weighted_batch_loss(losses: DataFrame, weights: DataFrame) -> DataFrame:
-    """Mean of weight times loss per step."""
+    """Mean of weight times loss per step. A loss whose example has no weight is an error."""
+    missing = F.raise_error(F.lit("a loss names an example that has no weight"))
     return (
-        losses.join(weights.select("example_id", "weight"), "example_id")
+        losses.join(weights.select("example_id", "weight"), "example_id", "left")
         .groupBy("step")
         .agg(
-            F.avg(F.col("weight") * F.col("loss")).alias("weighted_loss"),
+            F.avg(F.when(F.col("weight").isNull(), missing).otherwise(F.col("weight")) * F.col("loss")).alias("weighted_loss"),
             F.avg("loss").alias("plain_loss"),
         )
     )

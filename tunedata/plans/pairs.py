@@ -93,7 +93,7 @@ def kto_mismatch(spark, sf_dir):
     rows = examples(spark, sf_dir).select(
         "doc_id", F.col("text").alias("prompt"), F.concat("lang", F.col("doc_id").cast("string")).alias("response"),
         F.col("quality").alias("label"))
-    batches = pairing.assign_batches(rank_rows(rows, "doc_id"), 8)
+    batches = rows.join(pairing.assign_batches(rank_rows(rows.select("doc_id"), "doc_id"), 8), "doc_id")
     return pairing.mismatch_pairs(batches).select("doc_id", "prompt", "response", "label", "batch")
 
 
@@ -131,10 +131,10 @@ w AS (SELECT *, max(len(tokens)) OVER (PARTITION BY batch) AS width FROM t)
 SELECT doc_id, batch, array_to_string(list_concat(list_transform(range(width - len(tokens)), lambda i: 2), tokens), ' ') AS tokens FROM w
 """)
 def pad_batch(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", F.transform(word_tokens(F.col("text")), lambda w: F.length(w)).alias("tokens"))
-    batches = pairing.assign_batches(rank_rows(docs, "doc_id"), 16).drop("pos")
-    padded = pairing.pad_batch(batches, "tokens", side="left", value=2)
+    docs = table(spark, sf_dir, "documents")
+    tokens = docs.select("doc_id", F.transform(word_tokens(F.col("text")), lambda w: F.length(w)).alias("tokens"))
+    batches = pairing.assign_batches(rank_rows(docs.select("doc_id"), "doc_id"), 16).drop("pos")
+    padded = pairing.pad_batch(tokens.join(batches, "doc_id"), "tokens", side="left", value=2)
     return padded.withColumn("tokens", F.array_join(F.col("tokens").cast("array<string>"), " "))
 
 

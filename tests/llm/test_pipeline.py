@@ -42,7 +42,7 @@ def test_stages(spark, folder, make_docs, rows):
         if name != cp.STAGES[-1][0]:
             assert docs.columns == columns
     language, lines, near, clean, mixed = seen
-    assert sorted((r["doc_id"], r["text"]) for r in language if r["doc_id"]) == sorted((i, t) for i, t, *_ in rows if i is not None and i not in (43, 44, 45) and t)
+    assert sorted((r["doc_id"], r["text"]) for r in language if r["doc_id"] is not None) == sorted((i, t) for i, t, *_ in rows if i is not None and i not in (43, 44, 45) and t)
     given = [(r["doc_id"], r["text"]) for r in language]
     want = {k: v for k, v in brute.dedup_lines(given).items() if v.strip()}
     assert {(r["doc_id"], r["text"]) for r in lines} == {(k[0], v) for k, v in want.items()}

@@ -62,13 +62,16 @@ def lookups(keyed: DataFrame, phrases: DataFrame, anchors: int = ANCHORS) -> Dat
 
 
 def postings(keyed: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, key, pos): where the given terms stand in the training documents."""
-    placed = keyed.select("key", F.posexplode(raw_words(F.col("text"))).alias("pos", "word"))
-    return placed.select("key", "pos", fold(F.col("word")).alias("term")).join(_light(terms), "term")
+    """(term, doc, pos): where the given terms stand in the training documents."""
+    placed = keyed.select("doc", F.posexplode(raw_words(F.col("text"))).alias("pos", "word"))
+    return placed.select("doc", "pos", fold(F.col("word")).alias("term")).join(_light(terms), "term")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.filter(F.col(text_col).isNotNull()).select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    """(doc, key, text); ``doc`` is a short number for the postings. Should two documents share one, both are
+    compared word by word with what either proposes."""
+    named = docs.filter(F.col(text_col).isNotNull()).select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    return named.select(F.xxhash64("key").alias("doc"), "key", "text")
 
 
 def _index(docs: DataFrame, phrases: DataFrame, id_col: str, text_col: str, anchors: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -81,15 +84,15 @@ def _index(docs: DataFrame, phrases: DataFrame, id_col: str, text_col: str, anch
 def exact_matches(docs: DataFrame, phrases: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchors: int = ANCHORS) -> DataFrame:
     """(key, win, start, length): every occurrence of a phrase (win, phrase), one row of it per document key."""
     keyed, wanted, index = _index(docs, phrases, id_col, text_col, anchors)
-    starts = index.join(_light(wanted), "term").select("key", "win", (F.col("pos") - F.col("offset")).alias("start"), "wanted", F.expr("shiftleft(1, rank - 1)").alias("bit"))
+    starts = index.join(_light(wanted), "term").select("doc", "win", (F.col("pos") - F.col("offset")).alias("start"), "wanted", F.expr("shiftleft(1, rank - 1)").alias("bit"))
     # One bit for each of the lists, so that a posting that comes twice counts once.
-    met = starts.filter("start >= 0").groupBy("key", "win", "start").agg(F.bit_or("bit").alias("bits"), F.first("wanted").alias("wanted"))
+    met = starts.filter("start >= 0").groupBy("doc", "win", "start").agg(F.bit_or("bit").alias("bits"), F.first("wanted").alias("wanted"))
     met = met.filter("bits = shiftleft(1, wanted) - 1")
-    proposed = met.join(phrases.select("win", "phrase"), "win").groupBy("key").agg(
+    proposed = met.join(phrases.select("win", "phrase"), "win").groupBy("doc").agg(
         F.collect_list(F.struct("start", "win", F.size("phrase").alias("length"), "phrase")).alias("proposed"))
-    checked = proposed.join(keyed.dropDuplicates(["key"]), "key").select("key", "proposed", words(F.col("text")).alias("all"))
+    checked = proposed.join(keyed, "doc").select("key", "proposed", words(F.col("text")).alias("all"))
     same = F.filter("proposed", lambda c: F.slice(F.col("all"), c["start"] + 1, c["length"]) == c["phrase"])
-    return checked.select("key", F.explode(same).alias("hit")).select("key", "hit.win", "hit.start", "hit.length")
+    return checked.select("key", F.explode(same).alias("hit")).select("key", "hit.win", "hit.start", "hit.length").distinct()
 
 
 def proximity_matches(docs: DataFrame, phrases: DataFrame, slack: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,15 +102,15 @@ def proximity_matches(docs: DataFrame, phrases: DataFrame, slack: int, id_col: s
     """
     keyed, wanted, index = _index(docs, phrases, id_col, text_col, 1)
     near = index.join(_light(wanted), "term").join(phrases.select("win", "phrase"), "win")
-    proposed = near.groupBy("key").agg(F.collect_list(F.struct("pos", "win", "phrase")).alias("proposed"))
-    checked = proposed.join(keyed.dropDuplicates(["key"]), "key").select("key", "proposed", words(F.col("text")).alias("all"))
+    proposed = near.groupBy("doc").agg(F.collect_list(F.struct("pos", "win", "phrase")).alias("proposed"))
+    checked = proposed.join(keyed, "doc").select("key", "proposed", words(F.col("text")).alias("all"))
 
     def close(c):
         span = F.size(c["phrase"]) + slack
         spans = F.transform(F.sequence(F.greatest(c["pos"] - span + 1, F.lit(0)), c["pos"]), lambda i: F.slice(F.col("all"), i + 1, span))
         return F.exists(spans, lambda part: F.size(F.array_except(c["phrase"], part)) == 0)
 
-    return checked.select("key", F.explode(F.filter("proposed", close)).alias("hit")).select("key", "hit.win", "hit.pos")
+    return checked.select("key", F.explode(F.filter("proposed", close)).alias("hit")).select("key", "hit.win", "hit.pos").distinct()
 
 
 def contamination(

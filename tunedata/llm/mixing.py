@@ -81,7 +81,7 @@ def slot_schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFra
     earlier = Window.partitionBy("rank").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("rank", "chunk", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("offset"))
     within = F.row_number().over(Window.partitionBy("rank", "chunk").orderBy("slot")) - 1
-    return slots.withColumn("within", within).join(offsets, ["rank", "chunk"]).select("slot", "rank", (F.col("offset") + F.col("within")).alias("block"))
+    return slots.withColumn("within", within).join(offsets.hint("merge"), ["rank", "chunk"]).select("slot", "rank", (F.col("offset") + F.col("within")).alias("block"))
 
 
 def mix(
@@ -125,8 +125,9 @@ def mix(
     pieces = read.select("rank", "start", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / block_words), F.floor((F.col("high") - 1) / block_words))).alias("block"))
     first, last = F.greatest("low", F.col("block") * block_words), F.least("high", (F.col("block") + 1) * block_words)
     pieces = pieces.select("rank", "start", "block", (first - F.col("low")).alias("first_word"), (last - first).alias("n_words"))
+    # Slots are made from a few rows, by whose size Spark would take them to be few themselves and broadcast them.
     slots = slot_schedule(sources, block_words)
-    return located.drop("words"), pieces.join(slots, ["rank", "block"]).select("slot", "rank", "block", "start", "first_word", "n_words")
+    return located.drop("words"), pieces.join(slots.hint("merge"), ["rank", "block"]).select("slot", "rank", "block", "start", "first_word", "n_words")
 
 
 def taken_words(located: DataFrame, mixed: DataFrame) -> DataFrame:

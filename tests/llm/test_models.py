@@ -131,3 +131,53 @@ def test_scores_tell_the_corpora_apart(spark, make_docs):
     models = lm.fit(make_docs(good), make_docs(good + bad))
     got = {r["doc_id"]: r["lm_score"] for r in lm.with_score(make_docs(good[:1] + bad[:1]), models).collect()}
     assert got[0] < 0 < got[20]
+
+
+def test_every_word_is_counted(spark, make_docs, monkeypatch):
+    """6,000 words, each met twice, against dictionaries; chunks and buckets of a few words."""
+    monkeypatch.setattr(lm, "CHUNK", 900)
+    monkeypatch.setattr(lm, "BUCKET", 700)
+    rng = random.Random(4)
+    texts = [" ".join(f"w{j}" for j in rng.sample(range(i % 10, 6000, 10), 60)) + " the end the end" for i in range(200)]
+    rows = list(enumerate(texts)) + [(200, None), (201, "!"), (7, texts[7]), (None, "w1 w2")]
+    docs, good = make_docs(rows), spark.createDataFrame([(i,) for i in [*range(0, 200, 3), 0, 999]] + [(None,)], "doc_id long")
+    plain = [t for _, t in rows]
+    target = [t for i, t in rows if i is not None and i < 200 and i % 3 == 0]
+    words = {w for t in plain for w in lm.words(t)}
+    assert len(words) > 4096
+
+    corpora = []
+    for corpus in (target, plain):
+        pairs, single = Counter(), Counter()
+        for t in corpus:
+            found = lm.words(t)
+            pairs.update(zip(["<s>", *found], found))
+            single.update(found)
+        after, kinds = Counter(), Counter()
+        for (a, _), n in pairs.items():
+            after[a] += n
+            kinds[a] += 1
+        corpora.append((pairs, single, after, kinds, sum(single.values())))
+
+    def expected(text):
+        found, losses = lm.words(text), []
+        for pairs, single, after, kinds, total in corpora:
+            loss = 0
+            for a, b in zip(["<s>", *found], found):
+                base = (single[b] + 1) / (total + len(words) + 2)
+                loss -= math.log((pairs[a, b] + kinds[a] * base) / (after[a] + kinds[a]) if after[a] else base)
+            losses.append(loss)
+        return (losses[0] - losses[1]) / len(found)
+
+    out = lm.score_members(docs, good).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out) == sorted((i is None, i or 0) for i, _ in rows)
+    by_id = dict(rows)
+    for r in out:
+        found = lm.words(by_id[r["doc_id"]])
+        assert r["lm_tokens"] == len(found)
+        assert r["lm_score"] == pytest.approx(expected(by_id[r["doc_id"]]), abs=1e-9) if found else r["lm_score"] is None
+    models = lm.fit(make_docs([(i, t) for i, t in enumerate(target)]), docs)
+    again = lm.with_score(docs, models).collect()
+    assert len(again) == len(rows)
+    for r in again:
+        assert r["lm_score"] == pytest.approx(expected(r["text"]), abs=1e-9) if lm.words(r["text"]) else r["lm_score"] is None

@@ -37,12 +37,11 @@ def op1_token_counts(spark, sf_dir):
 def op2_lm_score(spark, sf_dir):
     """How much more a document reads like those labelled as good than like all documents.
 
-    Labels grow with the documents, so the two are merged, never broadcast, at any size.
+    Labels grow with the documents, so their ids are merged, never broadcast, at any size.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").hint("merge")
-    models = lm.fit(docs.join(good, "doc_id", "left_semi"), docs)
-    return lm.with_score(docs, models).select("doc_id", "lm_tokens", F.round("lm_score", 6).alias("lm_score"))
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return lm.score_members(docs, good).select("doc_id", "lm_tokens", F.round("lm_score", 6).alias("lm_score"))
 
 
 @query

@@ -81,3 +81,10 @@ def test_components(spark):
     got = components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()
     assert sorted(map(tuple, got)) == sorted((x, root(x)) for x in linked)
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_large_ids_beside_null(spark, make_docs):
+    low, text = 2 ** 60 + 1, " ".join(f"w{i}" for i in range(60))
+    docs = make_docs([(low, text), (low + 2, text + " more"), (None, "quite another text of some words here"), (low + 4, "alone in this table of texts")]).coalesce(1)
+    got = {r["key"]["id"]: (r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs).collect()}
+    assert got == {low: (low, True), low + 2: (low, False), None: (None, True), low + 4: (low + 4, True)}

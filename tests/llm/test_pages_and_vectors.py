@@ -34,6 +34,15 @@ def test_archive(spark):
     assert warc.read_records(index, folder).count() == 0
 
 
+def test_large_page_ids_beside_null(spark):
+    first, second, long = 2 ** 60 + 1, 2 ** 60 + 3, "x" * 200
+    rows = [(first, "u", long), (second, "u", long), (None, "u", "y" * 200), (2 ** 62 + 1, "u", "z")]
+    index, folder = warc.archive(pages(spark, rows).coalesce(1))
+    want = [(None, None), (first, None), (2 ** 62 + 1, None), (second, first)]
+    for found in (index, warc.read_records(index, folder)):
+        assert sorted(((r["page_id"], r["refers_to"]) for r in found.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_reads_are_coalesced():
     reads = warc.coalesced([(0, 10), (10, 5), (20, 5), (100, 5), (105, 500)], gap=8, most=200)
     assert [(b, e, n) for b, e, n in reads] == [(0, 25, [0, 1, 2]), (100, 105, [3]), (105, 605, [4])]

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tunedata.llm import sketch
 from tunedata.llm.components import components
@@ -49,7 +49,9 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
     given = docs.select(parts.alias("key"), F.col(text_col).alias("text")).select(
         F.col("key.id").alias("id"), F.col("key.h1").alias("h1"), F.col("key.h2").alias("h2"), F.col("key.none").alias("none"), "text")
     id_type = given.schema["id"].dataType.simpleString()
-    made = given.mapInPandas(run, f"id {id_type}, h1 long, h2 long, none boolean, size long, class long, bands array<long>")
+    # Nullable whole numbers would be floats in pandas, so they pass as strings.
+    held_type = "string" if isinstance(given.schema["id"].dataType, T.IntegralType) else id_type
+    made = given.withColumn("id", F.col("id").cast(held_type)).mapInPandas(run, f"id {held_type}, h1 long, h2 long, none boolean, size long, class long, bands array<long>").withColumn("id", F.col("id").cast(id_type))
     return made.select(F.struct("id", "h1", "h2", "none").alias("key"), "size", "class", "bands")
 
 

@@ -59,13 +59,13 @@ def _record(row) -> bytes:
     head = [
         "WARC/1.1", f"WARC-Type: {row.record_type}", f"WARC-Target-URI: {url}", f"WARC-Date: {DATE}",
         f"WARC-Record-ID: {_identifier(row.page_id, row.payload_digest)}", f"WARC-Payload-Digest: sha256:{row.payload_digest}",
-        f"X-Page-ID: {'' if pd.isna(row.page_id) else int(row.page_id)}", f"X-Payload-Length: {row.payload_bytes}",
+        f"X-Page-ID: {row.page_id or ''}", f"X-Payload-Length: {row.payload_bytes}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + len(payload)}",
     ]
     if revisit:
         head[5:5] = [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            f"WARC-Refers-To: {_identifier(int(row.refers_to), row.payload_digest)}", f"X-Refers-To-Page-ID: {int(row.refers_to)}",
+            f"WARC-Refers-To: {_identifier(row.refers_to, row.payload_digest)}", f"X-Refers-To-Page-ID: {row.refers_to}",
         ]
     return "\r\n".join(head).encode("utf-8", "replace") + b"\r\n\r\n" + http + payload + b"\r\n\r\n"
 
@@ -102,10 +102,13 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             if out:
                 out.close()
 
-    columns = "page_id long, url string, digest string, record_type string, refers_to long, file string, offset long, length long"
+    # Nullable whole numbers would be floats in pandas, so ids pass as strings.
+    columns = "page_id string, url string, digest string, record_type string, refers_to string, file string, offset long, length long"
+    ids = {name: F.col(name).cast("long") for name in ("page_id", "refers_to")}
     given = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     ready = resolve_revisits(given).select("page_id", "url", "html", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    return cut_lineage(ready.mapInPandas(write, columns))
+    texts = ready.withColumns({name: F.col(name).cast("string") for name in ids})
+    return cut_lineage(texts.mapInPandas(write, columns).withColumns(ids))
 
 
 def _records(data: bytes) -> tuple[dict[str, str], bytes]:

@@ -71,6 +71,21 @@ def test_pieces_do_not_matter(spark, monkeypatch):
     assert np.allclose(model.bits(texts), whole)
 
 
+def test_every_language_is_learned(spark, make_docs, monkeypatch):
+    """70 labels, each with an alphabet of its own; the rarest come last by name and by count."""
+    texts = {f"l{i:02}": " ".join(chr(0x4E00 + 40 * i + j) * 2 for j in range(12)) for i in range(70)}
+    rows = [(1000 * i + j, text, lang) for i, (lang, text) in enumerate(texts.items()) for j in range(2 if i < 64 else 1)]
+    model = train(spark, rows)
+    assert model.languages == sorted(texts)
+    got = langid.with_language(make_docs([(i, t, lang) for i, (lang, t) in enumerate(texts.items())]), model).collect()
+    assert [r["lang_pred"] for r in got] == [r["source"] for r in got] and len(got) == 70
+    asked = [t.encode() for t in [*texts.values(), "plain", "一x"]]
+    apart = model.bits(asked)
+    monkeypatch.setattr(langid, "GROUP", 70)
+    model.held.clear()
+    assert np.allclose(model.bits(asked), apart, rtol=1e-5)
+
+
 def test_odd_texts(spark, make_docs):
     model = train(spark, [(1, "the cat sat", "a"), (2, "die katze", "b"), (3, None, "c"), (None, "x", "d"), (4, "y", None)])
     docs = make_docs([(1, None), (2, ""), (3, "12 !!"), (4, "the the"), (4, "the the"), (None, "日本")])

@@ -8,7 +8,8 @@ on the three before it, and the trees become one table (context, byte) -> bits p
 language with the shortest code for the whole text wins.
 
 The trees are trained on a bounded sample: ``sample_rows`` whole texts per language, those with the
-smallest hash of their id, for the ``max_languages`` most frequent languages.
+smallest hash of their id, for every language. Tables are made for ``GROUP`` languages at a time and a
+few groups are held, so that memory does not grow with the number of languages, but for their counts.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 ORDER = 3
 SAMPLE_ROWS = 400
-MAX_LANGUAGES = 64
+#: Languages that share tables, groups whose tables a worker holds, and languages whose samples are broadcast.
+GROUP, HELD_GROUPS, FEW = 8, 4, 64
 UNKNOWN = "und"
 #: A text that no language codes shorter than its plain bytes is in none.
 MAX_BITS = 8.0
@@ -41,20 +43,43 @@ class Model:
     count: np.ndarray
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "tables"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("classes", "held")}
 
     @cached_property
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """(class of a byte, context number of three classes, bits of context * classes + class by language, classes).
+    def classes(self) -> tuple[np.ndarray, np.ndarray]:
+        """(class of a byte, bytes seen), the same for all languages.
 
         Class 0 is the start of a text, the last one all bytes that were not seen in training.
         """
-        symbols = np.stack([(self.gram >> s) & 0x1FF for s in (27, 18, 9, 0)], 1)  # 9 bits each; 256 is the start
-        seen = np.unique(symbols[symbols < 256])
-        size = len(seen) + 2
-        classes = np.full(257, size - 1)
-        classes[seen], classes[256] = np.arange(1, size - 1), 0
-        grams, n_lang = classes[symbols], len(self.languages)
+        symbols = np.unique(np.concatenate([np.unique((self.gram >> s) & 0x1FF) for s in (27, 18, 9, 0)]))  # 9 bits each; 256 is the start
+        seen = symbols[symbols < 256]
+        classes = np.full(257, len(seen) + 1)
+        classes[seen], classes[256] = np.arange(1, len(seen) + 1), 0
+        return classes.astype(np.int64), seen
+
+    @cached_property
+    def held(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        return {}
+
+    def tables(self, low: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those of ``GROUP`` languages from ``low`` on. The first groups are held, others made again."""
+        if low not in self.held:
+            made = self.made(low, min(low + GROUP, len(self.languages)))
+            if len(self.held) >= HELD_GROUPS:
+                return made
+            self.held[low] = made
+        return self.held[low]
+
+    def made(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """(context number of three classes, bits of context * classes + class by language) for languages low to high.
+
+        A context that none of them has seen costs what the next shorter one does, so other languages change nothing.
+        """
+        classes, seen = self.classes
+        size, n_lang = len(seen) + 2, high - low
+        own_rows = (self.language >= low) & (self.language < high)
+        language, count = self.language[own_rows] - low, self.count[own_rows]
+        grams = classes[np.stack([(self.gram[own_rows] >> s) & 0x1FF for s in (27, 18, 9, 0)], 1)]
         # Order -1: an even share of all bytes; the last class stands for the bytes it holds, the start is never coded.
         share = np.full((1, size, n_lang), 1 / 256)
         share[0, -1], share[0, 0] = (256 - len(seen)) / 256, 0
@@ -68,7 +93,7 @@ class Model:
             parent_code = contexts % size ** max(order - 1, 0)
             parent = np.searchsorted(parent_of, parent_code) if order else np.zeros(1, np.int64)
             counts = np.zeros((len(contexts), size, n_lang))
-            np.add.at(counts, (at, grams[:, ORDER], self.language), self.count)
+            np.add.at(counts, (at, grams[:, ORDER], language), count)
             total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
             below = share[parent]
             left = 1 - (below * (counts > 0)).sum(1, keepdims=True)
@@ -88,12 +113,16 @@ class Model:
             state = np.where(contexts[at] == code, start + at, state).astype(np.int32)
         with np.errstate(divide="ignore"):
             bits = -np.log2(np.concatenate(all_shares).reshape(-1, n_lang))
-        return classes.astype(np.int64), state, np.where(np.isfinite(bits), bits, 0).astype(np.float32), size
+        return state, np.where(np.isfinite(bits), bits, 0).astype(np.float32)
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Bits that each text takes in each language."""
-        classes, state, bits, size = self.tables
-        out = np.zeros((len(texts), len(self.languages)))
+        return np.concatenate([self._bits(texts, low) for low in range(0, len(self.languages), GROUP)], 1)
+
+    def _bits(self, texts: list[bytes], group: int) -> np.ndarray:
+        (classes, seen), (state, bits) = self.classes, self.tables(group)
+        size = len(seen) + 2
+        out = np.zeros((len(texts), bits.shape[1]))
         lengths = np.array([len(t) + ORDER for t in texts], np.int64)
         ends = np.cumsum(lengths)
         marks = (ends - lengths)[:, None] + np.arange(ORDER)
@@ -115,15 +144,16 @@ class Model:
         return out
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, sample_rows: int = SAMPLE_ROWS, max_languages: int = MAX_LANGUAGES) -> Model:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Train on labelled texts. Rows without an id, text or language teach nothing; no rows, no languages."""
     rows = labelled.filter(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0)).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    known = sorted(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(max_languages).collect())
+    known = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.filter(F.col("lang").isin(known)).select("id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample_rows)
-    # At most sample_rows * max_languages short rows.
-    sample = rows.join(F.broadcast(chosen.select("id", "lang").distinct()), ["id", "lang"])
+    chosen = rows.select("id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample_rows)
+    chosen = chosen.select("id", "lang").distinct()
+    # At most sample_rows * FEW short rows are broadcast.
+    sample = rows.join(F.broadcast(chosen) if len(known) <= FEW else chosen, ["id", "lang"])
     number = {name: i for i, name in enumerate(known)}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tunedata.llm import decontam, langid, lines, lm, mixing, neardup, render, tokens, topk, warc
+from tunedata.llm import decontam, langid, lines, lm, mixing, neardup, packing, periodic, render, tokens, topk, warc
 from tunedata.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,24 @@ def op9_visible_text(spark, sf_dir):
 def op10_near_duplicates(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return neardup.near_duplicates(docs, shingle=4, percent=80).select(F.col("key.id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+@query
+def op13_periodic_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic.periodic_runs(docs, tail=periodic.tail_number("doc_id"), keep_text=False)
+    names = ("n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+    return found.select("doc_id", *[F.col(f"periodic.{name}").alias(name) for name in names])
+
+
+#: The vocabulary whose ids are packed.
+PACKED_VOCABULARY = "byte_bpe_50k.json"
+
+
+@query
+def op12_pack(spark, sf_dir):
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.token_pieces(docs, public_tokenizers.path(PACKED_VOCABULARY)).select("doc_id", "piece.*")
+    return packing.pack(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tunedata.llm import decontam, langid, lines, lm, mixing, neardup, packing, periodic, render, tokens, topk, warc
+from tunedata.llm import decontam, langid, lines, lm, mixing, neardup, packing, periodic, render, tokens, topk, warc, whitening
 from tunedata.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,12 @@ def op12_pack(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = packing.token_pieces(docs, public_tokenizers.path(PACKED_VOCABULARY)).select("doc_id", "piece.*")
     return packing.pack(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op11_whitening(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    white = whitening.whiten(vectors, "embedding").select("vec_id", "whitened", F.posexplode("whitened.values").alias("at", "value"))
+    return white.select(
+        "vec_id", (F.col("at") + 1).cast("int").alias("component"), "whitened.n", "whitened.deviation", F.col("value").alias("whitened"),
+        F.get("whitened.explained", F.col("at")).alias("explained"), "whitened.identity_error")

@@ -251,17 +251,19 @@ def pack(pieces: DataFrame, length_col: str = "length", *, window: int = WINDOW)
     they are written, not by a value, so repeated rows and null ids get places of their own. Columns of the
     two names are replaced. An empty table stays empty.
     """
-    row, chunk, rank = (free_name(pieces, name) for name in ("row", "chunk", "rank"))
+    row, chunk, rank, n, of_length, of_chunk, earlier = (
+        free_name(pieces, name) for name in ("piece_row", "piece_chunk", "piece_rank", "piece_count", "counted_length", "counted_chunk", "counted_before"))
     kept = pieces.drop("sequence_id", "offset")
     size = F.col(length_col)
     written = cut_lineage(kept.withColumn(row, F.monotonically_increasing_id()))
     chunked = written.withColumn(chunk, F.shiftright(F.col(row), CHUNK_BITS))
     placed = chunked.filter(size > 0)
     # One short row for each length and chunk; the windows over them grow with the chunks, not the rows.
-    counted = cut_lineage(placed.groupBy(size.cast("long").alias("_length"), F.col(chunk).alias("_chunk")).agg(F.count("*").alias("_n")))
-    earlier = Window.partitionBy("_length").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = counted.select("_length", "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    counts = {r["_length"]: r["n"] for r in counted.groupBy("_length").agg(F.sum("_n").alias("n")).limit(window + 1).collect()}
+    counted = cut_lineage(placed.groupBy(size.cast("long").alias(of_length), F.col(chunk).alias(of_chunk)).agg(F.count("*").alias(n)))
+    preceding = Window.partitionBy(of_length).orderBy(of_chunk).rowsBetween(Window.unboundedPreceding, -1)
+    before = counted.select(of_length, of_chunk, F.coalesce(F.sum(n).over(preceding), F.lit(0)).alias(earlier))
+    # One number for each length; one row more than there may be lengths shows that a piece is too long.
+    counts = {r[0]: r[1] for r in counted.groupBy(of_length).agg(F.sum(n)).limit(window + 1).collect()}
     plan = np.array(best_fit_plan(counts, window), np.int64).reshape(-1, 5)
     plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
     starts = np.array([int(length) << 48 | int(first) for length, first in plan[:, :2]], np.int64)
@@ -274,8 +276,9 @@ def pack(pieces: DataFrame, length_col: str = "length", *, window: int = WINDOW)
         return pd.DataFrame({"sequence_id": found[:, 2] + behind // found[:, 3], "offset": found[:, 4] + behind % found[:, 3] * n})
 
     inside = F.row_number().over(Window.partitionBy(size.cast("long"), chunk).orderBy(row))
-    ranked = placed.withColumn(rank, inside).join(before, (size.cast("long") == F.col("_length")) & (F.col(chunk) == F.col("_chunk")))
-    ranked = ranked.withColumn(rank, F.col(rank) - 1 + F.col("_before")).drop("_length", "_chunk", "_before")
+    # Ranked rows and counts lie by length and chunk already, so they are merged at every size.
+    ranked = placed.withColumn(rank, inside).join(before.hint("merge"), (size.cast("long") == F.col(of_length)) & (F.col(chunk) == F.col(of_chunk)))
+    ranked = ranked.withColumn(rank, F.col(rank) - 1 + F.col(earlier)).drop(of_length, of_chunk, earlier)
     located = ranked.withColumn(rank, place(size.cast("long"), F.col(rank)))
     located = located.select(*kept.columns, F.col(rank)["sequence_id"].alias("sequence_id"), F.col(rank)["offset"].alias("offset"))
     without = written.filter(size.isNull() | (size <= 0)).select(*kept.columns, F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))

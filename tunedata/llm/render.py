@@ -4,13 +4,18 @@ A page becomes a tree: tags that HTML lets one leave out are implied, unknown cl
 and what never shows (scripts, styles, hidden elements) is kept apart. The tree is then rendered:
 blocks on lines of their own with blank lines between paragraphs, list items with their mark and
 indent, and table rows with cells padded to the width of their column.
+
+Pages may nest as deep as they are long: the open elements are a list with the places of each tag, and
+rendering is a stack of steps, so neither recursion nor a limit of depth comes in.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Generator, Iterable
 from html import unescape
 
 import pandas as pd
@@ -19,7 +24,10 @@ from pyspark.sql import DataFrame, functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-HIDDEN = frozenset("head script style template noscript iframe object audio video canvas svg math datalist title noembed noframes select".split())
+HIDDEN = frozenset(
+    "head script style template noscript iframe object audio video canvas datalist title noembed noframes desc metadata defs annotation annotation-xml".split())
+#: Kinds of input whose value is not shown as text.
+WORDLESS = frozenset("hidden checkbox radio file image range color password".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr".split())
 BLOCK = SPACED | frozenset(
     "html body address article aside center details dialog dd div dt fieldset figcaption footer form header hgroup legend li main menu nav section summary caption tr search".split())
@@ -34,24 +42,30 @@ BOUNDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",)} | {t: ("tabl
 _HEAD = frozenset("head base link meta title style script noscript template html".split())
 _CLOSES_P = BLOCK - {"html", "body", "caption", "tr", "legend", "summary"} | {"hr"}
 _P_BOUND = frozenset(("table", "td", "th", "caption", "button", "object"))
-#: Open elements beyond which further ones are put beside, not inside.
-DEPTH = 400
+#: Columns beyond which nested quotes and lists are not indented further.
+INDENT = 100
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)", re.S)
 #: The rest of a tag; quotes hold a ``>`` only in a value. A tag that never ends takes the rest of the page.
 _REST = re.compile(r"((?:[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(?:>|\Z)")
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
-_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "hidden")
+    """An element. ``hidden``: neither it nor what is in it shows; ``shows``: its visibility, None as around it."""
+
+    __slots__ = ("tag", "attributes", "children", "hidden", "shows")
 
     def __init__(self, tag: str, attributes: dict[str, str]):
         self.tag, self.attributes, self.children = tag, attributes, []
         style = attributes.get("style", "")
-        self.hidden = tag in HIDDEN or "hidden" in attributes or attributes.get("type", "").lower() == "hidden" or bool(style and _UNSEEN.search(style))
+        kind = attributes.get("type", "").lower() if tag == "input" else ""
+        self.hidden = tag in HIDDEN or "hidden" in attributes or kind == "hidden" or bool(style and _UNSEEN.search(style))
+        seen = _VISIBILITY.findall(style) if style else []
+        self.shows = seen[-1].lower() == "visible" if seen else None
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -62,30 +76,34 @@ def _attributes(source: str) -> dict[str, str]:
 
 
 class _Stack(list):
-    """Open elements, and how many there are of each tag."""
+    """Open elements, and the places of those of each tag."""
 
     def __init__(self, root: Node):
         super().__init__([root])
-        self.open: Counter[str] = Counter()
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
 
     def push(self, node: Node) -> None:
+        self.places[node.tag].append(len(self))
         self.append(node)
-        self.open[node.tag] += 1
 
     def cut(self, i: int) -> None:
-        self.open.subtract(n.tag for n in self[i:])
+        for node in self[i:]:
+            self.places[node.tag].pop()
         del self[i:]
 
+    def last(self, names: Iterable[str]) -> int:
+        """Place of the innermost open element of these names; 0 if there is none."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
 
 def _close(stack: _Stack, names: tuple[str, ...], bounds: tuple[str, ...] | frozenset[str]) -> None:
     """End the open elements of these names, with all inside them, as far as the nearest bound."""
-    i = len(stack) - 1
-    while i > 0 and any(stack.open[n] > 0 for n in names):
-        if stack[i].tag in bounds:
-            return
-        if stack[i].tag in names:
-            stack.cut(i)
-        i -= 1
+    if not any(stack.places.get(n) for n in names):
+        return
+    bound = stack.last(bounds)
+    inside = [stack.places[n][at] for n in names if (at := bisect_right(stack.places.get(n, ()), bound)) < len(stack.places.get(n, ()))]
+    if inside:
+        stack.cut(min(inside))
 
 
 def parse(html: str) -> Node:
@@ -111,12 +129,10 @@ def parse(html: str) -> Node:
         if token[1]:
             if tag == "br":
                 stack[-1].children.append(Node("br", {}))
-            for i in range(len(stack) - 1 if stack.open[tag] > 0 else 0, 0, -1):
-                if stack[i].tag == tag:
-                    stack.cut(i)
-                    break
-                if stack[i].tag in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html", "td", "th"):
-                    break
+            at_tag = stack.last((tag,))
+            inner = tag in ("table", "tr", "tbody", "thead", "tfoot", "body", "html", "td", "th")
+            if at_tag and (inner or at_tag > stack.last(("table", "td", "th"))):
+                stack.cut(at_tag)
             continue
         if tag == "html":
             continue
@@ -137,7 +153,7 @@ def parse(html: str) -> Node:
             content = html[at:end.start()]
             node.children.append(unescape(content) if tag in ("textarea", "title") else content)
             at = end.end()
-        elif tag not in VOID and len(stack) < DEPTH:
+        elif tag not in VOID and not (rest[1].rstrip().endswith("/") and stack.last(("svg", "math", tag if tag in ("svg", "math") else "svg"))):
             stack.push(node)
     return root
 
@@ -185,107 +201,178 @@ class _Page:
             self.lead = " " * len(self.lead)
         self.line, self.space = [], False
 
+    def block(self, lines: list[str]) -> None:
+        """Whole lines, as of a table, which may be taken over as they are."""
+        self.end()
+        self.gap = True
+        if not self.lines and not self.lead:
+            self.lines = lines
+        else:
+            for line in lines:
+                self.line.append(line)
+                self.end(True)
+        self.gap = True
+
+
+#: A step of rendering: it yields the steps it needs done first and is sent what they return.
+Step = Generator["Step", object, object]
+
+
+def _done(step: Step) -> object:
+    """Run a step and all it needs, one inside the other, on a list of its own."""
+    waiting, value = [step], None
+    while waiting:
+        try:
+            waiting.append(waiting[-1].send(value))
+            value = None
+        except StopIteration as end:
+            waiting.pop()
+            value = end.value
+    return value
 
-def _render(node: Node, page: _Page, pre: bool) -> None:
-    counter = 0
-    if node.tag == "ol":
-        counter = int(node.attributes["start"]) - 1 if re.fullmatch(r"-?\d{1,9}", node.attributes.get("start", "")) else 0
+
+def _number(text: str | None, otherwise: int) -> int:
+    return int(text) if text and re.fullmatch(r"-?\d{1,9}", text) else otherwise
+
+
+def _options(select: Node) -> list[str]:
+    """What a drop-down or list box shows: the chosen option (the first if none is), or all of a list."""
+    found, waiting = [], list(reversed(select.children))
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, Node) and not node.hidden:
+            if node.tag == "option":
+                found.append(node)
+            else:
+                waiting.extend(reversed(node.children))
+    listed = "multiple" in select.attributes or _number(select.attributes.get("size"), 1) > 1
+    if not listed:
+        found = ([o for o in found if "selected" in o.attributes][-1:] or [o for o in found if "disabled" not in o.attributes][:1])
+    return [o.attributes.get("label") or " ".join(c for c in o.children if isinstance(c, str)) for o in found]
+
+
+def _render(node: Node, page: _Page, pre: bool, shown: bool) -> Step:
+    counter = _number(node.attributes.get("start"), 1) - 1 if node.tag == "ol" else 0
     for child in node.children:
         if isinstance(child, str):
-            page.preformatted(child) if pre else page.words(child)
+            if shown:
+                page.preformatted(child) if pre else page.words(child)
             continue
         tag = child.tag
         if child.hidden:
             continue
+        seen = shown if child.shows is None else child.shows
         if tag == "br":
             page.end(True)
         elif tag == "hr":
             page.end()
             page.gap = True
         elif tag in ("img", "area"):
-            page.words(child.attributes.get("alt", ""))
+            page.words(child.attributes.get("alt", "") if seen else "")
         elif tag == "input":
-            if child.attributes.get("type", "text").lower() in ("submit", "button", "reset", "text"):
-                page.words(" " + child.attributes.get("value", "") + " ")
+            kind = child.attributes.get("type", "text").lower()
+            shows = child.attributes.get("alt" if kind == "image" else "value", "") if kind == "image" or kind not in WORDLESS else ""
+            page.words(f" {shows} " if seen else "")
+        elif tag == "select":
+            for option in _options(child) if seen else ():
+                page.words(f" {option} ")
         elif tag == "table":
-            page.end()
-            page.gap = True
-            for line in _table(child):
-                page.line.append(line)
-                page.end(True)
-            page.gap = True
+            page.block((yield _table(child, seen)))
         elif tag in BLOCK:
             page.end()
             page.gap |= tag in SPACED and not (tag in ("ul", "ol") and node.tag == "li")
             lead = page.lead
             if tag == "li":
-                counter += 1
-                if re.fullmatch(r"-?\d{1,9}", child.attributes.get("value", "")):
-                    counter = int(child.attributes["value"])
-                page.lead = " " * len(lead) + (f"{counter}. " if node.tag == "ol" else "* ")
+                counter = _number(child.attributes.get("value"), counter + 1)
+                page.lead = " " * min(len(lead), INDENT) + (f"{counter}. " if node.tag == "ol" else "* ") if seen else lead
             elif tag in ("dd", "blockquote"):
-                page.lead = " " * (len(lead) + 4)
-            _render(child, page, pre or tag == "pre")
+                page.lead = " " * min(len(lead) + 4, max(INDENT, len(lead)))
+            yield _render(child, page, pre or tag == "pre", seen)
             page.end()
             page.lead = " " * len(lead) if page.lead != lead else lead
             page.gap |= tag in SPACED and not (tag in ("ul", "ol") and node.tag == "li")
         else:
-            _render(child, page, pre or tag in ("textarea", "xmp", "listing", "plaintext"))
+            yield _render(child, page, pre or tag in ("textarea", "xmp", "listing", "plaintext"), seen)
 
 
-def _lines(node: Node) -> list[str]:
+def _lines(node: Node, shown: bool) -> Step:
     page = _Page()
-    _render(node, page, node.tag == "pre")
+    yield _render(node, page, node.tag == "pre", shown)
     page.end()
     return page.lines
 
 
-def _rows(table: Node):
-    """Visible rows of a table, head first and foot last, and what else stands in it."""
-    parts: dict[int, list[Node]] = {0: [], 1: [], 2: []}
+def _rows(table: Node, shown: bool) -> tuple[Node, list[tuple[Node, bool]]]:
+    """Visible rows of a table and whether their text shows, head first and foot last, and what else stands in it."""
+    parts: dict[int, list[tuple[Node, bool]]] = {0: [], 1: [], 2: []}
     rest = Node("div", {})
+    waiting = [(child, 1, shown) for child in reversed(table.children)]
+    while waiting:
+        child, part, seen = waiting.pop()
+        if isinstance(child, str):
+            rest.children.append(child)
+            continue
+        if child.hidden:
+            continue
+        seen = seen if child.shows is None else child.shows
+        if child.tag in ("thead", "tbody", "tfoot"):
+            part = {"thead": 0, "tfoot": 2}.get(child.tag, 1)
+            waiting.extend((c, part, seen) for c in reversed(child.children))
+        elif child.tag == "tr":
+            parts[part].append((child, seen))
+        else:
+            rest.children.append(child)
+    return rest, parts[0] + parts[1] + parts[2]
 
-    def gather(node: Node, part: int) -> None:
-        for child in node.children:
-            if isinstance(child, str):
-                rest.children.append(child)
-            elif child.hidden:
-                continue
-            elif child.tag in ("thead", "tbody", "tfoot"):
-                gather(child, {"thead": 0, "tfoot": 2}.get(child.tag, 1))
-            elif child.tag == "tr":
-                parts[part].append(child)
-            else:
-                rest.children.append(child)
 
-    gather(table, 1)
-    return rest, parts[0] + parts[1] + parts[2]
+def _spanned(text: str | None, most: int) -> int:
+    return max(1, min(int(text), most)) if text and re.fullmatch(r"\d{1,5}", text) else 1
 
 
-def _table(table: Node) -> list[str]:
-    """A table's lines: what is outside its rows first, then rows whose cells stand under each other."""
-    rest, rows = _rows(table)
-    grid = []
-    for row in rows:
-        cells = []
+def _table(table: Node, shown: bool) -> Step:
+    """A table's lines: what is outside its rows first, then rows whose cells stand under each other.
+
+    A cell over several rows or columns shows in the first of them, and the others stay empty.
+    """
+    rest, rows = _rows(table, shown)
+    grid: list[dict[int, list[str]]] = []
+    taken: dict[int, int] = {}  # columns that cells from above still hold, and for how many rows
+    for n, (row, seen) in enumerate(rows):
+        cells: dict[int, list[str]] = {}
+        column, below = 0, {c: left - 1 for c, left in taken.items() if left > 1}
         for cell in row.children:
-            if isinstance(cell, str) or cell.hidden:
-                if isinstance(cell, str) and cell.strip():
+            if isinstance(cell, str):
+                if cell.strip():
                     rest.children.append(cell)
                 continue
-            cells.append(_lines(cell))
-            span = cell.attributes.get("colspan", "1")
-            cells.extend([[]] * (min(int(span), 1000) - 1 if re.fullmatch(r"\d{1,4}", span) else 0))
+            if cell.hidden:
+                continue
+            while taken.get(column, 0) > 0:
+                column += 1
+            cells[column] = yield _lines(cell, seen if cell.shows is None else cell.shows)
+            down = cell.attributes.get("rowspan")
+            deep = len(rows) - n if down == "0" else min(_spanned(down, 65534), len(rows) - n)
+            for c in range(column, column + _spanned(cell.attributes.get("colspan"), 1000)):
+                if deep > 1:
+                    below[c] = max(below.get(c, 0), deep - 1)
+                column = c + 1
+        taken = below
         grid.append(cells)
-    out = _lines(rest)
+    out = yield _lines(rest, shown)
+    if not out and len(grid) == 1 and len(grid[0]) == 1:
+        return next(iter(grid[0].values()))  # a frame around one cell
     widths: dict[int, int] = {}
     for cells in grid:
-        for i, cell in enumerate(cells):
+        for i, cell in cells.items():
             widths[i] = max(widths.get(i, 0), max(map(width, cell), default=0))
+    columns = range(max(widths, default=-1) + 1)
     for cells in grid:
-        for n in range(max(map(len, cells), default=0)):
-            line = "  ".join((text := cell[n] if n < len(cell) else "") + " " * (widths[i] - width(text)) for i, cell in enumerate(cells))
-            out.append(line.rstrip())
+        for n in range(max(map(len, cells.values()), default=0)):
+            line = []
+            for i in columns[:max(cells) + 1]:
+                text = cells[i][n] if i in cells and n < len(cells[i]) else ""
+                line.append(text + " " * (widths.get(i, 0) - width(text)))
+            out.append("  ".join(line).rstrip())
     return out
 
 
@@ -293,15 +380,15 @@ def visible_text(html: str | None) -> str | None:
     """All text of a page that shows, laid out; null for null."""
     if html is None:
         return None
-    return "\n".join(_lines(parse(html))).strip("\n")
+    return "\n".join(_done(_lines(parse(html), True))).strip("\n")
 
 
 def with_visible_text(pages: DataFrame, html_col: str = "html", into: str = "visible_text") -> DataFrame:
     """Adds the laid-out visible text of each page; a column named ``into`` is replaced.
 
     Null pages give null, empty ones and such without visible text an empty text. Rows, other columns
-    and repeats stay as they are. Markup of any depth is read without recursion beyond ``DEPTH``;
-    elements deeper than that stand beside each other.
+    and repeats stay as they are. Elements may be nested to any depth; only the indent of quotes and
+    lists ends at ``INDENT`` columns.
     """
     @F.pandas_udf("string")
     def rendered(html: pd.Series) -> pd.Series:

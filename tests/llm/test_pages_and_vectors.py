@@ -1,5 +1,6 @@
 import hashlib
 import random
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -65,6 +66,70 @@ def test_render(html, text):
     assert render.visible_text(html) == text
 
 
+@pytest.mark.parametrize("html,text", [
+    ("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>", "A  B\n   C"),
+    ("<table><tr><td rowspan=0>A<td>B<tr><td>C<tr><td>D</table>", "A  B\n   C\n   D"),
+    ("<table><tr><td colspan=2 rowspan=2>A<td>B<tr><td>C<tr><td>x<td>y<td>z</table>", "A     B\n      C\nx  y  z"),
+    ("<div style='visibility:hidden'>no<span style='visibility:visible'>yes</span><ul><li>no</ul></div>", "yes"),
+    ("<tr><div style='Visibility: Collapse'>no</div>", ""),
+    ("<select><option>a<option selected>b</select>", "b"), ("<select><option disabled>a<option>b<option>c</select>", "b"),
+    ("<select multiple><optgroup label=g><option>c<option>d</select>", "c d"),
+    ("<input type=search value=q><input type=email value=e><input type=password value=p><input value=v><input type=checkbox value=1>", "q e v"),
+    ("<svg><title>no</title><path d='1'/><text>see</text></svg>", "see"), ("<math><mi>x</mi><annotation>no</annotation></math>", "x"),
+])
+def test_what_shows(html, text):
+    assert render.visible_text(html) == text
+
+
+def test_any_depth(spark):
+    deep = {
+        "<table>" * 100_000 + "x": "x", "<table><tr><td>" * 30_000 + "x": "x", "<div>" * 100_000 + "<div hidden>SECRET</div>y": "y",
+        "<div>" * 450 + "<div hidden>SECRET</div>": "", "<p><table><td>" + "<div>" * 50_000 + "z": "z", "<b><i>" * 50_000 + "w" + "</b>" * 50_000: "w",
+        "<blockquote>" * 50_000 + "q": " " * 100 + "q",
+    }
+    rows = pages(spark, [(i, "u", html) for i, html in enumerate(deep)])
+    got = {r["page_id"]: r["visible_text"] for r in render.with_visible_text(rows).collect()}
+    assert [got[i] for i in range(len(deep))] == list(deep.values())
+
+
+class Plain(HTMLParser):
+    """Another reading of a page: its words in order, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.parts, self.unseen = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("head", "script", "style", "title"):
+            self.unseen += 1
+        elif tag not in ("a", "b", "i", "em", "span"):
+            self.parts.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in ("head", "script", "style", "title"):
+            self.unseen -= 1
+        elif tag not in ("a", "b", "i", "em", "span"):
+            self.parts.append(" ")
+
+    def handle_data(self, data):
+        if not self.unseen:
+            self.parts.append(data)
+
+
+def test_all_pages_against_another_reading(spark, sf_dir):
+    from tunedata.llm.queries import QUERIES
+
+    given = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    found = QUERIES["op9_visible_text"](spark, sf_dir).collect()
+    assert len(found) == len(given)
+    for row in found:
+        plain = Plain()
+        plain.feed(given[row["page_id"]] or "")
+        lines = [line.strip() for line in row["visible_text"].split("\n")]
+        words = " ".join(line[2:] if line.startswith("* ") else line for line in lines).split()
+        assert words == "".join(plain.parts).split()
+
+
 def test_broken_markup_ends():
     for html in ("<div>" * 50_000 + "x", "<" * 100_000, "<a \"" * 50_000, "<!--" * 50_000, "<p><b>" * 20_000, "<table><tr><td>" * 3000, "<a b='" * 30_000):
         render.visible_text(html)
@@ -108,6 +173,41 @@ def test_top_k(spark, monkeypatch, ring, block, n):
     assert len(two) == 2 and got.filter("query_id = 2000").count() == 7
 
 
+@pytest.mark.parametrize("most", [2**20, 2**28, 2**30])
+def test_large_components(spark, monkeypatch, most):
+    """Sums far above 2^53 are exact, whatever the annuli exclude."""
+    monkeypatch.setattr(topk, "RING_ROWS", 6)
+    rng = random.Random(most)
+    centres = [[rng.randint(-most, most) for _ in range(5)] for _ in range(4)]
+    rows = [(i, [c + rng.randint(-9, 9) for c in rng.choice(centres)]) for i in range(150)]
+    rows += [(900, [most] * 5), (901, [-most] * 5), (902, [1, 0, 0, 0, 0])]
+    df = spark.createDataFrame(rows, "id long, vector array<long>")
+
+    def score(v, w):
+        return sum(a * b for a, b in zip(v, w))
+
+    got = sorted(map(tuple, topk.top_k(df, df.filter("id % 50 = 0 or id = 901"), 7, pivots=9).collect()))
+    want = []
+    for q, v in rows:
+        if q % 50 == 0 or q == 901:
+            scores = sorted((-score(v, w), i) for i, w in rows if i != q)[:7]
+            want += [(q, n, i, -s) for n, (s, i) in enumerate(scores, 1)]
+    assert got == sorted(want)
+
+
+def test_products():
+    rng = random.Random(0)
+    for bits in (3, 24, 26, 31, 40):
+        q, x = ([[rng.randint(-2**bits, 2**bits) for _ in range(n)] for _ in range(9)] for n in (7, 7))
+        if bits < 31:
+            assert topk.products(np.array(q), np.array(x)).tolist() == [[sum(a * b for a, b in zip(v, w)) for w in x] for v in q]
+    q, x = np.array([[2**40, 3]]), np.array([[2**10, -5], [1, 2**61]])
+    assert topk.products(q, x)[0, 0] == 2**50 - 15
+    with pytest.raises(OverflowError):
+        topk.products(np.array([[2**40]]), np.array([[2**30]]))
+    assert topk.products(np.array([[2**62, 2**62]]), np.array([[1, -1]]))[0, 0] == 0
+
+
 def test_few_vectors(spark):
     few = spark.createDataFrame([(0, [1, 2]), (100, [3, 4])], "id long, vector array<long>")
     assert sorted(map(tuple, topk.top_k(few, few, 10).collect())) == [(0, 1, 100, 11), (100, 1, 0, 11)]

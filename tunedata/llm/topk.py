@@ -6,9 +6,12 @@ distances a and b, the triangle inequality says that no vector in it is nearer t
 max(|q-p| - b, a - |q-p|, 0). With the greatest norm in the annulus that bounds the inner product
 from above, as q.x = (|q|^2 + |x|^2 - |q-x|^2) / 2.
 
-A query first searches the annulus it would lie in itself. Its k-th score there is what others must
-reach: the remaining annuli are expanded only where their bound does not fall below it. Ties are
-expanded too, so the answer is exact whatever the pivots.
+A query takes the annuli in the order of their bounds: first the best one, then ever more at a time. After
+each round its k-th score so far is what others must reach, and it stops at the first annulus whose bound
+falls below. Ties are expanded too, so the answer is exact whatever the pivots.
+
+Scores are exact: matrix products of whole numbers as floats where no sum can reach 2^53, else of
+their 22-bit parts, put together modulo 2^64.
 
 Pivots are a bounded sample. Annuli are at most ``RINGS`` per pivot, so their table is small enough
 to broadcast at any size of the data; what they hold is dealt out in blocks of ``BLOCK`` vectors,
@@ -29,6 +32,10 @@ from tunedata.session import cut_lineage
 PIVOTS, RINGS = 256, 64
 #: Vectors an annulus should hold at least, and vectors and queries of one block.
 RING_ROWS, BLOCK = 512, 4096
+#: How many times as many annuli as before a query takes in each round.
+FASTER = 8
+#: Bits of the parts whose products are added exactly.
+PART = 22
 
 
 def _matrix(column: pd.Series, size: int) -> np.ndarray:
@@ -39,6 +46,39 @@ def _matrix(column: pd.Series, size: int) -> np.ndarray:
     return out
 
 
+def _whole(column: pd.Series, size: int) -> np.ndarray:
+    """The same as whole numbers."""
+    out = np.zeros((len(column), size), np.int64)
+    for i, v in enumerate(column):
+        out[i, :len(v)] = v
+    return out
+
+
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """All inner products of the rows of two matrices of longs, exactly; one beyond a long is an error."""
+    close = q.astype(float) @ x.astype(float).T
+    most = float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(x.astype(float)).max(initial=0)) * max(q.shape[1], 1)
+    if most < 2.0**53:
+        return close.astype(np.int64)
+    if np.abs(close).max(initial=0) >= 2.0**63 * (1 - 1e-9):
+        raise OverflowError("an inner product does not fit a long")
+    total = np.zeros(close.shape, np.uint64)
+    for i, a in enumerate(_parts(q)):
+        for j, b in enumerate(_parts(x)):
+            if PART * (i + j) < 64:
+                # Sums of products of parts stay below 2^53 over slices of 512 dimensions.
+                for low in range(0, q.shape[1], 512):
+                    exact = (a[:, low:low + 512] @ b[:, low:low + 512].T).astype(np.int64).astype(np.uint64)
+                    total += exact << np.uint64(PART * (i + j))
+    return total.astype(np.int64)
+
+
+def _parts(x: np.ndarray) -> list[np.ndarray]:
+    """Parts of ``PART`` bits, the lowest first; only the highest one can be negative."""
+    mask = (1 << PART) - 1
+    return [(x & mask).astype(float), ((x >> PART) & mask).astype(float), (x >> 2 * PART).astype(float)]
+
+
 def build_index(vectors: DataFrame, *, pivots: int = PIVOTS) -> tuple[DataFrame, np.ndarray, int]:
     """Index (id, vector): the keyed table (id, vector, pivot, distance, norm2), the pivots, and the dimension.
 
@@ -80,14 +120,14 @@ def annuli(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _score(size: int, k: int):
     def best(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        """The k best of a block for each query of a block; scores are integers below 2^53."""
+        """The k best of a block for each query of a block."""
         out = {"query_id": [], "id": [], "score": []}
         if len(queries) and len(block):
             block = block.sort_values("id", kind="stable")
-            ids, x = block["id"].to_numpy(), _matrix(block["vector"], size)
+            ids, x = block["id"].to_numpy(), _whole(block["vector"], size)
             for low in range(0, len(queries), 512):
                 part = queries.iloc[low:low + 512]
-                scores = _matrix(part["query"], size) @ x.T
+                scores = products(_whole(part["query"], size), x)
                 for q, row in zip(part["query_id"].to_numpy(), scores):
                     usable = np.flatnonzero(ids != q)
                     if len(usable) > k:
@@ -96,7 +136,7 @@ def _score(size: int, k: int):
                         usable = np.concatenate([above, level[:k - len(above)]])  # level is in the order of ids
                     out["query_id"] += [q] * len(usable)
                     out["id"] += ids[usable].tolist()
-                    out["score"] += row[usable].astype(np.int64).tolist()
+                    out["score"] += row[usable].tolist()
         return pd.DataFrame(out).astype("int64")
 
     return best
@@ -120,7 +160,7 @@ def _merged(found: DataFrame, k: int) -> DataFrame:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, pivots: int = PIVOTS) -> DataFrame:
     """(query_id, rank, id, score): the k greatest inner products of every query, ties to the smaller id.
 
-    ``vectors`` and ``queries``: (id, vector), whole numbers of at most 2^20 in size. A vector is no
+    ``vectors`` and ``queries``: (id, vector) of longs; a score beyond a long is an error. A vector is no
     answer to the query of the same id, however often the id occurs; of queries that repeat an id, one
     is asked. Of repeated rows of an answer each counts. Null ids and vectors take no part; a shorter
     vector counts as padded with zeros. With fewer than k candidates all are returned; no vectors or
@@ -135,37 +175,45 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, pivots: int =
     norms = (centres ** 2).sum(1)
     pivot, near, far, most, blocks = (rings[c].to_numpy() for c in ("pivot", "near", "far", "norm2", "blocks"))
 
-    def bounds(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Upper bounds of the scores of some queries in every annulus, and the distances by which they miss them."""
+    def bounds(q: np.ndarray) -> np.ndarray:
+        """Upper bounds of the scores of some queries in every annulus, above all rounding."""
         own = (q ** 2).sum(1)[:, None]
         to_pivot = np.sqrt(np.maximum(own + norms - 2 * q @ centres.T, 0))[:, pivot]
-        # Rounding of the distances may not cut an annulus off.
-        miss = np.maximum(np.maximum(to_pivot - far, near - to_pivot) - 1e-6 * (1 + to_pivot), 0)
-        return (own + most - miss ** 2) / 2, miss
-
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The annuli that a query must search: the best one if ``least`` is missing, else all others whose bound reaches it."""
-        for batch in batches:
-            for low in range(0, len(batch), 1024):
-                part = batch.iloc[low:low + 1024]
-                upper, _ = bounds(_matrix(part["query"], size))
-                first = np.zeros(upper.shape, bool)
-                if upper.shape[1]:
-                    first[np.arange(len(part)), upper.argmax(1)] = True
-                chosen = first if "least" not in part else (~first & (upper >= part["least"].to_numpy()[:, None] - 0.5))
-                row, at = np.nonzero(chosen)
-                row, at = np.repeat(row, blocks[at]), np.repeat(at, blocks[at])
-                block = np.concatenate([np.arange(n) for n in blocks[np.nonzero(chosen)[1]]]) if len(at) else []
-                yield part.iloc[row][["query_id", "query"]].assign(pivot=pivot[at], ring=rings["ring"].to_numpy()[at], block=block)
+        slack = 1e-6 * (1 + to_pivot + np.sqrt(own) + np.sqrt(most))
+        miss = np.maximum(np.maximum(to_pivot - far, near - to_pivot) - slack, 0)
+        return (own + most - miss ** 2) / 2 + 1e-9 * (own + most)
+
+    def expand(begin: int, end: int):
+        def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """The blocks of the annuli number ``begin`` to ``end`` by falling bound, as far as that reaches ``least``."""
+            for batch in batches:
+                for low in range(0, len(batch), 256):
+                    part = batch.iloc[low:low + 256]
+                    upper = bounds(_matrix(part["query"], size))
+                    order = np.argsort(-upper, axis=1, kind="stable")[:, begin:end]
+                    reach = np.take_along_axis(upper, order, 1) >= part["least"].to_numpy()[:, None]
+                    row, at = np.nonzero(reach)
+                    ring = order[row, at]
+                    block = np.concatenate([np.arange(n) for n in blocks[ring]]) if len(ring) else []
+                    row, ring = np.repeat(row, blocks[ring]), np.repeat(ring, blocks[ring])
+                    yield part.iloc[row][["query_id", "query"]].assign(pivot=pivot[ring], ring=rings["ring"].to_numpy()[ring], block=block)
+
+        return asked
 
     kind = "query_id long, query array<long>, pivot int, ring int, block long"
     wanted = cut_lineage(asking.select(F.col("id").alias("query_id"), F.col("vector").alias("query")))
-    first = cut_lineage(_merged(_search(wanted.mapInPandas(expand, kind), placed, size, k), k).drop("rank"))
-    # A query with fewer than k answers so far has no limit yet.
-    reached = first.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).filter(F.col("n") >= k).drop("n")
-    limited = wanted.join(reached, "query_id", "left").withColumn("least", F.coalesce(F.col("least").cast("double"), F.lit(float("-inf"))))
-    rest = _search(limited.mapInPandas(expand, kind), placed, size, k)
-    return _merged(first.unionByName(rest), k).select("query_id", F.col("rank").cast("int"), "id", "score")
+    best = wanted.select("query_id", F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("score")).limit(0)
+    begin, step = 0, 1
+    while begin < len(rings):
+        # A query with fewer than k answers so far has no limit yet.
+        reached = best.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).filter(F.col("n") >= k).drop("n")
+        limited = wanted.join(reached, "query_id", "left").withColumn("least", F.coalesce(F.col("least").cast("double"), F.lit(float("-inf"))))
+        asked = cut_lineage(limited.mapInPandas(expand(begin, begin + step), kind))
+        if asked.isEmpty():
+            break  # what comes later has lower bounds still
+        best = cut_lineage(_merged(best.unionByName(_search(asked, placed, size, k)), k).drop("rank"))
+        begin, step = begin + step, step * FASTER
+    return _merged(best, k).select("query_id", F.col("rank").cast("int"), "id", "score")
 
 
 def whole_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int = 1024) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pandas as pd
 import pytest
@@ -6,11 +7,11 @@ from pyspark.sql import functions as F
 
 from tunedata.operators.rewards import best_of_n
 from tunedata import session
-from tunedata.operators import hooks
+from tunedata.operators import hooks, indexing as ix, monitoring as mn
 from tunedata.operators.normalise import normalise_sft
-from tunedata.sources import readers as rd
+from tunedata.sources import ledger, readers as rd
 from tunedata.sources import writers as wr
-from tunedata.streaming import monitors as st
+from tunedata.streaming import averages as av, monitors as st
 
 
 def test_reader_errors(spark, tmp_path):
@@ -69,14 +70,83 @@ def _feed(spark, folder, batches, schema):
 def test_streaming_ema_over_batches_with_a_late_step(spark, tmp_path):
     batches = [[("a", 2, 2.0), ("a", 1, 1.0), ("b", 5, 1.0)], [("a", 2, 100.0), ("a", 3, 3.0)]]
     stream = _feed(spark, str(tmp_path / "in"), batches, "run string, step bigint, value double")
-    st.run_to_end(st.stream_ema(stream, run="run", step="step", value="value"), str(tmp_path / "out"), str(tmp_path / "cp"))
-    rows = spark.read.parquet(str(tmp_path / "out")).collect()
-    got = {(r.run, r.step): r.ema for r in rows if not r.late}
+    out = str(tmp_path / "out")
+    av.start_ema(stream, out, str(tmp_path / "cp"), run="run", step="step", value="value").awaitTermination()
+    got = {(r.run, r.step): r.ema for r in av.read_ema(spark, out).collect()}
     e1 = 0.05
     e2 = e1 * 0.95 + 0.05 * 2
     want = {("a", 1): e1, ("a", 2): e2, ("a", 3): e2 * 0.95 + 0.15, ("b", 5): 0.05}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
-    assert [(r.run, r.step, r.value) for r in rows if r.late] == [("a", 2, 100.0)]
+    assert [tuple(r) for r in av.read_late(spark, out).collect()] == [("a", 2, 100.0)]
+
+
+@pytest.mark.parametrize("cut", [1, 3, 7])
+def test_streaming_ema_is_that_of_the_table_however_it_is_cut(spark, tmp_path, monkeypatch, cut):
+    """Rows shuffled within the delay, one hot run over many ranges, a null run; the batch operator gives the same."""
+    monkeypatch.setattr(ix, "RANGES", 5)
+    rng = random.Random(cut)
+    rows = [("hot" if i % 3 else [None, "b", "c"][i // 3 % 3], i, float(rng.randrange(100))) for i in range(240)]
+    late = sorted(rows, key=lambda r: r[1] + rng.randrange(20))
+    size = -(-len(late) // cut)
+    schema = "run string, step bigint, value double"
+    stream = _feed(spark, str(tmp_path / "in"), [late[i:i + size] for i in range(0, len(late), size)], schema)
+    out = str(tmp_path / "out")
+    av.start_ema(stream, out, str(tmp_path / "cp"), run="run", step="step", value="value", decay=0.3, delay=20).awaitTermination()
+    batch = mn.ema(spark.createDataFrame(rows, schema), "value", step="step", by=["run"], decay=0.3)
+    want = {(r.run, r.step): r.ema for r in batch.collect()}
+    got = {(r.run, r.step): r.ema for r in av.read_ema(spark, out, decay=0.3).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert av.read_late(spark, out).count() == 0
+    assert av.read_ema(spark, out, flush=False).count() < len(rows)
+
+
+def test_batches_are_added_once(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "id bigint"
+    assert ledger.read_batches(spark, path, schema).count() == 0
+    assert ledger.add_batch(spark.range(5), path, query="q", batch=0)
+    assert not ledger.add_batch(spark.range(5), path, query="q", batch=0)
+    ledger.stage(spark.range(100), path, query="q", batch=1)  # a write that was never committed
+    assert ledger.add_batch(spark.range(3), path, query="q", batch=1)
+    assert ledger.add_batch(spark.range(2), path, query="r", batch=1)
+    twice = ledger.stage(spark.range(2), path, query="r", batch=1)
+    ledger.commit(spark, path, twice, query="r", batch=1)  # two writers at once
+    rows = ledger.read_batches(spark, path, schema)
+    assert sorted((r.query, r.batch, r["count"]) for r in rows.groupBy("query", "batch").count().collect()) == [("q", 0, 5), ("q", 1, 3), ("r", 1, 2)]
+
+
+def test_a_stream_that_fails_after_writing_leaves_no_doubles(spark, tmp_path, monkeypatch):
+    """The second micro-batch is written and its commit lost; a restart writes it again."""
+    batches = [[("r", i, "loss", float(i)) for i in range(n, n + 4)] for n in (0, 4, 8)]
+    schema = "run string, step bigint, metric string, value double"
+    path, checkpoint = str(tmp_path / "m"), str(tmp_path / "cp")
+    commit, seen = ledger.commit, []
+
+    def lost(spark, path, attempt, *, query, batch):
+        seen.append(batch)
+        if seen == [0, 1]:
+            raise OSError("the machine went away")
+        commit(spark, path, attempt, query=query, batch=batch)
+
+    monkeypatch.setattr(ledger, "commit", lost)
+    folder = str(tmp_path / "in")
+    with pytest.raises(Exception, match="went away"):
+        wr.start_metrics(_feed(spark, folder, batches, schema), path, checkpoint, query="q").awaitTermination()
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1)
+    wr.start_metrics(reader.parquet(folder), path, checkpoint, query="q").awaitTermination()
+    assert sorted(tuple(r) for r in wr.read_metrics(spark, path).collect()) == sorted(sum(batches, []))
+    assert seen == [0, 1, 1, 2] and len(list((tmp_path / "m" / "rows").glob("attempt=*"))) == 4
+
+
+def test_a_step_written_twice_is_there_once(spark, tmp_path):
+    path = str(tmp_path / "s")
+    for n in (5, 5, 3):
+        wr.write_snapshot(spark.range(n).withColumn("logit", F.lit(1.0)), path, run="r", step=10)
+        wr.write_snapshot(spark.range(2).withColumn("logit", F.lit(1.0)), path, run="q", step=10)
+    assert {r.run: r["count"] for r in rd.read_snapshots(spark, path).groupBy("run").count().collect()} == {"r": 3, "q": 2}
+    wr.write_snapshot(spark.range(4).withColumn("logit", F.lit(1.0)), path, run="r", step=9)
+    assert rd.read_latest(spark, path).count() == 5
+    with pytest.raises(Exception):
+        rd.read_latest(spark, str(tmp_path / "none"))
 
 
 def test_streaming_best_of_n_equals_batch(spark, tmp_path):
@@ -124,3 +194,25 @@ def test_hooks(spark):
     assert [r.i for r in ids] == [[97, 98], []]
     scores = hooks.label_scores(df, "t", lambda: 2.0, lambda m, b: pd.Series([[m] * 3 for _ in b]))
     assert scores.first().logits == [2.0, 2.0, 2.0]
+
+
+@pytest.mark.parametrize("bad", [[], [0], [77], [5, 6, 99], list(range(0, 100, 9)), list(range(100))])
+def test_failing_texts_are_found_by_halving(bad):
+    calls = []
+
+    def check(_, texts):
+        calls.append(len(texts))
+        if texts.isin([f"t{i}" for i in bad]).any():
+            raise RuntimeError("no")
+        return texts.str.upper()
+
+    got = hooks.judged(None, check, pd.Series([f"t{i}" for i in range(100)]))
+    assert got["verdict"].tolist() == [None if i in bad else f"T{i}" for i in range(100)]
+    assert got["error"].tolist() == ["RuntimeError: no" if i in bad else None for i in range(100)]
+    assert len(calls) <= 1 + 2 * len(bad) * 7
+
+
+def test_a_guard_that_returns_too_few_verdicts_fails():
+    got = hooks.judged(None, lambda _, texts: texts.iloc[:0], pd.Series(["a", "b"]))
+    assert got["verdict"].tolist() == [None, None] and all("0 verdicts for 1" in e for e in got["error"])
+    assert len(hooks.judged(None, None, pd.Series([], dtype=object))) == 0

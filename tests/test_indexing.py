@@ -30,9 +30,11 @@ def check(spark, rows, by, ranges=16):
     assert {(r.g, r.k, r.t): (r.n - 1, r.s) for r in got} == brute(rows, by)
 
 
+@pytest.mark.parametrize("hot", [None, 0, 100])
 @pytest.mark.parametrize("by", [False, True])
 @pytest.mark.parametrize("ranges", [None, 1, 5, 40])
-def test_running_sums_with_heavy_keys_and_groups(spark, by, ranges):
+def test_running_sums_with_heavy_keys_and_groups(spark, by, ranges, hot, monkeypatch):
+    monkeypatch.setattr(ix, "RANGE_ROWS", ix.RANGE_ROWS if hot is None else hot)
     rng = random.Random(1)
     rows = []
     for i in range(900):
@@ -59,6 +61,7 @@ def test_dense_ids_double_key(spark):
 @pytest.mark.parametrize("kind", ["string", "timestamp", "date", "decimal(12,2)", "binary"])
 def test_keys_of_other_types(spark, kind, monkeypatch):
     monkeypatch.setattr(ix, "RANGE_ROWS", 40)
+    monkeypatch.setattr(ix, "RANGES", 12)
     text = F.concat(F.when(F.col("id") % 2 == 0, "a common start ").otherwise("É"), F.lpad(F.col("id").cast("string"), 4, "0"))
     key = {"string": text, "binary": F.encode(text, "utf-8")}.get(kind, F.timestamp_seconds(F.col("id") * 90_000) if kind in ("date", "timestamp") else F.col("id") / 4)
     df = spark.range(400).select("id", key.cast(kind).alias("k"))
@@ -106,3 +109,67 @@ def test_callers_agree_whatever_the_ranges(spark, monkeypatch):
     plain = results()
     monkeypatch.setattr(ix, "RANGE_ROWS", 10)
     assert results() == plain
+    monkeypatch.setattr(ix, "RANGES", 45)
+    assert results() == plain
+
+
+def spread(spark, df, key, **how):
+    """Rows of each range that ranking writes."""
+    written = []
+    keep = ix.cut_lineage
+    ix.cut_lineage = lambda local: written.append(keep(local)) or written[-1]
+    try:
+        ranked = ix.rank_rows(df, key, **how)
+    finally:
+        ix.cut_lineage = keep
+    number = F.col("_range") if "_range" in written[-1].columns else F.shiftright("_row", 33)
+    return ranked, [r["count"] for r in written[-1].groupBy(number).count().collect()]
+
+
+def test_texts_with_a_common_start_are_spread(spark):
+    df = spark.range(20_000).select(F.concat(F.lit("doc-0000-0000-"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("k"))
+    ranked, sizes = spread(spark, df, "k", ranges=8)
+    assert len(sizes) == 8 and max(sizes) < 4000
+    assert ranked.filter(F.col("pos") != F.substring("k", 15, 9).cast("long")).count() == 0
+
+
+def test_a_hot_group_and_a_hot_key_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(ix, "RANGE_ROWS", 5000)
+    df = spark.range(20_000).select(F.when(F.col("id") % 20 > 0, 1).otherwise(F.col("id")).alias("g"), F.lit(7).alias("k"), "id")
+    ranked, sizes = spread(spark, df, "k", by=["g"], tie=["id"], ranges=8)
+    assert len(sizes) == 8 and max(sizes) < 4000
+    hot = sorted((r.id, r.pos) for r in ranked.filter("g = 1").collect())
+    assert [pos for _, pos in hot] == list(range(len(hot)))
+
+
+def test_one_shuffle_and_no_join_of_the_rows(spark):
+    plan = ix.rank_rows(spark.range(1000), "id", ranges=4)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastExchange") == 1
+    rows = spark.range(1000).withColumn("g", F.col("id") % 7)
+    plan = ix.rank_rows(rows, "id", by=["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+
+
+def test_nulls_and_nan_as_groups(spark, monkeypatch):
+    nan = float("nan")
+    rows = [(g, i, 0.5) for g in (None, nan, 1.0, -1.0) for i in range(30)]
+    df = spark.createDataFrame(rows, "g double, k int, x double").repartition(6)
+    sums = {"n": F.lit(1), "s": F.when(F.col("k") % 2 == 0, F.col("x"))}
+    for hot, ranges in ((10**6, 4), (0, 1), (0, 7), (0, 50)):
+        monkeypatch.setattr(ix, "RANGE_ROWS", hot)
+        got = ix.running_sums(df, "k", sums, by=["g"], ranges=ranges).collect()
+        assert len(got) == 120 and all(r.n == r.k + 1 and r.s == 0.5 * (r.k // 2 + 1) for r in got)
+
+
+def test_rows_in_order_are_not_shuffled(spark):
+    got = ix.running_sums(spark.range(0, 1000, 1, 9), "id", {"s": F.col("id")}, in_order=True)
+    assert {r.id: r.s for r in got.collect()} == {i: i * (i + 1) // 2 for i in range(1000)}
+    assert ix.rank_rows(spark.range(0), "id").count() == 0
+
+
+def test_sums_do_not_lose_digits_of_other_groups(spark, monkeypatch):
+    monkeypatch.setattr(ix, "RANGE_ROWS", 0)
+    rows = [("a", i, 1e15) for i in range(50)] + [("b", i, 1e-3) for i in range(50)]
+    df = spark.createDataFrame(rows, "g string, k int, x double").coalesce(1)
+    got = ix.running_sums(df, "k", {"s": F.col("x")}, by=["g"], ranges=1).filter("g = 'b'").collect()
+    assert all(abs(r.s - 1e-3 * (r.k + 1)) < 1e-15 for r in got)

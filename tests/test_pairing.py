@@ -2,6 +2,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from tunedata.functions.permutation import permuted
 from tunedata.operators import pairing as pr
 
 
@@ -71,3 +72,70 @@ def test_sides_return_to_pairs(spark):
     df = spark.createDataFrame([(1, 2.0, 3.0)], "pair_id int, c double, r double")
     row = pr.repair_sides(pr.stack_sides(df, "c", "r", out="logp"), "pair_id", "logp").first()
     assert (row.logp_chosen, row.logp_rejected) == (2.0, 3.0)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 256, 257, 1000])
+def test_permutation_is_a_bijection_and_differs_by_seed(spark, n):
+    df = spark.range(n).select("id", *[permuted(F.col("id"), n, seed).alias(f"p{seed}") for seed in (1, 2)])
+    rows = df.collect()
+    for seed in (1, 2):
+        assert sorted(r[f"p{seed}"] for r in rows) == list(range(n))
+    if n > 10:
+        assert [r.p1 for r in rows] != [r.p2 for r in rows] and [r.p1 for r in rows] != list(range(n))
+
+
+def test_permutation_looks_random(spark):
+    """Neighbours land anywhere, and any place is taken by any number about equally often."""
+    n = 2000
+    rows = spark.range(n).select(permuted(F.col("id"), n, 5).alias("p")).collect()
+    gaps = [abs(a.p - b.p) for a, b in zip(rows, rows[1:])]
+    assert 0.28 * n < sum(gaps) / len(gaps) < 0.39 * n
+    first = spark.range(400).select(permuted(F.lit(3), 10, F.col("id")).alias("p")).groupBy("p").count().collect()
+    assert len(first) == 10 and max(r["count"] for r in first) < 75
+
+
+@pytest.mark.parametrize("drop_last", [False, True])
+def test_shards_of_all_epochs(spark, drop_last):
+    ids = [f"x{i}" for i in range(23)]
+    df = spark.createDataFrame([(i,) for i in ids], "id string")
+    rows = pr.assign_shards_over(df, "id", 5, seed=3, epochs=4, drop_last=drop_last).collect()
+    for epoch in range(4):
+        here = [r for r in rows if r.epoch == epoch]
+        places = sorted((r.shard_pos, r.shard) for r in here)
+        size = 4 if drop_last else 5
+        assert places == [(p, s) for p in range(size) for s in range(5)]
+        assert {r.id for r in here} <= set(ids) and (drop_last or {r.id for r in here} == set(ids))
+    orders = {tuple(r.id for r in sorted((r for r in rows if r.epoch == e), key=lambda r: (r.shard_pos, r.shard))) for e in range(4)}
+    assert len(orders) == 4
+
+
+@pytest.mark.parametrize("n_a,n_b", [(25, 70), (70, 25), (40, 40), (3, 100)])
+def test_paired_epochs_follow_two_loaders(spark, n_a, n_b):
+    """Batches drawn as two loaders would, the shorter one begun again whenever it ends."""
+    a = spark.range(n_a).withColumnRenamed("id", "i")
+    b = spark.range(1000, 1000 + n_b).withColumnRenamed("id", "i")
+    rows = pr.zip_epochs(a, b, "i", 10, seed=9, epochs=3).collect()
+    got = {}
+    for r in rows:
+        got.setdefault((r.epoch, r.side, r.step), set()).add(r.i)
+
+    def batches(first, n, epoch):
+        order = spark.range(n).select("id", permuted(F.col("id"), n, 9 + epoch).alias("p")).orderBy("p").collect()
+        ids = [first + r.id for r in order]
+        return [set(ids[i:i + 10]) for i in range(0, n, 10)]
+
+    sizes = {"a": (0, n_a), "b": (1000, n_b)}
+    short = "a" if -(-n_a // 10) < -(-n_b // 10) else "b"
+    longer = "b" if short == "a" else "a"
+    want, left = {}, batches(*sizes[short], 0)
+    for epoch in range(3):
+        for step, batch in enumerate(batches(*sizes[longer], epoch)):
+            if not left:
+                left = batches(*sizes[short], epoch)
+            want[epoch, longer, step] = batch
+            want[epoch, short, step] = left.pop(0)
+        if short == "a":  # the first loader is asked before the second one ends the epoch
+            if not left:
+                left = batches(*sizes[short], epoch)
+            left.pop(0)
+    assert got == want

@@ -11,6 +11,7 @@ from tunedata.operators import monitoring as mn
 from tunedata.operators import preference as pf
 from tunedata.operators import rewards as rw
 from tunedata.operators import tokens as tk
+from tunedata.session import cut_lineage
 
 
 def test_stable_functions(spark):
@@ -123,16 +124,112 @@ def test_reward_condition_order_and_errors(spark):
         rw.get_processor("xx")
 
 
-def test_density_binned_close_to_exact(spark):
+def curve(values, low, high, factor, points):
+    """The sum of the kernels of all values at every grid point."""
+    h = factor * values.std(ddof=1)
+    grid = np.linspace(low, high, points)
+    return np.array([np.exp(-(((x - values) / h) ** 2) / 2).sum() for x in grid]) / (len(values) * h * math.sqrt(2 * math.pi))
+
+
+@pytest.mark.parametrize("factor", [0.3, 0.01])
+def test_density_equals_the_sum_of_all_kernels(spark, factor):
     df = spark.range(400).select(F.lit(1).alias("step"), F.sin("id").alias("v"))
-    exact = {r.point: r.density for r in ds.density(df, "v", factor=0.3, points=50, bins=None).collect()}
-    binned = {r.point: r.density for r in ds.density(df, "v", factor=0.3, points=50, bins=4000).collect()}
+    got = {r.point: r.density for r in ds.density(df, "v", factor=factor, points=50).collect()}
     v = np.sin(np.arange(400))
-    h = 0.3 * v.std(ddof=1)
-    grid = np.linspace(v.min(), v.max(), 50)
-    want = np.exp(-(((grid[:, None] - v) / h) ** 2) / 2).sum(1) / (400 * h * math.sqrt(2 * math.pi))
-    for i in range(50):
-        assert abs(exact[i] - want[i]) < 1e-9 and abs(binned[i] - want[i]) < 1e-4
+    want = curve(v, v.min(), v.max(), factor, 50)
+    assert sorted(got) == list(range(50)) and all(abs(got[i] - want[i]) < 1e-7 * want.max() for i in range(50))
+
+
+def test_density_with_an_outlier_and_another_step(spark):
+    """A value far off stretches the range of all steps; the curve keeps its own cells."""
+    v = np.random.default_rng(2).standard_normal(500)
+    rows = [(1, float(x)) for x in v] + [(2, 1e5), (2, 1e5 + 1), (3, 7.0), (3, 7.0), (4, 1.0)]
+    df = spark.createDataFrame(rows, "step int, v double")
+    points = 1_000_001  # grid points a tenth apart
+    drawn = ds.density(df, "v", factor=0.5, points=points, members=F.col("step") != 2)
+    assert drawn.select("step").distinct().collect() == [(1,)]  # equal values and single ones have no curve
+    near = drawn.filter("x < 5").collect()
+    low, high, h = float(v.min()), 1e5 + 1, 0.5 * v.std(ddof=1)
+    for r in near:
+        at = low + (high - low) / (points - 1) * r.point
+        want = np.exp(-(((at - v) / h) ** 2) / 2).sum() / (500 * h * math.sqrt(2 * math.pi))
+        assert abs(r.density - want) < 1e-7
+    assert max(r.density for r in near) > 0.3
+
+
+def test_density_does_not_grow_with_the_rows(spark):
+    """Cells, not rows, meet the grid."""
+    df = spark.range(3000).select(F.lit(1).alias("step"), (F.col("id") % 10).cast("double").alias("v"))
+    v = np.arange(3000) % 10.0
+    want = curve(v, 0, 9, 0.2, 20)
+    got = ds.density(df, "v", factor=0.2, points=20)
+    assert np.allclose([r.density for r in got.orderBy("point").collect()], want, rtol=1e-9)
+
+
+@pytest.mark.parametrize("n", [1, 300, 60_000])
+def test_sketch_histogram(spark, n):
+    """Exact while a sketch holds all values; beyond, off by less than the stated error."""
+    df = spark.range(n).select((F.col("id") % 3).alias("step"), F.when(F.col("id") % 11 > 0, F.sin("id") * 7).alias("v"))
+    df = df.unionByName(spark.createDataFrame([(1, float("nan"))], "step long, v double"))
+    sketches = cut_lineage(ds.value_sketches(df, "v", by=["step"], k=400))
+    got = {(r.step, r.bin): r.n for r in ds.sketch_histogram(sketches, 16, by=["step"]).collect()}
+    exact = {(r.step, r.bin): r.n for r in ds.histogram(df.filter(~F.isnan("v") & F.col("v").isNotNull()), "v", 16).collect()}
+    if n <= 300:
+        assert got == exact
+    sums = {s: sum(c for (t, _), c in exact.items() if t == s) for s, _ in exact}
+    assert {s: sum(c for (t, _), c in got.items() if t == s) for s, _ in got} == sums
+    error = 2 * 2.45 / 400 ** 0.943
+    assert all(abs(got.get(k, 0) - exact.get(k, 0)) <= error * sums[k[0]] for k in got.keys() | exact.keys())
+    merged = sketches.agg(F.kll_merge_agg_double("sketch").alias("s"), F.sum("n").alias("n")).first()
+    assert (merged["n"] or 0) == sum(sums.values())
+
+
+def test_sketch_of_equal_values(spark):
+    df = spark.createDataFrame([(1, 2.0)] * 5, "step int, v double")
+    assert ds.sketch_histogram(cut_lineage(ds.value_sketches(df, "v", by=["step"])), 4, by=["step"]).collect() == [(1, 1, 5)]
+
+
+def test_snapshot_average_is_the_chain(spark):
+    rng = np.random.default_rng(0)
+    snaps = {step: {i: float(rng.standard_normal()) for i in range(20) if step >= 10 * (1 + i % 3)} for step in range(10, 110, 10)}
+    rows = spark.createDataFrame([(s, i, x) for s, d in snaps.items() for i, x in d.items()], "step int, example_id long, logit double")
+    for every in (10, 20):
+        chain = None
+        for step in sorted(s for s in snaps if s % every == 0):
+            now = rows.filter(F.col("step") == step).select("example_id", "logit")
+            chain = now if chain is None else cut_lineage(mn.snapshot_ema(chain, now, beta=0.7))
+        want = {r.example_id: r.logit for r in chain.collect()}
+        got = {r.example_id: r.logit for r in mn.snapshot_average(rows, beta=0.7, every=every).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert mn.snapshot_average(rows.limit(0)).count() == 0
+    with pytest.raises(Exception, match="missing from a snapshot"):
+        mn.snapshot_average(rows.filter("not (step = 50 and example_id = 0)")).collect()
+
+
+def test_softmax_in_one_pass(spark):
+    from tunedata.operators import weights as wt
+
+    for values in ([0.1, 0.2, -3.0], [1000.0, 999.0, 699.5, 400.0, -5000.0], [-1e6, -1e6 + 1], [299.9999, 300.0, 300.0001], [5.0]):
+        df = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "example_id long, logit double").repartition(3)
+        z = np.array(values)
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        got = {r.example_id: r.weight for r in wt.to_weights(df).collect()}
+        assert np.allclose([got[i] for i in range(len(z))], len(z) * p, rtol=1e-12)
+        assert abs(wt.entropy(df).first().neg_entropy - (p[p > 0] * np.log(p[p > 0])).sum()) < 1e-10
+
+
+def test_mean_pooling_merges_one_vector_a_task(spark):
+    from tunedata.operators import weights as wt
+
+    rng = np.random.default_rng(4)
+    rows = [(k, pos, [float(x) for x in rng.standard_normal(5)] if pos != 3 else None, 6) for k in range(4) for pos in range(9)]
+    df = spark.createDataFrame(rows, "seq long, pos int, v array<float>, last int").repartition(7)
+    pooled = wt.pool(df, "mean", key="seq", pos="pos", vector="v", last="last")
+    for r in pooled.collect():
+        want = np.mean([v for k, pos, v, last in rows if k == r.seq and pos <= last and v is not None], axis=0)
+        assert np.allclose(r.pooled, want, atol=1e-6)
+    plan = pooled._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Python" not in plan
 
 
 def test_gather_and_reduce(spark):

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tunedata.functions.seeded import seeded_unit
-from tunedata.operators.indexing import range_count, rank_rows
+from tunedata.operators.indexing import rank_rows, running_sums
 
 # --- fixed values: source names by position in the list -----------------------------
 SOURCE_NAMES = ("ft", "harmful", "system")
@@ -120,9 +120,10 @@ def _draws(spark: SparkSession, slots: int, probs: list[float], seed: int) -> Da
     drawn = spark.range(slots).select(
         F.col("id").alias("slot"), _drawn_source(probs, seeded_unit(seed, "id")).alias("_src")
     )
-    ranges = min(range_count(drawn), max(1, slots))
-    splits = sorted({slots * i // ranges for i in range(1, ranges)})
-    return rank_rows(drawn, "slot", by=["_src"], out="_rank", splits=splits, ranges=ranges)
+    # Slots are made in order, so the draws of every source are counted along them without a shuffle.
+    seen = {f"_n{i}": (F.col("_src") == i).cast("bigint") for i in range(len(probs))}
+    counted = running_sums(drawn, "slot", seen, in_order=True)
+    return counted.select("slot", "_src", (F.get(F.array(*seen), F.col("_src")) - 1).alias("_rank"))
 
 
 def _first_guess(sizes: list[int], probs: list[float], stop: str) -> int:
@@ -177,9 +178,9 @@ def blend(
     slots = _first_guess(live_sizes, live_probs, stop)
     size_of = F.element_at(F.array(*[F.lit(n).cast("bigint") for n in live_sizes]), F.col("_src") + 1)
     while True:
+        draws = _draws(spark, slots, live_probs, seed)
         ends = (
-            _draws(spark, slots, live_probs, seed)
-            .filter(F.col("_rank") == size_of - 1)
+            draws.filter(F.col("_rank") == size_of - 1)
             .agg(F.min("slot").alias("first"), F.max("slot").alias("last"), F.count("*").alias("n"))
             .first()
         )
@@ -192,7 +193,7 @@ def blend(
         slots *= 2
     if cap is not None:
         end = min(end, cap - 1)
-    draws = _draws(spark, end + 1, live_probs, seed)
+    draws = draws.filter(F.col("slot") <= end)
     original = F.element_at(F.array(*[F.lit(i) for i in live]), F.col("_src") + 1)
     reads = draws.select(
         "slot", original.alias("_d_src"), (F.col("_rank") % size_of).alias("_d_pos")
@@ -225,23 +226,31 @@ def blend_sweep(
     rows = rank_rows(tagged.select("_src", order_col), order_col, by=["_src"], out="_pos")
     counts = {r["_src"]: r["count"] for r in tagged.groupBy("_src").count().collect()}
     sizes = [counts.get(0, 0), counts.get(1, 0)]
-    slots = sum(sizes)  # one source is exhausted by then, whatever the draws
     spark = tagged.sparkSession
-    ranges = range_count(tagged)
-    splits = sorted({slots * i // ranges for i in range(1, ranges)})
-    drawn = (
-        spark.range(slots)
-        .select(F.col("id").alias("slot"), seeded_unit(seed, "id").alias("_u"))
-        .select("slot", "_u", F.explode(F.array(*[F.lit(float(r)) for r in ratios])).alias("ratio"))
-        .select("slot", "ratio", F.when(F.col("_u") < 1 - F.col("ratio"), 0).otherwise(1).alias("_d_src"))
-    )
-    ranked = rank_rows(drawn, "slot", by=["ratio", "_d_src"], out="_d_pos", splits=splits)
-    size_of = F.when(F.col("_d_src") == 0, F.lit(sizes[0])).otherwise(F.lit(sizes[1]))
-    ends = (
-        ranked.filter(F.col("_d_pos") == size_of - 1).groupBy("ratio").agg(F.min("slot").alias("_end"))
-    )
-    kept = ranked.join(F.broadcast(ends), "ratio").filter(F.col("slot") <= F.col("_end"))  # one row per ratio
-    return _attach_rows(kept.drop("_end"), rows, tagged, order_col)
+    # Every ratio needs about as many slots as exhaust one source; after sum(sizes) one is, whatever the draws.
+    slots = min(max(_first_guess(sizes, [1 - r, r], "first_exhausted") for r in ratios), sum(sizes))
+    while True:
+        # One pass over the slots counts the harmful draws of all ratios; the other draws are the rest.
+        drawn = spark.range(slots).select(F.col("id").alias("slot"), seeded_unit(seed, "id").alias("_u"))
+        seen = {f"_h{i}": (F.col("_u") >= F.lit(1 - float(r))).cast("bigint") for i, r in enumerate(ratios)}
+        counted = running_sums(drawn, "slot", seen, in_order=True)
+        full = [
+            ((F.col(h) >= sizes[1]) & F.lit(sizes[1] > 0)) | ((F.col("slot") + 1 - F.col(h) >= sizes[0]) & F.lit(sizes[0] > 0))
+            for h in seen
+        ]
+        ends = counted.agg(*[F.min(F.when(f, F.col("slot"))).alias(h) for f, h in zip(full, seen)]).first()
+        if None not in ends or slots >= sum(sizes):
+            break
+        slots = min(2 * slots, sum(sizes))
+    if not slots:
+        return _attach_rows(spark.createDataFrame([], "ratio double, slot long, _d_src int, _d_pos long"), rows, tagged, order_col)
+    reads = F.array(*[F.struct(
+        F.lit(float(r)).alias("ratio"), F.lit(ends[h]).cast("bigint").alias("end"), F.col(h).alias("h"),
+        (F.col("_u") >= F.lit(1 - float(r))).cast("int").alias("_d_src"),
+    ) for r, h in zip(ratios, seen)])
+    each = counted.select("slot", F.inline(reads)).filter(F.col("slot") <= F.col("end"))
+    position = F.when(F.col("_d_src") == 1, F.col("h")).otherwise(F.col("slot") + 1 - F.col("h")) - 1
+    return _attach_rows(each.select("ratio", "slot", "_d_src", position.alias("_d_pos")), rows, tagged, order_col)
 
 
 def source_census(df: DataFrame, source: str = "source") -> DataFrame:

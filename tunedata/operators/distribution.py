@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tunedata.operators.scalars import scalars
+from tunedata.operators.scalars import numbers, scalars
 
 # --- fixed values: bandwidth factors and grid of the density curves -----------------
 BANDWIDTH = 0.01
@@ -14,6 +14,11 @@ BANDWIDTH_HARMFUL = 0.5
 GRID_POINTS = 1000
 # ------------------------------------------------------------------------------------
 
+#: Cells a bandwidth is cut into, and bandwidths beyond which the kernel adds nothing a double holds.
+CELLS, REACH = 256, 8.5
+#: Size of a quantile sketch: values it holds exactly, and the measure of its error beyond.
+SKETCH = 4096
+
 
 def value_range(df: DataFrame, value: str) -> DataFrame:
     """Smallest and largest value over all steps and rows."""
@@ -26,38 +31,45 @@ def _span(df: DataFrame, value: str) -> dict[str, Column]:
 
 def density(
     snapshots: DataFrame, value: str, *, factor: float = BANDWIDTH, points: int = GRID_POINTS,
-    step: str = "step", members: Column | None = None, bins: int | None = 10_000,
+    step: str = "step", members: Column | None = None,
 ) -> DataFrame:
     """Gaussian density per step on one grid over the range of all values.
 
-    ``members`` restricts the rows whose density is drawn, not the range. Values are
-    counted before the grid is applied: into ``bins`` cells per step (moved to the cell
-    centre, at most ``range / (2 * bins)`` away), or by exact value with ``bins=None``, so
-    the work after the count does not grow with the rows.
+    ``members`` restricts the rows whose density is drawn, not the range. The bandwidth is ``factor`` standard
+    deviations of a step's values; a step whose values do not differ has no curve.
+
+    Values are gathered in cells of ``1 / CELLS`` bandwidth, which keep their number, mean and spread, and
+    a cell adds to the grid points within ``REACH`` bandwidths only. The kernel is expanded to
+    second order around the mean, so a curve is off by less than 1e-8 of its kernel's height, wherever
+    the other values lie; a cell of equal values is exact. The work after the count does not grow with the rows.
     """
     span = _span(snapshots, value)
     rows = snapshots if members is None else snapshots.filter(members)
-    x = F.col(value).cast("double")
-    width = (span["high"] - span["low"]) / F.lit(float(bins or 1))
-    if bins is not None:
-        cell = F.least(F.floor(F.try_divide(x - span["low"], width)), F.lit(bins - 1))
-        x = F.coalesce(span["low"] + (cell + 0.5) * width, x)
-    counted = rows.select(F.col(step), x.alias("_x"), F.col(value).alias("_raw")).groupBy(step, "_x").agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    spread = rows.groupBy(step).agg(
-        (F.lit(factor) * F.stddev_samp(value)).alias("_h"), F.count(F.lit(1)).alias("_total")
+    drawn = rows.select(F.col(step), F.col(value).cast("double").alias("_x"))
+    spread = drawn.groupBy(step).agg(
+        (F.lit(factor) * F.stddev_samp("_x")).alias("_h"), F.count(F.lit(1)).alias("_total"), F.min("_x").alias("_from")
+    ).filter(F.col("_h") > 0)
+    low = span["low"].cast("double")
+    width = (span["high"].cast("double") - low) / F.lit(float(max(points - 1, 1)))
+    # Distances within a cell are from its own corner, so its spread keeps its digits.
+    placed = drawn.join(spread.drop("_total"), step).withColumn("_at", (F.col("_x") - F.col("_from")) / F.col("_h") * CELLS)
+    placed = placed.withColumn("_cell", F.floor("_at")).withColumn("_o", F.col("_at") - F.col("_cell"))
+    cells = placed.groupBy(step, "_h", "_cell").agg(
+        F.count(F.lit(1)).alias("_n"), F.avg("_x").alias("_mean"), F.var_pop("_o").alias("_var")
     )
-    grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    cells = counted.join(spread, step).select("*", grid.alias("point"))
-    at = span["low"] + (span["high"] - span["low"]) * F.col("point") / F.lit(float(points - 1))
-    kernel = F.exp(-F.pow((at - F.col("_x")) / F.col("_h"), F.lit(2.0)) / 2)
-    scale = F.first("_total") * F.first("_h") * math.sqrt(2 * math.pi)
-    return (
-        cells.filter(F.col("_h") > 0)
-        .groupBy(step, "point")
-        .agg((F.sum(F.col("_n") * kernel) / scale).alias("density"))
-        .select(step, "point", at.alias("x"), "density")
+    reach = F.col("_h") * REACH
+    first = F.greatest(F.ceil((F.col("_mean") - reach - low) / width), F.lit(0))
+    last = F.least(F.floor((F.col("_mean") + reach - low) / width), F.lit(points - 1))
+    near = cells.withColumn("point", F.explode(F.when(first <= last, F.sequence(first.cast("int"), last.cast("int")))))
+    at = low + width * F.col("point")
+    u = (at - F.col("_mean")) / F.col("_h")
+    # The second derivative of the kernel, for the spread within the cell in units of the bandwidth.
+    bent = F.lit(1.0) + (u * u - 1) * F.col("_var") / F.lit(2.0 * CELLS * CELLS)
+    summed = near.groupBy(step, "point").agg(F.sum(F.col("_n") * F.exp(-u * u / 2) * bent).alias("_sum"))
+    grid = spread.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    scale = F.col("_total") * F.col("_h") * math.sqrt(2 * math.pi)
+    return grid.join(summed, [step, "point"], "left").select(
+        step, "point", at.alias("x"), (F.coalesce("_sum", F.lit(0.0)) / scale).alias("density")
     )
 
 
@@ -69,6 +81,36 @@ def histogram(df: DataFrame, value: str, bins: int, *, step: str = "step") -> Da
     return df.groupBy(step, number.cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def value_sketches(df: DataFrame, value: str, *, by: list[str], k: int = SKETCH) -> DataFrame:
+    """(``by``, n, low, high, sketch) of each group, in one pass: mergeable quantile sketches of the values.
+
+    Null and NaN do not count. Sketches of later steps or other runs can be added with ``union`` and merged
+    by any reader; nothing has to be read again.
+    """
+    x = F.col(value).cast("double")
+    return df.filter(x.isNotNull() & ~F.isnan(x)).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.min(x).alias("low"), F.max(x).alias("high"), F.kll_sketch_agg_double(x, F.lit(k)).alias("sketch"))
+
+
+def sketch_histogram(sketches: DataFrame, bins: int, *, by: list[str]) -> DataFrame:
+    """Counts per group in equally wide bins over the range of all groups (numbered from 1), from ``value_sketches``.
+
+    Groups of up to ``k`` values are exact; beyond, a count is off by at most about ``2.45 / k**0.943`` of the group's values
+    (0.1 % for 4,096, with a probability of 99 %). Empty bins are left out. Works on one row per group: write the
+    sketches before, as they are read twice.
+    """
+    span = numbers(sketches, low=F.min("low"), high=F.max("high"))
+    low, high = span["low"], span["high"]
+    if low is None or low == high:
+        return sketches.select(*by, F.lit(1).cast("bigint").alias("bin"), "n")
+    # A rank counts the values up to a number, and a bin holds those below its upper edge.
+    edges = [math.nextafter(low + (high - low) * i / bins, -math.inf) for i in range(1, bins)]
+    shares = F.kll_sketch_get_rank_double("sketch", F.array(*[F.lit(e) for e in edges])) if edges else F.array().cast("array<double>")
+    below = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(shares, lambda s: F.round(s * F.col("n")).cast("bigint")), F.array("n"))
+    counts = F.transform(F.sequence(F.lit(1), F.lit(bins)), lambda i: F.struct(i.cast("bigint").alias("bin"), (F.get(below, i) - F.get(below, i - 1)).alias("n")))
+    return sketches.select(*by, F.inline(counts)).filter("n > 0")
+
+
 def group_means(df: DataFrame, values: list[str], groups: list[str], *, step: str = "step", source: str = "source") -> DataFrame:
     """Mean of each value per step, one column per source and value."""
     aggregates = [

@@ -28,18 +28,16 @@ def label_logp(logits: Column, label: Column) -> Column:
 def next_labels(tokens: DataFrame, seq: str = "seq_id") -> DataFrame:
     """Token rows with the label at the next position (null where there is none).
 
-    Positions are cut into blocks, so that a sequence of any length spreads over tasks; what
-    follows the end of a block comes from a table of block starts. Rows without a sequence are
+    Positions are cut into blocks, so that a sequence of any length spreads over tasks; the first
+    position of a block is also sent to the block before, for the last one there. Rows without a sequence are
     one sequence. Where a position was logged twice, its least label counts, and each of its
     rows predicts what follows.
     """
     block = F.floor(F.col("pos") / BLOCK)
-    following = Window.partitionBy(seq, block).orderBy("pos").rangeBetween(1, 1)
-    starts = tokens.filter(F.col("pos") % BLOCK == 0).groupBy(F.col(seq).alias("_seq"), (F.col("pos") - 1).alias("_end")).agg(
-        F.min("label").alias("_over"))
-    inside = tokens.withColumn("_in", F.min("label").over(following))
-    met = inside.join(starts, F.col(seq).eqNullSafe(F.col("_seq")) & (F.col("pos") == F.col("_end")), "left")
-    return met.withColumn("next_label", F.coalesce("_in", "_over")).drop("_in", "_over", "_seq", "_end")
+    where = F.when(F.col("pos") % BLOCK == 0, F.array(block, block - 1)).otherwise(F.array(block))
+    following = Window.partitionBy(seq, "_block").orderBy("pos").rangeBetween(1, 1)
+    met = tokens.withColumn("_block", F.explode(where)).withColumn("next_label", F.min("label").over(following))
+    return met.filter(F.col("_block").eqNullSafe(block)).drop("_block")
 
 
 def _token_loss(tokens: DataFrame, seq: str) -> DataFrame:

@@ -25,9 +25,9 @@ def block_length(decay: float) -> int:
 
 def ema(
     df: DataFrame, value: str, *, step: str, by: Sequence[str], decay: float = LOSS_DECAY,
-    tie: Sequence[str] = (), out: str = "ema",
+    tie: Sequence[str] = (), out: str = "ema", start: str | None = None,
 ) -> DataFrame:
-    """Exponential moving average from 0, in step order, restarted per group.
+    """Exponential moving average in step order, restarted per group, from 0 or from the group's value of ``start``.
 
     A run of any length is split: sums run inside blocks of consecutive steps, and the
     average at the end of each block (one row per block) is carried into the next.
@@ -49,6 +49,8 @@ def ema(
         same = same & F.col(b).eqNullSafe(F.col(f"_c_{b.lstrip('_')}"))
     joined = local.join(_carry(ends, by), same, "left")
     result = F.col("_local") + F.coalesce(F.col("_before"), F.lit(0.0)) * F.pow(F.lit(decay), F.col("_i") + 1)
+    if start is not None:
+        result = result + F.col(start) * F.pow(F.lit(decay), F.col("_k") + 1)
     return joined.select(*df.columns, result.alias(out))
 
 
@@ -74,12 +76,43 @@ def snapshot_ema(previous: DataFrame, current: DataFrame, *, beta: float = SNAPS
     return current.join(old, key, "left").select(key, F.when(F.col("_old").isNull(), F.col(value)).otherwise(mixed).alias(value))
 
 
+def snapshot_average(
+    snapshots: DataFrame, *, beta: float = SNAPSHOT_DECAY, every: int = 1, key: str = "example_id", value: str = "logit", step: str = "step",
+) -> DataFrame:
+    """The moving average of every parameter after all snapshots, as ``snapshot_ema`` would leave it step by step.
+
+    Only every ``every``-th step counts. The average is a sum with weights that are known beforehand:
+    ``(1 - beta) * beta**k`` for the snapshot with k later ones, and ``beta**k`` for a parameter's first. So all
+    snapshots are one partial aggregation; their number is that of the distinct steps. A parameter that is missing
+    from a snapshot after its first is an error, as it would have no average there.
+    """
+    due = snapshots.filter(F.col(step) % every == 0)
+    steps = sorted(r[0] for r in due.select(step).distinct().collect())  # one number per snapshot
+    if not steps:
+        return due.select(key, F.col(value).cast("double").alias(value)).limit(0)
+    later = F.create_map(*[F.lit(x) for i, s in enumerate(steps) for x in (s, len(steps) - 1 - i)])
+    k = F.get(F.array(F.element_at(later, F.col(step))), F.lit(0))
+    power = F.pow(F.lit(float(beta)), k)
+    summed = due.groupBy(key).agg(
+        F.sum((1 - beta) * power * F.col(value)).alias("_sum"), F.max_by(beta * power * F.col(value), k).alias("_first"),
+        F.max(k).alias("_k"), F.count(F.lit(1)).alias("_n"))
+    whole = F.assert_true(F.col("_n") == F.col("_k") + 1, F.lit("a parameter is missing from a snapshot, or is in it twice"))
+    return summed.select(key, F.when(whole.isNull(), F.col("_sum") + F.col("_first")).alias(value))
+
+
+REDUCTIONS = {"mean": F.avg, "max": F.max, "sum": F.sum}
+
+
 def reduce_metrics(df: DataFrame, op: str = "mean", *, by: Sequence[str] = ("step", "metric"), value: str = "value") -> DataFrame:
     """Mean, maximum or sum of each metric over workers."""
-    ops = {"mean": F.avg, "max": F.max, "sum": F.sum}
-    if op not in ops:
-        raise ValueError(f"op must be one of {sorted(ops)}")
-    return df.groupBy(*by).agg(ops[op](value).alias(value))
+    return reduce_all(df, (op,), by=by, value=value).withColumnRenamed(op, value)
+
+
+def reduce_all(df: DataFrame, ops: Sequence[str], *, by: Sequence[str] = ("step", "metric"), value: str = "value") -> DataFrame:
+    """Several reductions of each metric over workers in one aggregation, a column each."""
+    if not set(ops) <= set(REDUCTIONS):
+        raise ValueError(f"op must be one of {sorted(REDUCTIONS)}")
+    return df.groupBy(*by).agg(*[REDUCTIONS[op](value).alias(op) for op in ops])
 
 
 def gather(*parts: DataFrame) -> DataFrame:

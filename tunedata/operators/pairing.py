@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tunedata.operators.indexing import shuffle_rank
+from tunedata.functions.permutation import permuted
+from tunedata.operators.indexing import rank_rows, shuffle_rank
 from tunedata.operators.scalars import row_total, scalars
 
 
@@ -31,6 +32,25 @@ def assign_shards(
     )
 
 
+def assign_shards_over(
+    df: DataFrame, id_col: str, shards: int, *, seed: int, epochs: int, drop_last: bool = False
+) -> DataFrame:
+    """Shards of all epochs ``0 .. epochs - 1`` at once, each with a shuffle of its own.
+
+    Adds ``epoch``, ``shard`` and ``shard_pos``. Rows are ranked by their (unique) id once; an epoch's
+    place follows from rank, seed and epoch alone, so epochs add rows but no sort.
+    """
+    n = df.count()
+    placed = rank_rows(df, id_col, out="_pos").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    placed = placed.withColumn("_perm", permuted(F.col("_pos"), n, F.lit(seed) + F.col("epoch")))
+    if drop_last:
+        kept = placed.filter(F.col("_perm") < n // shards * shards)
+    else:
+        kept = placed.withColumn("_perm", F.explode(F.sequence(F.col("_perm"), F.lit(max(-(-n // shards) * shards - 1, 0)).cast("bigint"), F.lit(max(n, 1)).cast("bigint"))))
+    return kept.select(
+        *df.columns, "epoch", (F.col("_perm") % shards).cast("int").alias("shard"), F.floor(F.col("_perm") / shards).alias("shard_pos"))
+
+
 def assign_batches(df: DataFrame, size: int, pos: str = "pos", out: str = "batch") -> DataFrame:
     """Consecutive micro-batches of ``size`` rows; the last one may be short."""
     return df.withColumn(out, F.floor(F.col(pos) / size))
@@ -58,6 +78,37 @@ def cyclic_zip(a: DataFrame, b: DataFrame, *, batch: str = "batch", epoch: int =
     return left.unionByName(right, allowMissingColumns=True)
 
 
+def zip_epochs(
+    a: DataFrame, b: DataFrame, id_col: str, size: int, *, seed: int, epochs: int
+) -> DataFrame:
+    """Batches of ``size`` rows of two tables, paired step by step over several epochs, in one job.
+
+    Returns the rows of both sides with ``epoch``, ``step`` and ``side``. An epoch is one pass over the longer
+    side (``b`` if they are equal), shuffled anew; the shorter one starts over whenever it ends,
+    shuffled by the epoch in which it does, and goes on where the last epoch left it. If that is ``a``, one
+    more of its batches is used up at each end of an epoch. Ids are unique within a side.
+    """
+    sizes = [a.count(), b.count()]
+    batches = [-(-n // size) for n in sizes]
+    short = 0 if batches[0] < batches[1] else 1
+    length = max(batches)
+    per_epoch = length + (1 if short == 0 else 0)
+    sides = []
+    for i, (df, n, own) in enumerate(zip((a, b), sizes, batches)):
+        ranked = rank_rows(df.withColumn("side", F.lit("ab"[i])), id_col, out="_pos")
+        passes = epochs if i != short else -(-epochs * per_epoch // own) if own else 0
+        ranked = ranked.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))) if passes else F.lit(0))
+        # A pass of the shorter side is shuffled by the epoch it begins in.
+        begun = F.floor(F.col("_pass") * own / F.lit(per_epoch)) if i == short else F.col("_pass")
+        placed = ranked.withColumn("_batch", F.floor(permuted(F.col("_pos"), n, F.lit(seed) + begun) / size))
+        used = F.col("_pass") * own + F.col("_batch")
+        epoch = F.floor(used / F.lit(per_epoch)) if i == short else F.col("_pass")
+        step = used % F.lit(per_epoch) if i == short else F.col("_batch")
+        placed = placed.withColumn("epoch", epoch.cast("int")).withColumn("step", step.cast("bigint"))
+        sides.append(placed.filter((F.col("epoch") < epochs) & (F.col("step") < length)).drop("_pos", "_pass", "_batch"))
+    return sides[0].unionByName(sides[1], allowMissingColumns=True)
+
+
 def join_by_id(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Attach predictions, scores or weights to their rows (positional zip, by key)."""
     return left.join(right, key, "inner")

@@ -48,10 +48,33 @@ def init_logits(ids: DataFrame, activation: str = "softmax", init: float | None
     )
 
 
+#: Width of the ranges of logits whose exponentials are summed together; far from overflow.
+RANGE = 300.0
+
+
 def softmax_terms(df: DataFrame, logit: str = "logit") -> dict[str, Column]:
-    """``top``, ``total`` and ``n``: shares are ``exp(logit - top) / total``."""
-    base = scalars(df, top=F.max(logit), n=F.count(F.lit(1)))
-    return {**base, **scalars(df, total=F.sum(F.exp(F.col(logit) - base["top"])))}
+    """``top``, ``total``, ``n`` and ``moment``: shares are ``exp(logit - top) / total``, and ``moment`` is the sum of
+    ``exp(logit - top) * (logit - top)``.
+
+    One pass: logits are summed by ranges, relative to the range's own start, and what lies two ranges
+    below the greatest is nothing beside it. So three short rows come back.
+    """
+    z = F.col(logit).cast("double")
+    ranged = df.select(z.alias("_z"), F.floor(z / RANGE).alias("_range"))
+    above = F.col("_z") - F.col("_range") * RANGE
+    by_range = ranged.groupBy("_range").agg(
+        F.count(F.lit(1)).alias("n"), F.max("_z").alias("top"), F.sum(F.exp(above)).alias("e"), F.sum(F.exp(above) * above).alias("m"))
+    summed = by_range.rollup("_range").agg(
+        F.grouping("_range").alias("_all"), F.sum("n").alias("n"), F.max("top").alias("top"), F.sum("e").alias("e"), F.sum("m").alias("m"))
+    rows = summed.orderBy(F.desc("_all"), F.desc_nulls_last("_range")).limit(3).collect()
+    n, top = rows[0]["n"], rows[0]["top"]
+    total = moment = 0.0
+    for row in rows[1:]:
+        if row["_range"] is not None:
+            shift = row["_range"] * RANGE - top
+            total += math.exp(shift) * row["e"]
+            moment += math.exp(shift) * (row["m"] + row["e"] * shift)
+    return {name: F.lit(value) for name, value in (("top", top), ("n", n), ("total", total), ("moment", moment))}
 
 
 def to_weights(df: DataFrame, activation: str = "softmax", logit: str = "logit", out: str = "weight") -> DataFrame:
@@ -103,10 +126,10 @@ def objective(
 
 
 def entropy(df: DataFrame, logit: str = "logit") -> DataFrame:
-    """``sum(p log p)`` over all examples, with softmax shares ``p``."""
+    """``sum(p log p)`` over all examples, with softmax shares ``p``, in one pass; null without rows."""
     terms = softmax_terms(df, logit)
-    log_p = F.col(logit) - terms["top"] - F.log(terms["total"])
-    return df.agg(F.sum(F.exp(log_p) * log_p).alias("neg_entropy"))
+    value = F.try_divide(terms["moment"], terms["total"]) - F.log(terms["total"])
+    return df.sparkSession.range(1).select(value.cast("double").alias("neg_entropy"))
 
 
 def refreshed_entropy(df: DataFrame, fresh: DataFrame, logit: str = "logit") -> DataFrame:
@@ -306,8 +329,8 @@ def run_schedule(
 def pool(df: DataFrame, how: str, *, key: str, pos: str, vector: str, last: str) -> DataFrame:
     """One vector per sequence from token vectors up to position ``last``.
 
-    The mean is taken per dimension with partial sums, so a long sequence is not
-    gathered in one task; only one value per dimension is collected.
+    The mean is merged from one buffer of the vector's size per sequence and partition, so a long sequence is
+    not gathered in one task. Vectors have one length; null ones do not count.
     """
     if how == "first":
         return df.groupBy(key).agg(F.min_by(vector, pos).alias("pooled"))
@@ -316,11 +339,11 @@ def pool(df: DataFrame, how: str, *, key: str, pos: str, vector: str, last: str)
         return kept.groupBy(key).agg(F.max_by(vector, pos).alias("pooled"))
     if how != "mean":
         raise ValueError("how must be mean, last or first")
-    dims = kept.select(key, F.posexplode(vector).alias("_dim", "_x"))
-    means = dims.groupBy(key, "_dim").agg(F.avg(F.col("_x").cast("double")).alias("_mean"))
-    return means.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_dim", "_mean"))), lambda s: s["_mean"]).alias("pooled")
-    )
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    dense = kept.filter(F.col(vector).isNotNull()).select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
+    return dense.groupBy(key).agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias("pooled"))
 
 
 def linear_score(df: DataFrame, vector: str, weights: Column, bias: float = 0.0, out: str = "logit") -> DataFrame:

@@ -112,7 +112,7 @@ def snap_range(spark, sf_dir):
 
 @query("snap_latest", f"SELECT step, example_id, round(logit, 6) AS logit FROM ({SNAPSHOTS_SQL}) WHERE step = 200")
 def snap_latest(spark, sf_dir):
-    back = rd.latest_snapshot(rd.read_snapshots(spark, _written_snapshots(spark, sf_dir)))
+    back = rd.read_latest(spark, _written_snapshots(spark, sf_dir))
     return back.select("step", "example_id", r6("logit", "logit"))
 
 
@@ -135,7 +135,9 @@ SELECT row_number() OVER (ORDER BY doc_id) - 1 AS index, text AS prompt, lang AS
 """)
 def sink_manifest(spark, sf_dir):
     rows = examples(spark, sf_dir).select("doc_id", F.col("text").alias("prompt"), F.col("lang").alias("response"), "source")
-    return spark.read.parquet(wr.write_manifest(dense_ids(rows, "doc_id"), scratch_path(spark, "manifest")))
+    # Ids alone are ranked; the texts are joined to them once.
+    placed = rows.join(dense_ids(rows.select("doc_id"), "doc_id"), "doc_id")
+    return spark.read.parquet(wr.write_manifest(placed, scratch_path(spark, "manifest")))
 
 
 @query("sink_splits", f"SELECT source, doc_id, toxic FROM ({EXAMPLES_SQL})")
@@ -188,6 +190,22 @@ def sink_metrics(spark, sf_dir):
     return spark.read.parquet(wr.append_metrics(rows, scratch_path(spark, "metrics"))).select("run", "step", "metric", "value")
 
 
+@query("sink_metrics_stream", """
+SELECT 'u' || user_id AS run, event_id AS step, event_type AS metric, value FROM events
+""")
+def sink_metrics_stream(spark, sf_dir):
+    """The stream is run to its end, then from its start again, as after a lost checkpoint: batches count once."""
+    path = scratch_path(spark, "metrics")
+    schema = table(spark, sf_dir, "events").schema
+    for attempt in range(2):
+        logged = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+        rows = logged.select(
+            F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("run"), F.col("event_id").alias("step"),
+            F.col("event_type").alias("metric"), "value")
+        wr.start_metrics(rows, path, f"{path}-checkpoint{attempt}", query="events").awaitTermination()
+    return wr.read_metrics(spark, path)
+
+
 @query("sink_rename", "SELECT doc_id, text AS instruction, lang AS output FROM documents")
 def sink_rename(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("input"), F.col("lang").alias("output"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tunedata.operators import monitoring as mn
+from tunedata.plans.ranks import SNAPSHOTS_SQL, snapshots
 from tunedata.plans.registry import WEIGHT_STATE_SQL, query, r6, table, weight_state
 
 
@@ -45,14 +46,25 @@ def mon_snapshot_ema(spark, sf_dir):
     return mn.snapshot_ema(previous, current).select("example_id", r6("logit", "logit"))
 
 
+@query("mon_snapshot_chain", f"""
+WITH RECURSIVE s AS ({SNAPSHOTS_SQL}),
+k AS (SELECT example_id, logit, row_number() OVER (PARTITION BY example_id ORDER BY step) AS k, count(*) OVER (PARTITION BY example_id) AS n
+      FROM s WHERE step % 20 = 0),
+e AS (SELECT example_id, k, n, logit FROM k WHERE k = 1 UNION ALL
+      SELECT e.example_id, k.k, k.n, 0.008::DOUBLE * k.logit + 0.992::DOUBLE * e.logit FROM e JOIN k ON e.example_id = k.example_id AND k.k = e.k + 1)
+SELECT example_id, round(logit, 6) AS logit FROM e WHERE k = n
+""")
+def mon_snapshot_chain(spark, sf_dir):
+    return mn.snapshot_average(snapshots(spark, sf_dir), every=20).select("example_id", r6("logit", "logit"))
+
+
 @query("mon_reduce", f"""
 WITH e AS (SELECT {day_sql()} AS step, event_type AS metric, value FROM events)
 SELECT step, metric, round(avg(value), 6) AS mean, round(max(value), 6) AS max, round(sum(value), 6) AS sum FROM e GROUP BY step, metric
 """)
 def mon_reduce(spark, sf_dir):
     logged = events_by_day(spark, sf_dir).select(F.col("epoch").alias("step"), F.col("event_type").alias("metric"), "value")
-    parts = [mn.reduce_metrics(logged, op).withColumnRenamed("value", op) for op in ("mean", "max", "sum")]
-    out = parts[0].join(parts[1], ["step", "metric"]).join(parts[2], ["step", "metric"])
+    out = mn.reduce_all(logged, ("mean", "max", "sum"))
     return out.select("step", "metric", *[r6(c, c) for c in ("mean", "max", "sum")])
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tunedata.functions.permutation import permuted_sql
 from tunedata.operators import exams, pairing
 from tunedata.operators.filters import word_tokens
 from tunedata.operators.indexing import rank_rows
@@ -52,6 +53,37 @@ def zip_cyclic(spark, sf_dir):
     return pairing.cyclic_zip(side("harmful"), side("ft"), epoch=2)
 
 
+@query("shard_epochs", f"""
+WITH RECURSIVE ids AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS x, count(*) OVER () AS n FROM documents),
+{permuted_sql("SELECT epoch, x FROM ids, range(3) e(epoch)", "SELECT count(*) FROM documents", "(42 + epoch)")},
+p AS (SELECT doc_id, epoch, place AS perm, n FROM placed JOIN ids USING (x)),
+f AS (SELECT doc_id, epoch, perm FROM p UNION ALL SELECT doc_id, epoch, perm + n FROM p WHERE perm + n < 7 * ceil(n / 7))
+SELECT doc_id, epoch::INT AS epoch, (perm % 7)::INT AS shard, perm // 7 AS shard_pos FROM f
+""")
+def shard_epochs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return pairing.assign_shards_over(docs, "doc_id", 7, seed=42, epochs=3)
+
+
+@query("zip_epochs", f"""
+WITH RECURSIVE e AS (SELECT doc_id, CASE WHEN source = 'harmful' THEN 'a' ELSE 'b' END AS side FROM ({EXAMPLES_SQL})),
+ids AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY doc_id) - 1 AS x FROM e),
+c AS (SELECT count(*) FILTER (side = 'a') AS na, count(*) FILTER (side = 'b') AS nb,
+        ceil(count(*) FILTER (side = 'a') / 10)::BIGINT AS ba, ceil(count(*) FILTER (side = 'b') / 10)::BIGINT AS bb FROM e),
+{permuted_sql("SELECT epoch, x FROM ids, range(3) t(epoch) WHERE side = 'b'", "SELECT nb FROM c", "(42 + epoch)")},
+long AS (SELECT epoch, x, place // 10 AS step FROM placed),
+{permuted_sql("SELECT p AS epoch, x FROM ids, c, range(100000) t(p) WHERE side = 'a' AND p < ceil(3 * (bb + 1) / ba)", "SELECT na FROM c",
+              "(42 + (epoch * (SELECT ba FROM c)) // (SELECT bb + 1 FROM c))").replace("size", "size2").replace("feistel", "feistel2").replace("placed", "placed2")},
+short AS (SELECT (epoch * ba + place // 10) // (bb + 1) AS epoch, (epoch * ba + place // 10) % (bb + 1) AS step, x FROM placed2, c)
+SELECT doc_id, side, epoch::INT AS epoch, step FROM long JOIN ids USING (x) WHERE side = 'b' UNION ALL
+SELECT doc_id, side, epoch::INT, step FROM short JOIN ids USING (x), c WHERE side = 'a' AND epoch < 3 AND step < bb
+""")
+def zip_epochs(spark, sf_dir):
+    rows = cut_lineage(examples(spark, sf_dir).select("doc_id", "source"))
+    side = lambda name: rows.filter(F.col("source") == name).select("doc_id")
+    return pairing.zip_epochs(side("harmful"), side("ft"), "doc_id", 10, seed=42, epochs=3)
+
+
 @query("join_pred", """
 SELECT d.doc_id, d.text AS input, coalesce(CAST(l.quality AS VARCHAR), 'none') AS output
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id

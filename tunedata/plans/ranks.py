@@ -104,28 +104,54 @@ def dist_range(spark, sf_dir):
     return ds.value_range(snapshots(spark, sf_dir), "logit").select(r6("low", "low"), r6("high", "high"))
 
 
-@query("dist_kde", f"""
+def kde_sql(factor: float, source: str) -> str:
+    """The sum over all values at every grid point, without cells or an end of the kernel."""
+    return f"""
 WITH s AS ({SNAPSHOTS_SQL}), span AS (SELECT min(logit) AS low, max(logit) AS high FROM s),
-c AS (SELECT step, logit AS v, count(*) AS n FROM s WHERE source = 'harmful' GROUP BY step, logit),
-h AS (SELECT step, 0.5 * stddev_samp(logit) AS h, count(*) AS total FROM s WHERE source = 'harmful' GROUP BY step)
+c AS (SELECT step, logit AS v, count(*) AS n FROM s WHERE source = '{source}' GROUP BY step, logit),
+h AS (SELECT step, {factor} * stddev_samp(logit) AS h, count(*) AS total FROM s WHERE source = '{source}' GROUP BY step)
 SELECT c.step, point::INT AS point, round(low + (high - low) * point / 999, 6) AS x,
   round(sum(n * exp(-pow((low + (high - low) * point / 999 - v) / h, 2) / 2)) / (min(total) * min(h) * sqrt(2 * pi())), 6) AS density
 FROM c JOIN h ON c.step = h.step, span, range(1000) g(point) GROUP BY c.step, point, low, high
-""")
-def dist_kde(spark, sf_dir):
-    curves = ds.density(
-        snapshots(spark, sf_dir), "logit", factor=ds.BANDWIDTH_HARMFUL, members=F.col("source") == "harmful", bins=None)
+"""
+
+
+def _kde(spark, sf_dir, factor: float, source: str):
+    curves = ds.density(snapshots(spark, sf_dir), "logit", factor=factor, members=F.col("source") == source)
     return curves.select("step", "point", r6("x", "x"), r6("density", "density"))
 
 
-@query("dist_hist", f"""
+@query("dist_kde", kde_sql(0.5, "harmful"))
+def dist_kde(spark, sf_dir):
+    return _kde(spark, sf_dir, ds.BANDWIDTH_HARMFUL, "harmful")
+
+
+@query("dist_kde_ft", kde_sql(0.01, "ft"))
+def dist_kde_ft(spark, sf_dir):
+    return _kde(spark, sf_dir, ds.BANDWIDTH, "ft")
+
+
+HIST_SQL = f"""
 WITH s AS ({SNAPSHOTS_SQL}), span AS (SELECT min(logit) AS low, max(logit) AS high FROM s)
 SELECT step, least(floor((logit - low) / (high - low) * 40) + 1, 40)::BIGINT AS bin, count(*) AS n FROM s, span GROUP BY step, bin
-""")
+"""
+
+
+@query("dist_hist", HIST_SQL)
 def dist_hist(spark, sf_dir):
     return ds.histogram(snapshots(spark, sf_dir), "logit", 40)
 
 
+@query("dist_hist_sketch", f"""
+WITH s AS ({SNAPSHOTS_SQL}), span AS (SELECT min(logit) AS low, max(logit) AS high FROM s)
+SELECT step, (1 + len(list_filter(range(1, 40), lambda i: low + (high - low) * i / 40 <= logit)))::BIGINT AS bin, count(*) AS n FROM s, span GROUP BY step, bin
+""")
+def dist_hist_sketch(spark, sf_dir):
+    """The sketches hold all values of a step up to 4,096 of them, so the small tables give exact counts."""
+    sketches = cut_lineage(ds.value_sketches(snapshots(spark, sf_dir), "logit", by=["step"]))
+    return ds.sketch_histogram(sketches, 40, by=["step"])
+
+
 @query("dist_group_means", f"""
 SELECT step, round(avg(logit) FILTER (source = 'ft'), 6) AS ft_logit, round(avg(2 / (1 + exp(-logit))) FILTER (source = 'ft'), 6) AS ft_weight,
   round(avg(logit) FILTER (source = 'harmful'), 6) AS harmful_logit,

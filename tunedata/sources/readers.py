@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tunedata.sources.listing import folder_numbers
+
 # --- fixed values: file endings, exam file names, snapshots read for curves ----------
 FORMATS = {".json": "json", ".jsonl": "json", ".csv": "csv", ".parquet": "parquet", ".txt": "text"}
 EXAM_FILE = r"([^/]+?)(?:_(?:val|dev|test))?\.csv$"
@@ -113,3 +115,11 @@ def latest_snapshot(snapshots: DataFrame) -> DataFrame:
     last = snapshots.agg(F.max("step")).scalar()
     found = F.assert_true(last.isNotNull(), F.lit("no snapshot found"))
     return snapshots.filter((F.col("step") == last) & found.isNull())
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the largest step below a folder of snapshots; the step is read off the folder names."""
+    steps = folder_numbers(spark, path, "step")
+    if not steps:
+        raise ValueError(f"no snapshot found below {path}")
+    return read_snapshots(spark, path, steps[-1:])

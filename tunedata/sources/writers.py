@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from tunedata.sources.ledger import add_batch, read_batches, start_batches
 
 
 def write_json(df: DataFrame, path: str, mode: str = "error") -> str:
@@ -48,11 +51,15 @@ def write_splits(scored: DataFrame, path: str, split: str = "source") -> str:
 
 
 def write_snapshot(weights: DataFrame, path: str, *, run: str, step: int | None = None) -> str:
-    """Append logits and weights of one step (or of a table with a ``step`` column)."""
+    """Logits and weights of one step (or of all steps of a table with a ``step`` column) of a run.
+
+    A step is written whole: one that is there already is replaced, so a repeated write leaves it once.
+    """
     out = weights.withColumn("run", F.lit(run))
     if step is not None:
         out = out.withColumn("step", F.lit(step))
-    out.write.mode("append").partitionBy("run", "step").parquet(path)
+    writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run", "step").parquet(path)
     return path
 
 
@@ -79,12 +86,33 @@ def summary_json(scores: DataFrame, grouped: DataFrame) -> DataFrame:
     return spark.range(1).select(F.to_json(body).alias("summary"))
 
 
-def append_metrics(df: DataFrame, path: str) -> str:
-    """Append rows ``(run, step, metric, value)`` to the metrics table."""
-    df.select("run", "step", "metric", "value").write.mode("append").parquet(path)
+METRICS = "run string, step bigint, metric string, value double"
+
+
+def append_metrics(df: DataFrame, path: str, *, query: str | None = None, batch: int = 0) -> str:
+    """Append rows ``(run, step, metric, value)`` to the metrics table.
+
+    With ``query`` the rows are batch number ``batch`` of that query, which is added once however often it is
+    written; ``read_metrics`` gives the rows of such a table.
+    """
+    rows = df.select("run", "step", "metric", "value")
+    if query is None:
+        rows.write.mode("append").parquet(path)
+    else:
+        add_batch(rows, path, query=query, batch=batch)
     return path
 
 
+def start_metrics(df: DataFrame, path: str, checkpoint: str, *, query: str, once: bool = True) -> StreamingQuery:
+    """Append the metrics of a stream, every micro-batch once; rows as in ``append_metrics``."""
+    return start_batches(df.select("run", "step", "metric", "value"), path, checkpoint, query=query, once=once)
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the batches that were added under a query's name."""
+    return read_batches(spark, path, METRICS).select("run", "step", "metric", "value")
+
+
 def rewrite_renamed(df: DataFrame, path: str, renames: dict[str, str]) -> str:
     """Write JSON Lines with renamed fields."""
     df.withColumnsRenamed(renames).write.json(path)

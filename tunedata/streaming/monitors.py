@@ -7,53 +7,15 @@ they agree with their batch counterparts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tunedata.operators.monitoring import LOSS_DECAY
 from tunedata.operators.rewards import best_of_n
 from tunedata.operators.safety import decide_labels
 
 
-def stream_ema(
-    df: DataFrame, *, run: str, step: str, value: str, decay: float = LOSS_DECAY
-) -> DataFrame:
-    """Moving average per run, one output row per input row.
-
-    Rows of a micro-batch are taken in step order. A step not above the last one seen is
-    given out with ``late = true`` and leaves the state unchanged.
-    """
-
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, mean = state.get if state.exists else (None, 0.0)
-        rows = pd.concat(list(frames), ignore_index=True).sort_values("step", kind="stable")
-        out = []
-        for s, x in zip(rows["step"], rows["value"]):
-            late = last is not None and s <= last
-            if not late:
-                last, mean = int(s), mean * decay + (1 - decay) * float(x)
-            out.append((key[0], int(s), float(x), mean, late))
-        state.update((last, mean))
-        yield pd.DataFrame(out, columns=["run", "step", "value", "ema", "late"])
-
-    rows = df.select(
-        F.col(run).alias("run"), F.col(step).cast("bigint").alias("step"), F.col(value).cast("double").alias("value")
-    )
-    key_type = rows.schema["run"].dataType.simpleString()
-    return rows.groupBy("run").applyInPandasWithState(
-        advance,
-        outputStructType=f"run {key_type}, step bigint, value double, ema double, late boolean",
-        stateStructType="last bigint, mean double",
-        outputMode="append",
-        timeoutConf=GroupStateTimeout.NoTimeout,
-    )
-
-
 def stream_group_means(
     df: DataFrame, *, ts: str, source: str, value: str, length: str = "1 day", late: str = "1 hour"
 ) -> DataFrame:

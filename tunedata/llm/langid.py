@@ -8,8 +8,9 @@ on the three before it, and the trees become one table (context, byte) -> bits p
 language with the shortest code for the whole text wins.
 
 The trees are trained on a bounded sample: ``sample_rows`` whole texts per language, those with the
-smallest hash of their id, for every language. Tables are made for ``GROUP`` languages at a time and a
-few groups are held, so that memory does not grow with the number of languages, but for their counts.
+smallest hash of their id, for every language. Tables are made for ``GROUP`` languages at a time, some contexts
+after the others, and groups are held up to ``HELD_BYTES``, so that memory does not grow with the number of
+languages, but for their counts.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tunedata.session import cut_lineage
+
 ORDER = 3
 SAMPLE_ROWS = 400
-#: Languages that share tables, groups whose tables a worker holds, and languages whose samples are broadcast.
-GROUP, HELD_GROUPS, FEW = 8, 4, 64
+#: Languages that share tables, bytes of tables that a worker holds, contexts worked out together, and languages whose samples are broadcast.
+GROUP, HELD_BYTES, CONTEXTS, FEW = 8, 256 << 20, 1024, 64
 UNKNOWN = "und"
 #: A text that no language codes shorter than its plain bytes is in none.
 MAX_BITS = 8.0
@@ -33,6 +36,15 @@ MAX_BITS = 8.0
 PIECE = 1 << 19
 
 
+def _shares(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Share of each byte in some contexts (contexts x bytes x languages), from what was counted there and the shares in their next shorter contexts."""
+    total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
+    left = 1 - (below * (counts > 0)).sum(1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        escape = np.where(total > 0, kinds / (total + kinds), 1.0)
+        return np.where(counts > 0, counts / (total + kinds), np.where(left > 1e-12, escape * below / left, 0))
+
+
 @dataclass
 class Model:
     """Counts of four-byte sequences per language, packed as (language, sequence, count)."""
@@ -65,7 +77,7 @@ class Model:
         """Those of ``GROUP`` languages from ``low`` on. The first groups are held, others made again."""
         if low not in self.held:
             made = self.made(low, min(low + GROUP, len(self.languages)))
-            if len(self.held) >= HELD_GROUPS:
+            if sum(a.nbytes for two in (*self.held.values(), made) for a in two) > HELD_BYTES and self.held:
                 return made
             self.held[low] = made
         return self.held[low]
@@ -84,24 +96,31 @@ class Model:
         share = np.full((1, size, n_lang), 1 / 256)
         share[0, -1], share[0, 0] = (256 - len(seen)) / 256, 0
         parent_of = np.zeros(1, np.int64)
-        all_shares, numbers, offset = [], [], 0
+        codes = []
         for order in range(ORDER + 1):
             code = np.zeros(len(grams), np.int64)
             for i in range(ORDER - order, ORDER):
                 code = code * size + grams[:, i]
-            contexts, at = np.unique(code, return_inverse=True)
+            codes.append(np.unique(code, return_inverse=True))
+        bits = np.empty((sum(len(contexts) for contexts, _ in codes), size, n_lang), np.float32)
+        numbers, offset = [], 0
+        for order, (contexts, at) in enumerate(codes):
             parent_code = contexts % size ** max(order - 1, 0)
             parent = np.searchsorted(parent_of, parent_code) if order else np.zeros(1, np.int64)
-            counts = np.zeros((len(contexts), size, n_lang))
-            np.add.at(counts, (at, grams[:, ORDER], language), count)
-            total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-            below = share[parent]
-            left = 1 - (below * (counts > 0)).sum(1, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(total > 0, kinds / (total + kinds), 1.0)
-                own = np.where(counts > 0, counts / (total + kinds), np.where(left > 1e-12, escape * below / left, 0))
-            share = own
-            all_shares.append(share)
+            sequence = np.argsort(at, kind="stable")
+            begins = np.searchsorted(at[sequence], np.arange(0, len(contexts) + CONTEXTS, CONTEXTS))
+            own_share = np.empty((len(contexts), size, n_lang)) if order < ORDER else None
+            for part, first in enumerate(range(0, len(contexts), CONTEXTS)):
+                last, rows = min(first + CONTEXTS, len(contexts)), sequence[begins[part]:begins[part + 1]]
+                counts = np.zeros((last - first, size, n_lang))
+                np.add.at(counts, (at[rows] - first, grams[rows, ORDER], language[rows]), count[rows])
+                own = _shares(counts, share[parent[first:last]])
+                if own_share is not None:
+                    own_share[first:last] = own
+                with np.errstate(divide="ignore"):
+                    cost = -np.log2(own)
+                bits[offset + first:offset + last] = np.where(np.isfinite(cost), cost, 0)
+            share = own_share
             numbers.append((contexts, offset))
             offset += len(contexts)
             parent_of = contexts
@@ -111,9 +130,7 @@ class Model:
             code = full % size ** order
             at = np.minimum(np.searchsorted(contexts, code), len(contexts) - 1)
             state = np.where(contexts[at] == code, start + at, state).astype(np.int32)
-        with np.errstate(divide="ignore"):
-            bits = -np.log2(np.concatenate(all_shares).reshape(-1, n_lang))
-        return state, np.where(np.isfinite(bits), bits, 0).astype(np.float32)
+        return state, bits.reshape(-1, n_lang)
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Bits that each text takes in each language."""
@@ -148,12 +165,25 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """Train on labelled texts. Rows without an id, text or language teach nothing; no rows, no languages."""
     rows = labelled.filter(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0)).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    known = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample_rows)
-    chosen = chosen.select("id", "lang").distinct()
-    # At most sample_rows * FEW short rows are broadcast.
-    sample = rows.join(F.broadcast(chosen) if len(known) <= FEW else chosen, ["id", "lang"])
+    ids = rows.select("id", "lang").distinct().withColumn("hash", F.xxhash64("id"))
+    # One short row for each language.
+    sizes = cut_lineage(ids.groupBy("lang").agg(F.count("*").alias("n")))
+    known = sorted(r["lang"] for r in sizes.select("lang").collect())
+    order = Window.partitionBy("lang").orderBy("hash", "id")
+    wider = 2
+    while True:
+        # Hashes up to a limit that about twice the wanted rows keep, so no task ranks more of a language than those.
+        limit = F.least(F.lit(wider * float(sample_rows)) / F.col("n"), F.lit(1.0)) * 2.0**64 - 2.0**63
+        near = ids.join(F.broadcast(sizes), "lang").filter(F.col("hash").cast("double") <= limit)
+        chosen = cut_lineage(near.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= sample_rows).select("id", "lang"))
+        found = chosen.groupBy("lang").agg(F.count("*").alias("m"))
+        short = sizes.join(found, "lang", "left").filter(F.coalesce("m", F.lit(0)) < F.least("n", F.lit(sample_rows)))
+        if short.isEmpty():
+            break
+        wider *= 4
+    # At most sample_rows * FEW short rows are broadcast. Rows that repeat an id teach once, by their least text.
+    texts = rows.join(F.broadcast(chosen) if len(known) <= FEW else chosen, ["id", "lang"])
+    sample = texts.groupBy("id", "lang").agg(F.min("text").alias("text"))
     number = {name: i for i, name in enumerate(known)}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

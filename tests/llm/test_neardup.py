@@ -3,6 +3,8 @@ import random
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
 from tunedata.llm import neardup, sketch
 from tunedata.llm.components import components
 from tunedata.llm.queries import QUERIES
@@ -39,6 +41,48 @@ def test_family_of_near_copies(spark, make_docs, monkeypatch):
     assert result(neardup.near_duplicates(make_docs(rows))) == wanted(rows)
 
 
+def test_a_large_group_is_read_a_bounded_number_of_times(spark, make_docs, monkeypatch):
+    """One group of hundreds of near copies in small blocks, some of which reach it by others only, and strangers in it."""
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 20)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    rows = [(i, edited(base, rng.choice([0, 1, 1, 2]), rng)) for i in range(400)]
+    chain = list(base)
+    for i in range(25):  # each is near the one before it, the last ones far from the first
+        chain[i * 6:i * 6 + 2] = [f"c{i}", f"d{i}"]
+        rows.append((1000 + i, " ".join(chain)))
+    compared = []
+    cross = neardup._crosslinker
+    assert result(neardup.near_duplicates(make_docs(rows))) == wanted(rows)
+    groups = spark.createDataFrame([(0, i) for i in range(300)], "rep long, member long")
+    texts = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows[:300])], "member long, text string")
+    monkeypatch.setattr(neardup, "_crosslinker", lambda *a: compared.append("cross") or cross(*a))
+    links = neardup.exact_links(groups, texts, 5, 60).collect()
+    assert len(links) == 299 and not compared  # all near the representative: a star, and nothing is compared again
+
+
+def test_sets_that_share_a_digest(spark, make_docs):
+    """All sets of a word count share the first digest here."""
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, edited(base, i % 4, rng) if i % 3 else " ".join(f"u{rng.randrange(9000)}" for _ in range(40))) for i in range(40)]
+    rows += [(100 + i, text) for i, text in rows[:10]]
+    marked = neardup.sketched(make_docs(rows), "doc_id", "text", 5).withColumn("class", F.when(F.col("size") > 0, F.col("size") % 3))
+    apart, classes = neardup.distinct_sets(marked)
+    sets = {frozenset(brute.shingle_set(t, 5)) for _, t in rows}
+    assert classes.count() == apart.select("class").distinct().count() == len(sets)
+    by_class = {}
+    for r in apart.collect():
+        by_class.setdefault(r["class"], set()).add(frozenset(brute.shingle_set(dict(rows)[r["key"]["id"]], 5)))
+    assert all(len(s) == 1 for s in by_class.values())
+
+
+def test_very_long_text(spark, make_docs):
+    long = " ".join(f"w{i % 7919}" for i in range(200_000))
+    rows = [(1, long), (2, long + " more"), (3, "short one of some words")]
+    assert result(neardup.near_duplicates(make_docs(rows))) == wanted(rows)
+
+
 def test_odd_rows(spark, make_docs):
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "one two"), (5, "ONE Two"), (6, "one two"), (6, "one two"), (None, "one two"),
             (None, "of its own here"), (None, "of its own here"), (7, "a b c d e f g h"), (8, "É" * 3), (9, "é" * 3), (2, "")]

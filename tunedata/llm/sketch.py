@@ -69,9 +69,9 @@ def bands(coordinates: np.ndarray, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def digest(elements: np.ndarray) -> int:
+def digest(elements: np.ndarray, seed: int = 0) -> int:
     """A signed 64-bit digest of a sorted set."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(elements.tobytes())).astype(np.int64))
+    return int(np.uint64(xxhash.xxh3_64_intdigest(elements.tobytes(), seed=seed)).astype(np.int64))
 
 
 #: Columns of the bit table that are held at once.

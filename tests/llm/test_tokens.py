@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tunedata.llm import tokens
 from tunedata.llm.queries import QUERIES
+from tunedata.session import cut_lineage
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -62,3 +64,40 @@ def test_columns(make_docs, model):
     last = tokens.with_prefix_table(docs, PATH).select(F.try_element_at("prefix_tokens", F.lit(-1))["tokens"].alias("n")).collect()
     assert [r["n"] or 0 for r in last] == [len(model.encode(r["text"] or "")) for r in docs.collect()]
     assert tokens.with_token_counts(make_docs([]), PATH).count() == 0
+
+
+def test_stored_counts_of_every_prefix(model, counter):
+    for text in texts(300) + ["x" * 300 + " heat of it" * 40, "of" * 400]:
+        counts = tokens.stored_counts(counter.steps(text)).tolist()
+        assert len(counts) == len(text) + 1
+        for n in {*range(min(len(text), 40) + 1), len(text)}:
+            assert counts[n] == len(model.encode(text[:n]))
+    large = tokens.stored_counts(b"\1" + np.array([300, -200], "<i2").tobytes())
+    assert large.tolist() == [0, 300, 100]
+
+
+def test_stored_tables_answer_without_a_tokenizer(make_docs, model, monkeypatch):
+    rows = [(1, None), (2, ""), (3, "the heat of it"), (3, "the heat of it"), (None, "x 🙂 é" * 50), (4, "the <s> of\n the"), (5, "heat " * 30_000)]
+    stored = cut_lineage(tokens.with_prefix_counts(make_docs(rows), PATH))
+    monkeypatch.setattr(tokens, "counter", None)  # what follows must not need one
+
+    class Gone:
+        def __init__(self, *_, **__):
+            raise AssertionError("the tokenizer was asked")
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Gone)
+    all_of = {(r["doc_id"], r["text"]): r["n_tokens"] for r in tokens.count_stored(stored).collect()}
+    first = {(r["doc_id"], r["text"]): r["n_tokens"] for r in tokens.count_stored(stored.withColumn("n", F.lit(6)), "n").collect()}
+    none = tokens.count_stored(stored.withColumn("n", F.lit(None).cast("int")), "n").filter("n_tokens > 0").count()
+    assert none == 0
+    for key in rows:
+        assert all_of[key] == len(model.encode(key[1] or "")) and first[key] == len(model.encode((key[1] or "")[:6]))
+    for budget in (0, 1, 3, 1000):
+        cut = tokens.truncate_stored(stored, budget)
+        assert cut.columns == stored.columns
+        got = sorted((r["text"] for r in cut.collect()), key=repr)
+        want = []
+        for _, text in rows:
+            lengths = range(len(text) + 1) if text and len(text) < 400 else [min(5 * budget + k, len(text or "")) for k in range(-6, 7) if 5 * budget + k >= 0]
+            want.append(text and text[:max(n for n in lengths if len(model.encode(text[:n])) <= budget)])
+        assert got == sorted(want, key=repr)

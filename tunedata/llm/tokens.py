@@ -4,7 +4,8 @@ Byte-pair merging by score is local: a sequence of pieces is the encoding of its
 each two neighbours are the encoding of theirs. So the encoding of a prefix is that of a shorter
 prefix and one last piece, and a table over all prefixes (last piece, number of tokens) is filled
 from left to right: a piece that ends here fits if it and the last piece before it would not be
-merged across. Truncation and budget questions read that table and encode nothing again.
+merged across. ``with_prefix_counts`` stores the number of tokens of every prefix, a byte for each character, and
+truncation and budget questions read what is stored: no vocabulary is needed and nothing is encoded again.
 
 No piece holds a word-start mark after another character, nor a Latin letter beside another sign
 (both are checked), so a text falls into chunks there, each counted by itself. Tables of chunks are kept, up to a bound, as words come back often;
@@ -19,6 +20,7 @@ from bisect import bisect_left, bisect_right
 from functools import lru_cache
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -126,6 +128,23 @@ class PrefixCounter:
         ends = [n - 1 for n in accumulate(map(len, chunks))]  # without the mark in front
         return ends, list(accumulate(self._kept(c)[-1] for c in chunks)), chunks
 
+    def steps(self, text: str | None) -> bytes:
+        """What each character adds to the number of tokens of the prefix that ends with it, as signed bytes.
+
+        A character adds at most its bytes; one that joins pieces takes away what was joined. Where that is more than
+        a byte holds, a text has 16 bits for each character, marked by a first byte of 1 instead of 0.
+        """
+        parts = [np.zeros(1, np.int64)]
+        for chunk in self.chunks(text or ""):
+            kept = self._kept(chunk)
+            parts.append(np.diff(np.frombuffer(kept, np.uint8 if isinstance(kept, bytes) else np.int64).astype(np.int64)))
+        # The mark in front is no character of the text: its token belongs to the first one.
+        added = np.concatenate(parts)[1:]
+        if len(added) > 1:
+            added = np.concatenate([[added[0] + added[1]], added[2:]])
+        small = not len(added) or np.abs(added).max() < 128
+        return (b"\0" if small else b"\1") + added.astype("<i1" if small else "<i2").tobytes()
+
     def at(self, table: tuple[list[int], list[int], list[str]], length: int) -> int:
         """Tokens of the first ``length`` characters."""
         ends, counts, chunks = table
@@ -151,6 +170,12 @@ class PrefixCounter:
 
 
 
+def stored_counts(steps: bytes) -> np.ndarray:
+    """Number of tokens of each prefix, from the empty one on, out of what ``PrefixCounter.steps`` made."""
+    added = np.frombuffer(steps, "<i1" if steps[:1] == b"\0" else "<i2", offset=1)
+    return np.concatenate([[0], np.cumsum(added, dtype=np.int64)])
+
+
 @lru_cache(maxsize=4)
 def counter(path: str) -> PrefixCounter:
     """One per vocabulary in a Python worker. The file must lie at that path on every executor."""
@@ -193,6 +218,52 @@ def with_prefix_count(df: DataFrame, path: str, length_col: str, text_col: str =
     return df.withColumn(into, counts(F.col(text_col), F.col(length_col)))
 
 
+def with_prefix_counts(df: DataFrame, path: str, text_col: str = "text", into: str = "prefix_counts") -> DataFrame:
+    """Adds the number of tokens of every prefix of each text, to be written with it: a byte for each character.
+
+    ``count_stored``, ``longest_stored`` and ``truncate_stored`` answer from that column alone. Null and empty texts
+    have no characters. A column named ``into`` is replaced.
+    """
+    @F.pandas_udf("binary")
+    def steps(texts: pd.Series) -> pd.Series:
+        return pd.Series([counter(path).steps(t) for t in texts], dtype=object)
+
+    return df.withColumn(into, steps(F.col(text_col)))
+
+
+def count_stored(df: DataFrame, length_col: str | None = None, counts_col: str = "prefix_counts", into: str = "n_tokens") -> DataFrame:
+    """Adds the tokens of the first ``length_col`` characters (of all without it) from the stored counts; 0 where the length is
+    null or below 1, or the counts are null."""
+    @F.pandas_udf("long")
+    def counts(steps: pd.Series, lengths: pd.Series) -> pd.Series:
+        found = []
+        for s, n in zip(steps, lengths):
+            upto = stored_counts(s) if s is not None and not pd.isna(n) and n > 0 else [0]
+            found.append(int(upto[min(int(n), len(upto) - 1)]) if len(upto) > 1 else 0)
+        return pd.Series(found, dtype="int64")
+
+    length = F.col(length_col).cast("long") if length_col else F.lit(2**31 - 1).cast("long")
+    return df.withColumn(into, counts(F.col(counts_col), length))
+
+
+def longest_stored(df: DataFrame, budget: int, counts_col: str = "prefix_counts", into: str = "length") -> DataFrame:
+    """Adds the characters of the longest prefix of at most ``budget`` tokens, from the stored counts; 0 for null."""
+    @F.pandas_udf("long")
+    def longest(steps: pd.Series) -> pd.Series:
+        return pd.Series([0 if s is None else int(np.flatnonzero(stored_counts(s) <= budget)[-1]) for s in steps], dtype="int64")
+
+    return df.withColumn(into, longest(F.col(counts_col)))
+
+
+def truncate_stored(df: DataFrame, budget: int, text_col: str = "text", counts_col: str = "prefix_counts") -> DataFrame:
+    """Each text cut to its longest prefix of at most ``budget`` (0 or more) tokens, from the stored counts; null stays null."""
+    length = "_longest"
+    while length in df.columns:
+        length = "_" + length
+    measured = longest_stored(df, budget, counts_col, length)
+    return measured.withColumn(text_col, F.substring(F.col(text_col), F.lit(1), F.col(length).cast("int"))).drop(length)
+
+
 def truncate(df: DataFrame, path: str, budget: int, text_col: str = "text") -> DataFrame:
     """Each text cut to its longest prefix of at most ``budget`` tokens; null stays null."""
     @F.pandas_udf("string")

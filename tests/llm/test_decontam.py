@@ -63,6 +63,13 @@ def test_proximity(spark, make_docs):
     assert (near(0), near(2), near(3), near(6)) == ([1], [1], [1, 2], [1, 2, 4])
 
 
+def test_proximity_counts_repeated_words(spark, make_docs):
+    docs = make_docs([(1, "the x cat"), (2, "the cat the"), (3, "the cat x the"), (4, "the")])
+    phrases = decontam.passages(bench(spark, [(1, "the the cat")])).select("win", "phrase")
+    near = lambda slack: sorted({r["key"]["id"] for r in decontam.proximity_matches(docs, phrases, slack).select("key").collect()})
+    assert (near(0), near(1)) == ([2], [2, 3])
+
+
 def test_words(spark):
     got = spark.range(1).select(decontam.words(F.lit("The ÉtÉ's A1-b_c ß 日本 X"))).first()[0]
     assert got == brute.bench_words("The ÉtÉ's A1-b_c ß 日本 X")

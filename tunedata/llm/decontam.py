@@ -96,7 +96,8 @@ def exact_matches(docs: DataFrame, phrases: DataFrame, id_col: str = "doc_id", t
 
 
 def proximity_matches(docs: DataFrame, phrases: DataFrame, slack: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, win, pos): places where all terms of a phrase stand, in any order, within its length plus ``slack`` words.
+    """(key, win, pos): places where all words of a phrase stand, in any order and as often as it holds them, within its
+    length plus ``slack`` words.
 
     Looked up from the phrase's rarest term, at ``pos``; the others may lie on either side of it.
     """
@@ -108,7 +109,12 @@ def proximity_matches(docs: DataFrame, phrases: DataFrame, slack: int, id_col: s
     def close(c):
         span = F.size(c["phrase"]) + slack
         spans = F.transform(F.sequence(F.greatest(c["pos"] - span + 1, F.lit(0)), c["pos"]), lambda i: F.slice(F.col("all"), i + 1, span))
-        return F.exists(spans, lambda part: F.size(F.array_except(c["phrase"], part)) == 0)
+
+        def times(term, among):
+            return F.size(F.filter(among, lambda w: w == term))
+
+        terms = F.array_distinct(c["phrase"])
+        return F.exists(spans, lambda part: F.forall(terms, lambda t: times(t, part) >= times(t, c["phrase"])))
 
     return checked.select("key", F.explode(F.filter("proposed", close)).alias("hit")).select("key", "hit.win", "hit.pos").distinct()
 

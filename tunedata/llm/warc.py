@@ -28,6 +28,8 @@ SMALL = 100
 GAP, READ = 64 << 10, 8 << 20
 #: Rows an index partition is read in.
 RECORDS = 4000
+#: Most tasks of a reading; beyond, each reads more records, one file after the other.
+MOST_PARTS = 20_000
 DATE = "2000-01-01T00:00:00Z"
 
 
@@ -80,7 +82,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write (page_id, url, html) as archives below ``folder`` and return the index.
 
     The index is itself a written table: (file, offset, length, page_id, url, digest, record_type,
-    refers_to), one row per record. ``folder`` must be one that all executors reach. An empty table
+    refers_to), one row per record. Page ids are whole numbers; others are cast to long. ``folder`` must be one that all executors reach. An empty table
     gives an empty index.
     """
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,7 +165,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
             yield out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
 
     wanted = index.select("file", "offset", "length")
-    parts = max(1, -(-wanted.count() // RECORDS))
+    parts = min(max(1, -(-wanted.count() // RECORDS)), MOST_PARTS)
     ordered = wanted.repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInPandas(read, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload string")
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tunedata.operators.rewards import best_of_n
 from tunedata import session
-from tunedata.operators import hooks, indexing as ix, monitoring as mn
+from tunedata.operators import distribution as ds, hooks, indexing as ix, monitoring as mn
 from tunedata.operators.normalise import normalise_sft
 from tunedata.sources import ledger, readers as rd
+from tunedata.sources.json_lists import read_json_list
 from tunedata.sources import writers as wr
 from tunedata.streaming import averages as av, monitors as st
 
@@ -28,6 +29,37 @@ def test_json_array_is_one_valid_list_per_file(spark, tmp_path):
     assert rd.read_json_array(spark, path, "id bigint").count() == 100
 
 
+SIGNS = ["{", "}", "[", "]", '"', "\\", ",", ":", "a", "é", "\n", "}{", '\\"', "日", " "]
+
+
+def test_one_list_is_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Brackets, quotes and line breaks within strings, nested records; every cut by bytes gives the reading of one task."""
+    rng = random.Random(8)
+    text = lambda: "".join(rng.choice(SIGNS) for _ in range(rng.randrange(12)))
+    rows = [{"id": i, "t": text(), "o": {"k": text(), "l": [text(), text()]}, "p": [{"x": text()} for _ in range(rng.randrange(3))]} for i in range(400)]
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "a.json").write_text(json.dumps(rows[:350], indent=rng.choice([None, 2]), ensure_ascii=False))
+    (tmp_path / "j" / "b.json").write_text(" [\n" + ",\n".join(json.dumps(r) for r in rows[350:]) + "]\n")
+    (tmp_path / "j" / "c.json").write_text("[]")
+    (tmp_path / "j" / "d.json").write_text("")
+    schema = "id bigint, t string, o struct<k string, l array<string>>, p array<struct<x string>>"
+    whole = sorted(json.dumps(r, sort_keys=True) for r in rows)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size, hot in (("4096", 250_000), ("1000", 50), ("128m", 250_000)):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            monkeypatch.setattr(ix, "RANGE_ROWS", hot)
+            monkeypatch.setattr(ix, "RANGES", 6)
+            got = read_json_list(spark, str(tmp_path / "j"), schema).collect()
+            assert sorted(json.dumps(r.asDict(recursive=True), sort_keys=True) for r in got) == whole
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        assert spark.read.option("lineSep", "}").text(str(tmp_path / "j" / "a.json")).rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    one = rd.read_json_array(spark, str(tmp_path / "j" / "a.json"), schema)
+    assert one.exceptAll(read_json_list(spark, str(tmp_path / "j" / "a.json"), schema)).count() == 0
+
+
 def test_csv_keeps_line_breaks_and_quotes(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a\n"b", c')], "id int, t string")
     df.write.option("header", True).option("escape", '"').csv(str(tmp_path / "x.csv"))
@@ -137,6 +169,19 @@ def test_a_stream_that_fails_after_writing_leaves_no_doubles(spark, tmp_path, mo
     assert seen == [0, 1, 1, 2] and len(list((tmp_path / "m" / "rows").glob("attempt=*"))) == 4
 
 
+def test_histograms_of_a_stream_are_those_of_its_rows(spark, tmp_path):
+    rng = random.Random(1)
+    batches = [[(rng.randrange(3), rng.random()) for _ in range(50)] for _ in range(4)]
+    stream = _feed(spark, str(tmp_path / "in"), batches, "g bigint, v double")
+    path = str(tmp_path / "h")
+    st.start_histograms(stream, path, str(tmp_path / "cp"), query="q", value="v", by=["g"]).awaitTermination()
+    again = spark.readStream.schema("g bigint, v double").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    st.start_histograms(again, path, str(tmp_path / "cp2"), query="q", value="v", by=["g"]).awaitTermination()
+    whole = spark.createDataFrame(sum(batches, []), "g bigint, v double")
+    want = {(r.g, r.bin): r.n for r in ds.histogram(whole, "v", 7, step="g").collect()}
+    assert {(r.g, r.bin): r.n for r in st.read_histograms(spark, path, 7, by=["g"]).collect()} == want
+
+
 def test_a_step_written_twice_is_there_once(spark, tmp_path):
     path = str(tmp_path / "s")
     for n in (5, 5, 3):

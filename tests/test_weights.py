@@ -135,3 +135,39 @@ def test_a_continued_run_is_the_run(spark):
     half = wt.run_schedule(state, losses, cfg, steps=range(1, 5))
     rest = wt.run_schedule(half, losses, cfg, steps=range(5, 9), done_before=4)
     assert np.allclose([r.logit for r in whole.orderBy("example_id").collect()], [r.logit for r in rest.orderBy("example_id").collect()], atol=1e-12)
+
+
+@pytest.mark.parametrize("cfg", [wt.UpdateConfig(entropy=0.3, gauss=0.1), wt.UpdateConfig("sigmoid", mass=0.5, mass_ratio=0.4, mass_sigma=3.0), wt.UpdateConfig("linear")])
+def test_runs_in_one_loop_are_those_run_alone(spark, cfg):
+    """Three runs with examples of their own; one of them is carried over from a snapshot after two steps."""
+    rows = [(run, step, i, ((i * 7 + step * 3) % 11) / 5.0) for run, n in (("a", 9), ("b", 14), ("c", 5)) for step in range(1, 6) for i in range(n) if (i + step) % 3]
+    logged = spark.createDataFrame(rows, "run string, step int, example_id long, loss double")
+    ids = spark.createDataFrame([(run, i) for run, n in (("a", 9), ("b", 14), ("c", 5)) for i in range(n)], "run string, example_id long")
+
+    def alone(run, steps, state=None, done=0):
+        start = state if state is not None else wt.init_logits(ids.filter(F.col("run") == run), cfg.activation)
+        return wt.run_schedule(start, logged.filter(F.col("run") == run), cfg, steps=steps, done_before=done)
+
+    began = [alone("b", range(1, 3)).withColumn("run", F.lit("b")).withColumn("done", F.lit(2))]
+    for run in "ac":
+        began.append(wt.init_logits(ids.filter(F.col("run") == run), cfg.activation).withColumn("run", F.lit(run)).withColumn("done", F.lit(0)))
+    state = began[0].unionByName(began[1]).unionByName(began[2])
+    snapshots = []
+    out = wt.run_schedules(state, logged, cfg, steps=range(1, 6), snapshot_every=2, write_snapshot=lambda step, df: snapshots.append((step, df.count())))
+    got = {(r.run, r.example_id): (r.logit, r.m, r.v, r.done) for r in out.collect()}
+    assert len(got) == 28 and snapshots == [(2, 28), (4, 28)]
+    for run in "abc":
+        for r in alone(run, range(1, 6)).collect():
+            logit, m, v, done = got[run, r.example_id]
+            assert done == 5 and max(abs(logit - r.logit), abs(m - r.m), abs(v - r.v)) < 1e-12
+
+
+def test_runs_with_far_logits_and_unknown_examples(spark):
+    state = spark.createDataFrame([("a", 1, 900.0), ("a", 2, -900.0), ("b", 1, 0.0), ("b", 2, 1.0)], "run string, example_id long, logit double")
+    state = state.withColumn("m", F.lit(0.0)).withColumn("v", F.lit(0.0)).withColumn("done", F.lit(0))
+    logged = spark.createDataFrame([("a", 1, 1, 1.0), ("b", 1, 2, 2.0)], "run string, step int, example_id long, loss double")
+    out = wt.run_schedules(state, logged, steps=range(1, 3)).collect()
+    assert len(out) == 4 and all(abs(r.logit) < 901 for r in out)
+    stray = logged.unionByName(spark.createDataFrame([("b", 2, 9, 1.0)], logged.schema))
+    with pytest.raises(Exception, match="no weight"):
+        wt.run_schedules(state, stray, steps=range(1, 3)).collect()

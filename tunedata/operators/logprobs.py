@@ -65,11 +65,22 @@ def pooled_loss(tokens: DataFrame, by: list[str] | None = None, seq: str = "seq_
     )
 
 
+def _masked_sums() -> tuple[Column, Column]:
+    """Sum of the log-probabilities that the mask keeps, and their mean."""
+    total = F.sum(F.when(F.col("mask") == 1, F.col("logp")).otherwise(0.0))
+    return total, F.try_divide(total, F.sum(F.col("mask").cast("bigint")))
+
+
 def sequence_logp(tokens: DataFrame, *, average: bool = False, seq: str = "seq_id") -> DataFrame:
     """Sum (or mean) of masked log-probabilities per sequence; ``mask`` leaves out the prompt."""
-    total = F.sum(F.when(F.col("mask") == 1, F.col("logp")).otherwise(0.0))
-    count = F.sum(F.col("mask").cast("bigint"))
-    return tokens.groupBy(seq).agg((F.try_divide(total, count) if average else total).alias("logp"))
+    total, mean = _masked_sums()
+    return tokens.groupBy(seq).agg((mean if average else total).alias("logp"))
+
+
+def sequence_logps(tokens: DataFrame, seq: str = "seq_id") -> DataFrame:
+    """Sum (``total``) and mean (``mean``) of masked log-probabilities per sequence in one aggregation."""
+    total, mean = _masked_sums()
+    return tokens.groupBy(seq).agg(total.alias("total"), mean.alias("mean"))
 
 
 def masked_mean(tokens: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:

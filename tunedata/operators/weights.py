@@ -179,87 +179,99 @@ class UpdateConfig:
     mass_n: int | None = None
 
 
-def _batch_sums(df: DataFrame, shift: float | None) -> dict[str, float]:
-    """Whole-table sums of a step, with ``exp(logit - shift)`` for the softmax parts.
+def _weighed(cfg: UpdateConfig) -> tuple[Column, Column]:
+    """Weight and its derivative by the logit, where each weight depends on its own logit alone."""
+    z = F.col("logit")
+    if cfg.activation == "sigmoid":
+        s = sigmoid(z)
+        return 2 * s, 2 * s * (1 - s)
+    return z, F.lit(1.0)
+
+
+def _sums(cfg: UpdateConfig, shift: Column | float) -> dict[str, Column]:
+    """The aggregates of a step, with ``exp(logit - shift)`` for the softmax parts."""
+    e = F.exp(F.col("logit") - shift)
+    sums = {
+        "top": F.max("logit"),
+        "n": F.count(F.lit(1)).cast("double"),
+        "rows": F.greatest(F.sum("batch_rows"), F.lit(1)).cast("double"),
+        "total": F.sum(e),
+        "hit": F.sum(e * F.col("batch_loss")),
+        "moment": F.sum(e * (F.col("logit") - shift)),
+    }
+    if cfg.mass and cfg.activation != "softmax":  # the mass is fixed under softmax
+        sums["mass"] = F.sum(_weighed(cfg)[0])
+    return sums
+
+
+def _batch_sums(df: DataFrame, shift: float | None, cfg: UpdateConfig = UpdateConfig()) -> dict[str, float]:
+    """Whole-table sums of a step.
 
     Any shift near the largest logit does; the one of the step before saves a pass. If the
     largest logit has moved far from it, the sums are made again with the right one.
     """
     if shift is None:
         shift = numbers(df, top=F.max("logit"))["top"]
-    e = F.exp(F.col("logit") - shift)
-    sums = numbers(
-        df,
-        top=F.max("logit"),
-        n=F.count(F.lit(1)).cast("double"),
-        rows=F.greatest(F.sum("batch_rows"), F.lit(1)).cast("double"),
-        total=F.sum(e),
-        hit=F.sum(e * F.col("batch_loss")),
-        moment=F.sum(e * (F.col("logit") - shift)),
-    )
+    sums = numbers(df, **_sums(cfg, shift))
     if abs(sums["top"] - shift) > SAFE_SHIFT:
-        return _batch_sums(df, sums["top"])
+        return _batch_sums(df, sums["top"], cfg)
     return {**sums, "shift": shift}
 
 
-def _gradient(df: DataFrame, cfg: UpdateConfig, sums: dict[str, float]) -> Column:
+def _gradient(cfg: UpdateConfig, sums: dict[str, Column]) -> Column:
     """Derivative of the weighted batch loss and the chosen priors by each logit.
 
-    ``df`` is the state with ``batch_loss`` (sum over the example's rows in the batch,
-    0 outside) and ``batch_rows``.
+    For the state with ``batch_loss`` (sum over the example's rows in the batch, 0 outside) and
+    ``batch_rows``; ``sums`` are literals, or columns where several runs are in one table.
     """
     z, loss = F.col("logit"), F.col("batch_loss")
-    n, rows = F.lit(sums["n"]), F.lit(sums["rows"])
+    n, rows = sums["n"], sums["rows"]
+    weight, slope = _weighed(cfg)
     if cfg.activation == "softmax":
         share = F.exp(z - sums["shift"]) / sums["total"]
         grad = n / rows * share * (loss - sums["hit"] / sums["total"])
         if cfg.entropy:
-            log_total = math.log(sums["total"])
+            log_total = F.log(sums["total"])
             mean_log = sums["moment"] / sums["total"] - log_total
             grad = grad + F.lit(cfg.entropy) * share * (z - sums["shift"] - log_total - mean_log)
-    elif cfg.activation == "sigmoid":
-        s = sigmoid(z)
-        grad = 2 / rows * s * (1 - s) * loss
-        weight, slope = 2 * s, 2 * s * (1 - s)
     else:
-        grad = loss / rows
-        weight, slope = z, F.lit(1.0)
+        grad = slope * loss / rows
     if cfg.gauss:
         grad = grad + F.lit(cfg.gauss) * (z - cfg.gauss_mu) / F.lit(cfg.gauss_sigma**2)
-    if cfg.mass and cfg.activation != "softmax":  # the mass is fixed under softmax
-        mass = scalars(df, mass=F.sum(weight))["mass"]
+    if "mass" in sums:
         expected = F.lit(float(cfg.mass_n)) if cfg.mass_n is not None else n
-        gap = mass - F.floor(expected * cfg.mass_ratio)
+        gap = sums["mass"] - F.floor(expected * cfg.mass_ratio)
         prior = F.exp(-gap * gap / (2 * cfg.mass_sigma**2))
         grad = grad + F.lit(cfg.mass) * prior * (-gap / cfg.mass_sigma**2) * slope
     return grad
 
 
-def _adam(df: DataFrame, grad: Column, norm: Column, cfg: UpdateConfig, step: int) -> DataFrame:
+def _adam(df: DataFrame, grad: Column, norm: Column, cfg: UpdateConfig, step: int | Column, keys: tuple[str, ...] = ("example_id",)) -> DataFrame:
     """Clip by global norm, then one Adam step without weight decay."""
     b1, b2 = cfg.betas
     g = F.col("_grad") * F.least(F.lit(1.0), F.lit(cfg.clip) / (norm + 1e-6))
     m = F.lit(b1) * F.col("m") + F.lit(1 - b1) * g
     v = F.lit(b2) * F.col("v") + F.lit(1 - b2) * g * g
-    moved = df.withColumn("_grad", grad).select("example_id", "logit", m.alias("m"), v.alias("v"))
-    rise = F.lit(cfg.lr) * (F.col("m") / (1 - b1**step))
+    moved = df.withColumn("_grad", grad).select(*keys, "logit", m.alias("m"), v.alias("v"))
+    power = step if isinstance(step, Column) else F.lit(step)
+    rise = F.lit(cfg.lr) * (F.col("m") / (1 - F.pow(F.lit(b1), power)))
     return moved.select(
-        "example_id",
-        (F.col("logit") - rise / (F.sqrt(F.col("v") / (1 - b2**step)) + cfg.eps)).alias("logit"),
+        *keys,
+        (F.col("logit") - rise / (F.sqrt(F.col("v") / (1 - F.pow(F.lit(b2), power))) + cfg.eps)).alias("logit"),
         "m",
         "v",
     )
 
 
-def _with_batch(state: DataFrame, losses: DataFrame) -> DataFrame:
+def _with_batch(state: DataFrame, losses: DataFrame, keys: tuple[str, ...] = ("example_id",)) -> DataFrame:
     """State with the batch losses of each example; repeated ids are summed first.
 
     A loss whose example has no weight is an error, as it would shrink the batch unseen.
     """
-    per_id = losses.groupBy("example_id").agg(
+    per_id = losses.groupBy(*keys).agg(
         F.sum("loss").alias("batch_loss"), F.count(F.lit(1)).alias("batch_rows")
     )
-    met = state.withColumn("_known", F.lit(True)).join(per_id, "example_id", "full_outer")
+    met = state.withColumn("_known", F.lit(True)).join(per_id, list(keys), "full_outer")
     known = F.when(F.col("_known").isNull(), F.raise_error(F.lit("a loss names an example that has no weight"))).otherwise(F.col("logit"))
     return met.withColumn("logit", known).drop("_known").fillna({"batch_loss": 0.0, "batch_rows": 0})
 
@@ -269,8 +281,8 @@ def _one_step(
     store: Callable[[DataFrame], DataFrame], shift: float | None,
 ) -> tuple[DataFrame, float]:
     joined = store(_with_batch(state, losses))
-    sums = _batch_sums(joined, shift)
-    grad = _gradient(joined, cfg, sums)
+    sums = _batch_sums(joined, shift, cfg)
+    grad = _gradient(cfg, {name: F.lit(value) for name, value in sums.items()})
     norm = scalars(joined, norm=F.sqrt(F.sum(F.pow(grad, F.lit(2.0)))))["norm"]
     return _adam(joined, grad, norm, cfg, step), sums["top"]
 
@@ -326,6 +338,60 @@ def run_schedule(
     return cut_lineage(current)
 
 
+def _run_sums(joined: DataFrame, cfg: UpdateConfig, tops: DataFrame | None) -> DataFrame:
+    """The sums of a step for each run: one short row each. ``tops``: (run, shift) of the step before."""
+    if tops is None:
+        tops = cut_lineage(joined.groupBy("run").agg(F.max("logit").alias("shift")))
+    shifted = joined.join(F.broadcast(tops), "run")  # one row for each run
+    sums = cut_lineage(shifted.groupBy("run", "shift").agg(*[value.alias(f"_{name}") for name, value in _sums(cfg, F.col("shift")).items()]))
+    if not sums.filter(F.abs(F.col("_top") - F.col("shift")) > SAFE_SHIFT).isEmpty():
+        return _run_sums(joined, cfg, sums.select("run", F.col("_top").alias("shift")))
+    return sums
+
+
+def run_schedules(
+    state: DataFrame,
+    losses: DataFrame,
+    cfg: UpdateConfig = UpdateConfig(),
+    *,
+    steps: range,
+    snapshot_every: int | None = None,
+    write_snapshot: Callable[[int, DataFrame], None] | None = None,
+) -> DataFrame:
+    """``run_schedule`` for many runs in one loop, such as one for each mixture ratio.
+
+    ``state``: (run, example_id, logit, m, v, done), ``losses``: (run, step, example_id, loss). A step joins all runs at
+    once, and what a run sums up over its examples is one short row that is joined back, so the jobs are as
+    many as for a single run, whatever the number of runs. ``done`` counts the steps a run has behind it: a run that
+    was carried over from a snapshot goes on where it stood, and waits until the others have caught up.
+    Losses of a run or example that has no weight are an error. Returns the state after all steps.
+    """
+    _check_activation(cfg.activation)
+    keys = ("run", "example_id")
+    spark = state.sparkSession
+    log = scratch_path(spark, "losses")
+    parts = ["run", "example_id", "loss"]
+    losses.select(F.col("step").cast("bigint").alias("step"), *parts).write.partitionBy("step").parquet(log)
+    logged = spark.read.schema(T.StructType([*[losses.schema[c] for c in parts], T.StructField("step", T.LongType())])).parquet(log)
+    tables = (scratch_path(spark, "state"), scratch_path(spark, "state"))
+    current, tops = state.select(*keys, "logit", "m", "v", F.col("done").cast("bigint").alias("done")), None
+    for number, step in enumerate(steps, start=1):
+        batch = logged.filter(F.col("step") == step).select(*parts)
+        joined = cut_lineage(_with_batch(current, batch, keys), path=tables[number % 2])
+        sums = _run_sums(joined, cfg, tops)
+        with_sums = joined.join(F.broadcast(sums), "run")
+        grad = _gradient(cfg, {name[1:] if name[0] == "_" else name: F.col(name) for name in sums.columns if name != "run"})
+        norms = cut_lineage(with_sums.groupBy("run").agg(F.sqrt(F.sum(F.pow(grad, F.lit(2.0)))).alias("_norm")))
+        moved = _adam(with_sums.join(F.broadcast(norms), "run"), grad, F.col("_norm"), cfg, number, (*keys, "done"))
+        # A run that has this step behind it keeps its state.
+        kept = joined.filter(F.col("done") >= number).select(*keys, "logit", "m", "v", "done")
+        current = moved.filter(F.col("done") < number).withColumn("done", F.lit(number).cast("bigint")).select(*kept.columns).unionByName(kept)
+        tops = sums.select("run", F.col("_top").alias("shift"))
+        if write_snapshot and snapshot_every and number % snapshot_every == 0:
+            write_snapshot(step, current)
+    return cut_lineage(current)
+
+
 def pool(df: DataFrame, how: str, *, key: str, pos: str, vector: str, last: str) -> DataFrame:
     """One vector per sequence from token vectors up to position ``last``.
 

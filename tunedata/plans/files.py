@@ -12,6 +12,7 @@ from tunedata.operators.indexing import dense_ids
 from tunedata.functions.arrays import sigmoid
 from tunedata.session import scratch_path
 from tunedata.sources import readers as rd
+from tunedata.sources.json_lists import read_json_list
 from tunedata.sources import writers as wr
 
 DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -71,6 +72,14 @@ def src_json_array(spark, sf_dir):
     return back.select("conv_id", "turn", "text")
 
 
+@query("src_json_list", "SELECT conv_id, turn, text FROM conversations")
+def src_json_list(spark, sf_dir):
+    """All conversations as one list in one file."""
+    turns = table(spark, sf_dir, "conversations").coalesce(1)
+    path = wr.write_json_array(turns, scratch_path(spark, "list"))
+    return read_json_list(spark, path, "conv_id bigint, turn bigint, text string").select("conv_id", "turn", "text")
+
+
 @query("src_exam_csv", "SELECT lang AS subject, text AS question, source AS \"A\", lang AS \"B\", CAST(n_chars AS VARCHAR) AS answer FROM documents")
 def src_exam_csv(spark, sf_dir):
     """One folder per exam, named like the exam's file."""

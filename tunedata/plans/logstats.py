@@ -55,10 +55,7 @@ SELECT seq_id, round(sum(logp * mask), 6) AS total, round(sum(logp * mask) / nul
 FROM ({PLAIN_SQL}) GROUP BY seq_id
 """)
 def lp_seq(spark, sf_dir):
-    tokens = token_rows(spark, sf_dir, False)
-    total = lp.sequence_logp(tokens).select("seq_id", r6("logp", "total"))
-    mean = lp.sequence_logp(tokens, average=True).select("seq_id", r6("logp", "mean"))
-    return total.join(mean, "seq_id")
+    return lp.sequence_logps(token_rows(spark, sf_dir, False)).select("seq_id", r6("total", "total"), r6("mean", "mean"))
 
 
 @query("masked_mean", f"""

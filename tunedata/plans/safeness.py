@@ -83,13 +83,14 @@ def mod_binary(spark, sf_dir):
 @query("mod_multilabel", _metrics_sql(f"""
 SELECT unnest(list_prepend('flagged', {NAMES_SQL})) AS name,
   unnest(list_prepend(list_bool_or([x > 0.1 for x in embedding[start:start + {N - 1}]]), [x > 0.1 for x in embedding[start:start + {N - 1}]])) AS y,
-  unnest(list_prepend(list_bool_or([x > 0.15 for x in embedding[start - 1:start + {N - 2}]]), [x > 0.15 for x in embedding[start - 1:start + {N - 2}]])) AS p
-FROM {TEXTS_SQL} WHERE start > 1
+  unnest(list_prepend(list_bool_or([x > 0.15 for x in embedding[near:near + {N - 1}]]), [x > 0.15 for x in embedding[near:near + {N - 1}]])) AS p
+FROM (SELECT *, CASE WHEN start > 1 THEN start - 1 ELSE start + 1 END AS near FROM {TEXTS_SQL})
 """, "name"))
 def mod_multilabel(spark, sf_dir):
-    rows = texts(spark, sf_dir).filter("start > 1").select(
+    near = F.when(F.col("start") > 1, F.col("start") - 1).otherwise(F.col("start") + 1)
+    rows = texts(spark, sf_dir).select(
         F.transform(F.slice("embedding", F.col("start"), N), lambda x: x > F.lit(0.1).cast("float")).alias("label"),
-        F.transform(F.slice("embedding", F.col("start") - 1, N), lambda x: x > F.lit(0.15).cast("float")).alias("predicted"))
+        F.transform(F.slice("embedding", near, N), lambda x: x > F.lit(0.15).cast("float")).alias("predicted"))
     return _metric_columns(sf.multilabel_metrics(rows), "name")
 
 

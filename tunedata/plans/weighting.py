@@ -176,6 +176,40 @@ def w_run(spark, sf_dir):
     return state.select("example_id", r6("logit", "logit"))
 
 
+RATIOS = (0.1, 0.5, 1.0)
+
+
+@query("w_sweep", f"""
+WITH RECURSIVE q AS (SELECT r.ratio AS run, example_id, loss, example_id % 4 AS quarter FROM ({LOSSES_SQL}), (SELECT unnest({list(RATIOS)}::DOUBLE[]) AS ratio) r
+  WHERE source = 'ft' OR example_id % 10 < 10 * r.ratio),
+ids AS (SELECT run, list(example_id ORDER BY example_id) AS ids FROM q GROUP BY run),
+b AS (SELECT run, t, list(CASE WHEN quarter = (t - 1) % 4 THEN loss ELSE 0 END ORDER BY example_id) AS l,
+        greatest(count(*) FILTER (quarter = (t - 1) % 4), 1) AS rows, count(*) AS n FROM q, range(1, 7) r(t) GROUP BY run, t),
+s(run, t, z, m, v) AS (
+  SELECT run, 0::BIGINT, list(0.1::DOUBLE), list(0::DOUBLE), list(0::DOUBLE) FROM q GROUP BY run
+  UNION ALL
+  SELECT run, t, list_transform(z, lambda x, i: x - 0.005 * (m2[i] / (1 - pow(0.9, t))) / (sqrt(v2[i] / (1 - pow(0.95, t))) + 1e-8)), m2, v2 FROM (
+   SELECT run, t, z, list_transform(g, lambda x, i: 0.9 * m[i] + 0.1 * c * x) AS m2, list_transform(g, lambda x, i: 0.95 * v[i] + 0.05 * c * x * c * x) AS v2 FROM (
+    SELECT *, least(1, 10 / (sqrt(list_sum(list_transform(g, lambda x: x * x))) + 1e-6)) AS c FROM (
+     SELECT *, list_transform(z, lambda x, i: n / rows * p[i] * (l[i] - hit) + 0.1 * p[i] * (ln(p[i]) - ent)) AS g FROM (
+      SELECT *, list_sum(list_transform(p, lambda x, i: x * l[i])) AS hit, list_sum(list_transform(p, lambda x: x * ln(x))) AS ent FROM (
+       SELECT *, list_transform(e, lambda x: x / total) AS p FROM (
+        SELECT *, list_sum(e) AS total FROM (
+         SELECT b.run, b.t, b.l, b.rows, b.n, z, m, v, list_transform(z, lambda x: exp(x)) AS e FROM s JOIN b ON b.run = s.run AND b.t = s.t + 1)))))))
+)
+SELECT run, unnest(ids) AS example_id, round(unnest(z), 6) AS logit FROM s JOIN ids USING (run) WHERE t = 6
+""")
+def w_sweep(spark, sf_dir):
+    """One schedule for each share of the harmful examples, all in one loop of six batches."""
+    logged = losses(spark, sf_dir).select("example_id", "loss", "source", F.explode(F.array(*[F.lit(r) for r in RATIOS])).alias("run"))
+    chosen = cut_lineage(logged.filter((F.col("source") == "ft") | (F.col("example_id") % 10 < 10 * F.col("run"))).drop("source"))
+    quarter = (F.col("example_id") % 4 + 1).cast("int")
+    steps = chosen.withColumn("step", F.explode(F.array(quarter, quarter + 4))).filter("step <= 6")
+    state = chosen.select("run", "example_id", F.lit(0.1).alias("logit"), F.lit(0.0).alias("m"), F.lit(0.0).alias("v"), F.lit(0).alias("done"))
+    out = wt.run_schedules(state, steps, wt.UpdateConfig(entropy=0.1), steps=range(1, 7))
+    return out.select("run", "example_id", r6("logit", "logit"))
+
+
 def _vectors(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     return e.select(

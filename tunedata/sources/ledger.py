@@ -53,10 +53,12 @@ def add_batch(df: DataFrame, path: str, *, query: str, batch: int) -> bool:
     return True
 
 
-def read_batches(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """The rows of all committed batches, with ``query`` and ``batch``."""
-    kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+def read_batches(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """The rows of all committed batches, with ``query`` and ``batch``. Without a schema there must be some rows."""
     ledger = _ledger(spark, path)
+    if schema is None:
+        return spark.read.parquet(f"{path}/rows").join(ledger, "attempt").drop("attempt")
+    kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     if ledger.isEmpty():
         return spark.createDataFrame([], T.StructType([*kind, T.StructField("query", T.StringType()), T.StructField("batch", T.LongType())]))
     rows = spark.read.schema(T.StructType([*kind, T.StructField("attempt", T.StringType())])).parquet(f"{path}/rows")

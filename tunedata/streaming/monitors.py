@@ -12,8 +12,11 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tunedata.operators.distribution import SKETCH, sketch_histogram, value_sketches
 from tunedata.operators.rewards import best_of_n
 from tunedata.operators.safety import decide_labels
+from tunedata.session import cut_lineage
+from tunedata.sources.ledger import add_batch, read_batches
 
 
 def stream_group_means(
@@ -68,6 +71,27 @@ def start_snapshot_sink(
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def start_histograms(
+    df: DataFrame, path: str, checkpoint: str, *, query: str, value: str, by: list[str], k: int = SKETCH, once: bool = True
+) -> StreamingQuery:
+    """Log how the values of each group are distributed while they come in: one sketch per group and micro-batch, added once.
+
+    Read them with ``read_histograms``, over any bins and at any time.
+    """
+    def save(batch: DataFrame, number: int) -> None:
+        add_batch(value_sketches(batch, value, by=by, k=k), path, query=query, batch=number)
+
+    writer = df.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def read_histograms(spark: SparkSession, path: str, bins: int, *, by: list[str]) -> DataFrame:
+    """Counts per group in equally wide bins over the range of all values so far, out of the merged sketches."""
+    merged = read_batches(spark, path).groupBy(*by).agg(
+        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    return sketch_histogram(cut_lineage(merged), bins, by=by)
+
+
 @contextmanager
 def state_partitions(spark: SparkSession, partitions: int | None):
     """Number of state partitions for queries started inside.

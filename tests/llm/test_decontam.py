@@ -56,6 +56,21 @@ def test_beyond_broadcast(spark, make_docs, monkeypatch):
     assert flagged(docs, items) == want
 
 
+def test_very_long_text(spark, make_docs):
+    """More than a megabyte, with a passage at its end and a common word throughout."""
+    passage = " ".join(f"p{i}" for i in range(12))
+    long = " ".join("the" if i % 3 else f"w{i % 9973}" for i in range(250_000))
+    docs = make_docs([(1, f"{long} {passage}"), (2, long), (3, passage)])
+    found = decontam.contamination(docs, bench(spark, [(7, passage), (8, "the the"), (9, "the w3 the")])).collect()
+    items = {r["key"]["id"]: (r["n_hit"], r["items"]) for r in found}
+    words_of = {i: brute.contamination(t, [(7, passage), (8, "the the"), (9, "the w3 the")]) for i, t in ((3, passage),)}
+    assert items[3] == (12, ["7"]) and words_of[3][1] == 12
+    the_the = sum(1 for i in range(250_000) if i % 3)
+    around = {at for i in range(250_000) if not i % 3 and i % 9973 == 3 and 0 < i < 249_999 for at in (i - 1, i, i + 1) if (i - 1) % 3 and (i + 1) % 3}
+    hit = {i for i in range(250_000) if i % 3} | around
+    assert items[2][0] == len(hit) >= the_the and items[1][0] == len(hit) + 12 and items[1][1] == ["7", "8", "9"]
+
+
 def test_proximity(spark, make_docs):
     docs = make_docs([(1, "gamma beta alpha"), (2, "alpha one two beta three gamma"), (3, "alpha beta"), (4, "alpha b c d e f g beta gamma")])
     phrases = decontam.passages(bench(spark, [(1, "alpha beta gamma")])).select("win", "phrase")

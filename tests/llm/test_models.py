@@ -86,6 +86,34 @@ def test_every_language_is_learned(spark, make_docs, monkeypatch):
     assert np.allclose(model.bits(asked), apart, rtol=1e-5)
 
 
+def test_equal_code_lengths_go_to_the_first_language(spark, make_docs):
+    model = train(spark, [(1, "the cat sat", "b"), (2, "the cat sat", "a"), (3, "the cat sat", "c")])
+    got = langid.with_language(make_docs([(1, "the cat"), (2, "zebra 日本")]), model).collect()
+    assert [r["lang_pred"] for r in got] == ["a", "a"] and all(abs(r["score"] - 1 / 3) < 1e-9 for r in got)
+
+
+def test_sample_is_that_of_the_smallest_hashes(spark):
+    """Far more rows than wanted, one id repeated in a third of them, and a language of few rows."""
+    rows = [(i, f"word{i} of text {i * 7}", "a") for i in range(2000)] + [(9000 + i, f"quelques mots {i}", "b") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    first = [r["doc_id"] for r in df.filter("lang = 'a'").orderBy(F.xxhash64("doc_id")).limit(20).collect()]
+    hot = df.unionByName(spark.createDataFrame([(first[0], f"word{first[0]} of text {first[0] * 7}", "a")] * 1000, df.schema)).repartition(16)
+    got = langid.fit(hot, sample_rows=20)
+    want = langid.fit(df.filter(F.col("doc_id").isin(first) | (F.col("lang") == "b")), sample_rows=10_000)
+    assert got.languages == want.languages == ["a", "b"]
+    for name in ("language", "gram", "count"):
+        assert (getattr(got, name) == getattr(want, name)).all()
+
+
+def test_tables_do_not_depend_on_how_many_contexts_are_made_together(spark, monkeypatch):
+    model = train(spark, [(1, "the cat sat on the mat", "a"), (2, "die katze sass", "b")])
+    asked = [b"the mat", b"die katze", "é日".encode(), b"q"]
+    whole = model.bits(asked)
+    monkeypatch.setattr(langid, "CONTEXTS", 3)
+    model.held.clear()
+    assert (model.bits(asked) == whole).all()
+
+
 def test_odd_texts(spark, make_docs):
     model = train(spark, [(1, "the cat sat", "a"), (2, "die katze", "b"), (3, None, "c"), (None, "x", "d"), (4, "y", None)])
     docs = make_docs([(1, None), (2, ""), (3, "12 !!"), (4, "the the"), (4, "the the"), (None, "日本")])

@@ -9,6 +9,7 @@ from tunedata.operators.rewards import best_of_n
 from tunedata import session
 from tunedata.operators import distribution as ds, hooks, indexing as ix, monitoring as mn
 from tunedata.operators.normalise import normalise_sft
+from tunedata.plans import registry as rg, streams  # noqa: F401
 from tunedata.sources import ledger, readers as rd
 from tunedata.sources.json_lists import read_json_list
 from tunedata.sources import writers as wr
@@ -223,6 +224,32 @@ def test_streaming_normalise_keeps_no_state(spark, tmp_path):
     assert sorted(r.shape for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["io_pair", "unknown"]
 
 
+@pytest.mark.parametrize("parts", [None, 1, 3])
+def test_a_table_of_one_file_or_of_a_folder_is_streamed(spark, tmp_path, parts):
+    """The stream's rows are those of the table, and those of no other one, whatever its files are called."""
+    schema = "doc_id bigint, text string, lang string"
+    docs = [(i, f"word {i}", "en") for i in range(1, 20)] + [(20, None, "en"), (21, "x", None)]
+    for name, rows in (("documents", docs), ("documents.parquet.old", docs[:3]), ("other", docs[:5])):
+        target = tmp_path / "in" / f"{name}.parquet"
+        made = tmp_path / "made" / name if parts is None else target
+        spark.createDataFrame(rows, schema).repartition(parts or 1).write.parquet(str(made))
+        if parts is None:
+            target.parent.mkdir(exist_ok=True)
+            target.write_bytes(next(made.glob("part-*.parquet")).read_bytes())
+    sf_dir = str(tmp_path / "in")
+    st.run_to_end(rg.stream(spark, sf_dir, "documents"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert sorted(spark.read.parquet(str(tmp_path / "out")).collect(), key=lambda r: r.doc_id) == [tuple(r) for r in docs]
+    got = rg.QUERIES["st_normalise"].build(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in got) == [i for i in range(1, 20) if i % 7]
+
+
+def test_a_partitioned_table_is_streamed_with_its_column(spark, tmp_path):
+    rows = [(i, f"g{i % 3}") for i in range(9)]
+    spark.createDataFrame(rows, "v bigint, g string").write.partitionBy("g").parquet(str(tmp_path / "t.parquet"))
+    st.run_to_end(rg.stream(spark, str(tmp_path), "t"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == rows
+
+
 def test_hooks(spark):
     df = spark.createDataFrame([(1, "ab"), (2, "")], "id int, t string")
     said = hooks.generate(df, "t", lambda: "!", lambda model, batch: batch + model)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tunedata.operators import exams as ex
 from tunedata.plans.ranks import SNAPSHOTS_SQL, snapshots
-from tunedata.plans.registry import EXAMPLES_SQL, examples, query, r6, table
+from tunedata.plans.registry import EXAMPLES_SQL, examples, query, r6, stream, table
 from tunedata.plans.scoring import EXAM_SQL, _exam
 from tunedata.operators.indexing import dense_ids
 from tunedata.functions.arrays import sigmoid
@@ -205,10 +205,8 @@ SELECT 'u' || user_id AS run, event_id AS step, event_type AS metric, value FROM
 def sink_metrics_stream(spark, sf_dir):
     """The stream is run to its end, then from its start again, as after a lost checkpoint: batches count once."""
     path = scratch_path(spark, "metrics")
-    schema = table(spark, sf_dir, "events").schema
     for attempt in range(2):
-        logged = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-        rows = logged.select(
+        rows = stream(spark, sf_dir, "events").select(
             F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("run"), F.col("event_id").alias("step"),
             F.col("event_type").alias("metric"), "value")
         wr.start_metrics(rows, path, f"{path}-checkpoint{attempt}", query="events").awaitTermination()

@@ -31,6 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table as a stream of files; the table may be one file or a folder of them.
+
+    A stream's path must be a folder unless it is a pattern, so the name is given as one that only it matches.
+    """
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("basePath", sf_dir).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def r6(value, name: str) -> Column:
     """Rounded to the six decimals the comparison uses."""
     column = F.col(value) if isinstance(value, str) else value

@@ -268,6 +268,43 @@ def test_hooks(spark):
     assert scores.first().logits == [2.0, 2.0, 2.0]
 
 
+TEXTS = ["a" * 30, "é" * 20, "", None, "b" * 500, None, None, "c" * 60, "日" * 33, "d"] * 20
+
+
+def _given(spark):
+    return spark.createDataFrame(list(enumerate(TEXTS)), "id int, t string").coalesce(1)
+
+
+def _sizer():
+    """Bytes of some texts, as a function that travels to the workers by value."""
+    return lambda texts: sum(len((t or "").encode()) for t in texts)
+
+
+@pytest.mark.parametrize("size", [1, 100, 1 << 20])
+def test_a_scorer_gets_few_bytes_at_once(spark, monkeypatch, size):
+    """The scores of each text are its own, in one load, whatever the texts are cut into; a long text stands alone."""
+    monkeypatch.setattr(hooks, "BATCH_BYTES", size)
+    total = _sizer()
+
+    def run(loads, texts):
+        loads.append(len(texts))
+        return pd.Series([[-1 if t is None else len(t), len(texts), total(texts), sum(loads)] for t in texts])
+
+    got = hooks.label_scores(_given(spark), "t", list, run).orderBy("id").collect()
+    assert [r.logits[0] for r in got] == [-1 if t is None else len(t) for t in TEXTS]
+    assert all(r.logits[2] <= max(size, total([TEXTS[r.id]])) for r in got)
+    assert got[-1].logits[3] == len(TEXTS)
+    verdicts = hooks.guard_verdicts(_given(spark), "t", lambda: None, lambda _, texts: texts.map(lambda t: f"{total(texts) <= max(size, 500)}")).collect()
+    assert {(r.verdict, r.error) for r in verdicts} == {("True", None)}
+    ids = _given(spark).select("id", hooks.tokens(F.col("t"), lambda s: s.map(lambda t: None if t is None else list(t.encode()))).alias("i"))
+    assert [None if r.i is None else bytes(r.i).decode() for r in ids.orderBy("id").collect()] == TEXTS
+
+
+def test_too_few_scores_are_an_error(spark):
+    with pytest.raises(Exception, match="1 outputs for 2 inputs"):
+        hooks.label_scores(spark.createDataFrame([("a",), ("b",)], "t string").coalesce(1), "t", lambda: 0, lambda m, b: pd.Series([[1.0]])).collect()
+
+
 @pytest.mark.parametrize("bad", [[], [0], [77], [5, 6, 99], list(range(0, 100, 9)), list(range(100))])
 def test_failing_texts_are_found_by_halving(bad):
     calls = []

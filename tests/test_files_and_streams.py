@@ -305,6 +305,20 @@ def test_too_few_scores_are_an_error(spark):
         hooks.label_scores(spark.createDataFrame([("a",), ("b",)], "t string").coalesce(1), "t", lambda: 0, lambda m, b: pd.Series([[1.0]])).collect()
 
 
+@pytest.mark.parametrize("size", [1, 100, 1 << 20])
+def test_a_generator_gets_few_bytes_at_once(spark, monkeypatch, size):
+    monkeypatch.setattr(hooks, "BATCH_BYTES", size)
+    total = _sizer()
+
+    def run(mark, prompts):
+        return prompts.map(lambda t: None if t is None else f"{t}{mark}{total(prompts)}")
+
+    got = hooks.generate(_given(spark), "t", lambda: "!", run).orderBy("id").collect()
+    parts = [(None, 0) if r.output is None else (r.output.split("!")[0], int(r.output.split("!")[1])) for r in got]
+    assert [t for t, _ in parts] == TEXTS
+    assert all(n <= max(size, total([t])) for t, n in parts)
+
+
 @pytest.mark.parametrize("bad", [[], [0], [77], [5, 6, 99], list(range(0, 100, 9)), list(range(100))])
 def test_failing_texts_are_found_by_halving(bad):
     calls = []

@@ -70,13 +70,7 @@ def generate(
 ) -> DataFrame:
     """Add the generated text of each prompt."""
 
-    @F.pandas_udf("string")
-    def infer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load()
-        for batch in batches:
-            yield run(model, batch)
-
-    return df.withColumn(out, infer(F.col(prompt)))
+    return df.withColumn(out, _batched(load, run, "string", pa.string())(F.col(prompt)))
 
 
 def tokens(text: Column, tokenize: Callable[[pd.Series], pd.Series] | None = None) -> Column:
